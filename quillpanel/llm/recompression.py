@@ -19,10 +19,12 @@ Spark rounds over the territories:
 
 1. count anchors over the corpus; an anchor seen once cannot lie in a repeat;
 2. among the rest, count whole contexts (all words that a territory covers).
-   An anchor with one context and two occurrences is repeated throughout;
-3. anchors with different contexts (the rims of repeats, edited copies): one
-   representative text per distinct context is re-read, its windows are named
-   and counted within the anchor, weighted by the context's occurrences.
+   A context that occurs twice is repeated throughout;
+3. anchors that also have contexts occurring once (the rims of repeats, edited
+   copies): one representative text per distinct context is re-read and its
+   windows are named.  Contexts of one anchor are compared window by window:
+   groups of up to ``FEW`` contexts side by side, larger ones by a distributed
+   count of (anchor, window), weighted by the context's occurrences.
 
 Copies of a passage meet only in partial counts, never as lists or pairs.
 Names are compared within an anchor's name, so a false match needs two
@@ -41,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +51,10 @@ from . import scratch
 from .vectext import U64, WORDS, as_long, chunks, mix, prefix, ragged, spans, word_names, words
 
 #: Rounds of recompression before anchors are taken.
-LEVELS = 3
+LEVELS = 2
+#: Anchors with at most so many distinct contexts are compared group by group in
+#: numpy; windows of the others are counted one by one over all executors.
+FEW = 20_000
 _RUN = U64(0xA0761D6478BD642F)
 _PAIR = U64(0xE7037ED1A0B428DB)
 
@@ -158,7 +164,8 @@ def _emit_territories(width: int):
 
 
 def _emit_windows(width: int):
-    """Names of the windows of representative contexts; columns doc, text, parts."""
+    """(anchor, context, copies, kinds, names): the names of the windows of representative
+    contexts, 8 bytes each; columns doc, text, parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,20 +175,76 @@ def _emit_windows(width: int):
                 parts = batch.column(2).slice(a, b - a)
                 flat = parts.flatten()
                 at, n = (np.asarray(flat.field(k)).astype(np.int64) for k in ("at", "n"))
-                row = np.repeat(np.arange(b - a), np.asarray(parts.value_lengths().fill_null(0)))
-                begin = w[row] + at
-                of = np.repeat(np.arange(len(at)), n)
+                begin = w[np.repeat(np.arange(b - a), np.asarray(parts.value_lengths().fill_null(0)))] + at
                 window = ragged(begin, n)
-                take = pa.array(of)
-                if len(of):
-                    yield pa.RecordBatch.from_arrays(
-                        [flat.field("anchor").take(take), flat.field("context").take(take), pa.array((window - begin[of]).astype(np.int32)), pa.array(as_long(spans(pre, window, window + width, WORDS))), flat.field("copies").take(take)],
-                        ["anchor", "context", "bit", "window", "copies"],
-                    )
+                names = spans(pre, window, window + width, WORDS)
+                ends = np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
+                if len(n):
+                    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(names)])
+                    yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in ("anchor", "context", "copies", "kinds")), packed], ["anchor", "context", "copies", "kinds", "names"])
 
     return run
 
 
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(window names, windows of each row) of a packed column."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(U64) if len(column) else np.zeros(0, U64), np.diff(ends) // 8
+
+
+def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Masks of contexts that occur once, from rows sorted by anchor.
+
+    Whole anchor groups are compared at a time; a group that a batch cuts is
+    carried to the next one.
+    """
+    held: pa.Table | None = None
+
+    def masks(t: pa.Table) -> pa.RecordBatch:
+        batch = t.combine_chunks().to_batches()[0]
+        anchor, copies = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+        names, n = _unpack(batch.column(4))
+        row = np.repeat(np.arange(len(n)), n)
+        key = mix(names) + mix(anchor.view(U64))[row]
+        order = np.lexsort((names, key))
+        k, v, r = key[order], names[order], row[order]
+        head = np.ones(len(k), bool)
+        head[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (anchor[r[1:]] != anchor[r[:-1]])
+        group = np.cumsum(head) - 1
+        often = (np.bincount(group, copies[r]) > 1)[group]
+        bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        mask = np.zeros(len(n), U64)
+        hit = order[often]
+        np.bitwise_or.at(mask, row[hit], U64(1) << bit[hit].astype(U64))
+        keep = np.flatnonzero((copies == 1) & (mask != 0))
+        take = pa.array(keep)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(mask[keep].view(np.int64))], ["anchor", "context", "mask"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        last = np.asarray(held.column(0).combine_chunks())
+        cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if (last != last[-1]).any() else 0
+        if cut:
+            yield masks(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield masks(held)
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, n = _unpack(batch.column(4))
+        row = np.repeat(np.arange(len(n)), n)
+        bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        take = pa.array(row)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(bit.astype(np.int32)), pa.array(as_long(names))], ["anchor", "context", "copies", "bit", "window"])
+
+
 def _removed(w: np.ndarray, row: np.ndarray, at: np.ndarray, mask: np.ndarray, width: int) -> np.ndarray:
     """True for each word of a chunk that lies in a repeated window."""
     total = int(w[-1])
@@ -226,6 +289,33 @@ def _apply(width: int, digest: bool):
     return run
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle by document."""
+    pack = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(t.as_buffer()) if t.is_valid else None for t in part.column(1)], pa.binary())], ["doc", "text"])
+
+
+def _unsqueeze(inner):
+    """inner over batches whose second column is the text again, some documents at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def plain() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    texts = pa.array([None if t is None else unpack(t) for t in part.column(1).to_pylist()], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column(0), texts, part.column(2)], ["doc", "text", "parts"])
+
+        return inner(plain())
+
+    return run
+
+
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """(doc, at, mask): bit k of mask says that the window starting at word at + k is repeated.
 
@@ -233,21 +323,32 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """
     if not 2 <= width <= 63:
         raise ValueError("a window has 2 to 63 words")
-    found = docs.mapInArrow(_emit_territories(width), "doc bigint, at int, n int, anchor bigint, context bigint")
-    found = scratch.table(found, "territories")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    found = scratch.table(found.join(shared, "anchor"), "shared-territories")
+    every = docs.mapInArrow(_emit_territories(width), "doc bigint, at int, n int, anchor bigint, context bigint")
+    every = scratch.table(every, "territories")
+    shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    found = scratch.table(every.join(shared, "anchor"), "shared-territories")
+    scratch.drop(every)
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "n")).alias("rep"))
-    kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    contexts = scratch.table(contexts.join(kinds, "anchor"), "contexts")
-    whole = contexts.where("kinds = 1").select("anchor", "context", F.expr("-1L").alias("mask"))
-    mixed = contexts.where("kinds > 1").select("rep.doc", F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "anchor", "context", "copies").alias("part"))
-    mixed = docs.join(mixed.groupBy("doc").agg(F.collect_list("part").alias("parts")), "doc").select("doc", "text", "parts")
-    window = mixed.mapInArrow(_emit_windows(width), "anchor bigint, context bigint, bit int, window bigint, copies bigint")
-    window = scratch.table(window, "windows")
-    often = window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
-    partly = window.join(often, ["anchor", "window"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
-    masks = whole.unionByName(partly)
+    contexts = scratch.table(contexts, "contexts")
+    whole = contexts.where("copies > 1").select("anchor", "context", F.expr("-1L").alias("mask"))
+    kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
+    mixed = scratch.table(contexts.join(kinds, "anchor"), "mixed-contexts")
+
+    def named(which: str) -> DataFrame:
+        part = F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "anchor", "context", "copies", "kinds").alias("part")
+        parts = mixed.where(which).select("rep.doc", part).groupBy("doc").agg(F.collect_list("part").alias("parts"))
+        rows = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(parts, "doc").select("doc", "text", "parts")
+        return rows.mapInArrow(_unsqueeze(_emit_windows(width)), "anchor bigint, context bigint, copies bigint, kinds bigint, names binary")
+
+    few = named(f"kinds <= {FEW}").repartition("anchor").sortWithinPartitions("anchor")
+    masks = whole.unionByName(scratch.table(few.mapInArrow(_match_groups, "anchor bigint, context bigint, mask bigint"), "masks"))
+    if not mixed.where(f"kinds > {FEW}").isEmpty():
+        packed = scratch.table(named(f"kinds > {FEW}"), "packed-windows")
+        window = packed.mapInArrow(_explode, "anchor bigint, context bigint, copies bigint, bit int, window bigint")
+        often = window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
+        many = window.where("copies = 1").join(often, ["anchor", "window"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+        masks = masks.unionByName(scratch.table(many, "masks"))
+        scratch.drop(packed)
     out = found.join(masks, ["anchor", "context"]).select("doc", "at", F.expr("mask & (shiftleft(1L, n) - 1L)").alias("mask"))
     return out.where("mask <> 0")
 
@@ -263,7 +364,7 @@ def remove_repeats(documents: DataFrame, width: int = 35, id_col: str = "doc_id"
     """
     docs = _keyed(documents, id_col, text_col)
     parts = repeated_windows(docs, width).groupBy("doc").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
-    rows = docs.join(parts, "doc", "left").select("doc", "text", "parts")
+    rows = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(parts, "doc", "left").select("doc", "text", "parts")
     last = "kept_sha256" if digest else "kept_text"
-    out = rows.mapInArrow(_apply(width, digest), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
+    out = rows.mapInArrow(_unsqueeze(_apply(width, digest)), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
     return out.withColumnRenamed("doc", id_col)

@@ -9,6 +9,7 @@ executor's own folder.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,11 +29,22 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are no longer referenced.
+
+    Its cleaner acts when the driver's JVM collects garbage, which a driver with
+    little to do puts off for half an hour while executors' disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return a DataFrame that reads the written rows."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
