@@ -16,7 +16,7 @@ from ..sources import tables as T
 #: Replicates of the registered resampling queries.
 REPS, PERMUTATIONS = 500, 20
 #: Ratios of small integers can end in an exact half; both engines round it up after this.
-TIE = 1e-9
+TIE = 3.3e-10
 
 
 def r6(name: str, x: F.Column | None = None) -> F.Column:
