@@ -18,7 +18,8 @@ spanning forest of its links; components follow from the forests.
 
 Cases: null labels, null, empty, zero or non-finite vectors and vectors with
 null components link with nothing and are their own component; an empty table
-gives an empty result; ids must be unique and not null; other columns are ignored.
+gives an empty result; null or repeated ids are handled row by row (``kept`` is
+then true for the first row of a component); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, scratch
+from . import graph, keys, scratch
 
 #: Vectors in one side of a tile.
 BLOCK = 2048
@@ -109,7 +110,8 @@ def _tile(threshold: float):
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
-    rows = embeddings.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
+    source, key, plain = keys.keyed(embeddings, id_col)
+    rows = source.select(F.col(key).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
@@ -127,4 +129,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int =
     known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(known, ["label", "v"]).select("id", "n_links", "component_id")
     out = out.unionByName(rows.where(~usable).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    out = out.withColumn("kept", F.col("id") == F.col("component_id"))
+    if not plain:
+        ids = source.select(F.col(key).alias("id"), F.col(id_col).cast("bigint").alias("own"))
+        out = out.join(ids, "id")
+        least = out.groupBy("component_id").agg(F.min("own").alias("least"))
+        out = out.join(least, "component_id").select(F.col("own").alias("id"), "n_links", F.col("least").alias("component_id"), "kept")
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", "kept")

@@ -17,7 +17,9 @@ show: l(x) = 1 + hot tokens in the prefix, and a pair needs min(l(x), l(y)).
 Because hot tokens stand last, a lengthened prefix whose hot tokens number
 fewer than l can leave them out: a linked pair still meets in rarer tokens.
 Only documents with at least a(x) hot tokens (members of mass families) also
-emit hot tokens, in a token space of their own.
+emit the hot tokens of their plain prefix, after the rare ones.  A pair's first
+shared token bounds its overlap by what follows in both sets; an edited copy
+starts with its own edits, so most pairs of a family end there.
 
 Candidates are verified exactly on whole texts.  Families are never expanded
 into pairs: identical sets collapse to one representative; then each token
@@ -28,8 +30,10 @@ tokens, i.e. the source of an edited family.
 
 Cases: null or empty texts have an empty set and no link; texts with fewer
 words than n have one shingle (the whole sequence); ties and repeated rows are
-identical sets; an empty table gives an empty result; other columns are ignored.
-Sets are named by 64 bits of their tokens.  Ids must be unique and not null.
+identical sets; an empty table gives an empty result; other columns are ignored
+(``keep_one`` passes them on); null or repeated ids are handled row by row, and
+a component's id is then the least id of its rows.  Sets are named by 64 bits of
+their tokens.
 """
 
 from __future__ import annotations
@@ -42,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, scratch
-from .vectext import LOWER, U64, as_long, chunks, mix, word_names, words
+from . import graph, keys, scratch
+from .vectext import LOWER, U64, as_long, chunks, mix, ragged, word_names, words
 
 #: A token in more prefixes than this is hot, while the list stays within HOT_LIST.
 HOT_DF = 24
@@ -54,7 +58,6 @@ GROUP = 64
 #: Rounds of star proposals before the remaining cross-component pairs.
 STARS = 2
 _STEP = U64(0x9FB21C651E98DF25)
-_HOT_SPACE = U64(0xC2B2AE3D27D4EB4F)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, lower: bool) -> Iterator[np.ndarray]:
@@ -123,7 +126,7 @@ def _emit_plain(n: int, percent: int, lower: bool):
 
 
 def _emit_prefixes(n: int, percent: int, lower: bool, hot):
-    """(token, sid, size, need, rare): the adaptive prefixes, once per set and task."""
+    """(token, pos, sid, size, shared, rare): the adaptive prefixes, once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -141,17 +144,18 @@ def _emit_prefixes(n: int, percent: int, lower: bool, hot):
                     alpha = _need(len(t), percent)
                     plain = len(t) - alpha + 1
                     heats = int(is_hot.sum())
-                    shared = max(1, min(1 + int(is_hot[:plain].sum()), alpha - heats))
-                    mine = t[~is_hot][: plain + shared - 1]
-                    if heats >= alpha:
-                        mine = np.concatenate([mine, mix(t[:plain] ^ _HOT_SPACE)])
+                    if heats < alpha:
+                        shared = max(1, min(1 + int(is_hot[:plain].sum()), alpha - heats))
+                        mine = t[~is_hot][: plain + shared - 1]
+                    else:
+                        shared, mine = 1, np.concatenate([t[~is_hot], t[is_hot]])[:plain]
                     tokens.append(mine)
                     rows.append((sid, len(t), shared, 1.0 - heats / len(t), len(mine)))
                 if rows:
                     sid, size, shared, rare, count = (np.array(x) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(as_long(np.concatenate(tokens))), *(pa.array(np.repeat(x.astype(k), count)) for x, k in ((sid, np.int64), (size, np.int32), (shared, np.int32), (rare, np.float32)))],
-                        ["token", "sid", "size", "shared", "rare"],
+                        [pa.array(as_long(np.concatenate(tokens))), pa.array(ragged(np.zeros_like(count), count).astype(np.int32)), *(pa.array(np.repeat(x.astype(k), count)) for x, k in ((sid, np.int64), (size, np.int32), (shared, np.int32), (rare, np.float32)))],
+                        ["token", "pos", "sid", "size", "shared", "rare"],
                     )
 
     return run
@@ -217,7 +221,7 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, lower: boo
     """
     reps = sets.where("size > 0").groupBy("sid").agg(F.min("doc").alias("doc"))
     hot = _hot(docs, n, percent, lower)
-    prefixes = docs.mapInArrow(_emit_prefixes(n, percent, lower, hot), "token bigint, sid bigint, size int, shared int, rare float")
+    prefixes = docs.mapInArrow(_emit_prefixes(n, percent, lower, hot), "token bigint, pos int, sid bigint, size int, shared int, rare float")
     prefixes = scratch.table(prefixes, "prefixes")
     met = prefixes.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     rows = scratch.table(prefixes.join(met, "token").distinct(), "met-prefixes")
@@ -231,7 +235,9 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, lower: boo
         lead = now.groupBy("token").agg(F.min(order).alias("l"))
         pairs = now.join(lead, "token").where("sid <> l.sid and comp <> l.comp")
         pairs = pairs.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("size_a"), F.col("size").alias("size_b"))
-        pairs = pairs.where(_fits(percent)).select("a", "b").distinct()
+        # a round tries each set with the one leader that it meets most often
+        pairs = pairs.where(_fits(percent)).groupBy("a", "b").agg(F.count("*").alias("met"))
+        pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, "star-pairs")
@@ -241,18 +247,21 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, lower: boo
     now = scratch.table(_labelled(rows, links), "labelled-prefixes")
     mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     open_rows = scratch.table(now.join(mixed, "token"), "open-prefixes")
-    x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "size", "shared", "comp"))) for k in "ab")
+    x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "size", "shared", "comp", "pos"))) for k in "ab")
     pairs = x.join(y, "token").where(f"sid_a < sid_b and comp_a <> comp_b and {_fits(percent)}")
-    pairs = pairs.groupBy("sid_a", "sid_b").agg(F.count("*").alias("both"), F.min(F.least("shared_a", "shared_b")).alias("shared")).where("both >= shared")
+    pairs = pairs.groupBy("sid_a", "sid_b").agg(
+        F.count("*").alias("both"), F.min(F.least("shared_a", "shared_b")).alias("shared"),
+        # what stands before the first shared token is not shared
+        F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.least(F.first("size_a") - F.min("pos_a"), F.first("size_b") - F.min("pos_b")).alias("most"),
+    ).where(f"both >= shared and 100 * most >= {percent} * (size_a + size_b - most)")
     pairs = pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
     known = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = scratch.table(pairs.join(known, ["a", "b"], "left_anti"), "rest-pairs")
     return links.union(scratch.table(_verify(pairs, docs, reps, n, percent, lower), "rest-links"))
 
 
-def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (least id reachable by links)."""
-    docs = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+def _components(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
+    """docs: doc (unique), text.  Rows doc, size, component_id (a doc)."""
     sets = scratch.table(docs.mapInArrow(_emit_sets(n, percent, lower), "doc bigint, sid bigint, size int"), "sets")
     links = set_links(docs, sets, n, percent, lower)
     labels = graph.components(links).withColumnRenamed("id", "sid")
@@ -260,5 +269,23 @@ def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85, lowe
     full = scratch.table(full, "keyed-sets")
     least = full.groupBy("key").agg(F.min("doc").alias("component_id"))
     out = full.join(least, "key").select("doc", "size", "component_id")
-    none = sets.where("size = 0").select("doc", "size", F.col("doc").alias("component_id"))
-    return out.unionByName(none).select(F.col("doc").alias(id_col), F.col("size").cast("bigint").alias("n_shingles"), "component_id")
+    return out.unionByName(sets.where("size = 0").select("doc", "size", F.col("doc").alias("component_id")))
+
+
+def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (least id reachable by links)."""
+    rows, key, plain = keys.keyed(documents, id_col)
+    out = _components(rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text")), n, percent, lower)
+    if not plain:
+        least = keys.named(out, rows, key, id_col).groupBy("component_id").agg(F.min(id_col).alias("least"))
+        out = out.join(least, "component_id").select("doc", "size", F.col("least").alias("component_id"))
+        out = keys.named(out, rows, key, id_col).withColumnRenamed(id_col, "doc")
+    return out.select(F.col("doc").alias(id_col), F.col("size").cast("bigint").alias("n_shingles"), "component_id")
+
+
+def keep_one(documents: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are the first of their component, with all their columns."""
+    rows, key, _ = keys.keyed(documents, id_col)
+    out = _components(rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text")), n, percent, lower)
+    dropped = out.where("doc <> component_id").select(F.col("doc").alias(key))
+    return rows.join(dropped, key, "left_anti").select(*documents.columns)

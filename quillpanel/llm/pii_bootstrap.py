@@ -23,7 +23,7 @@ cost linear time and no recursion; they accept the same strings as the plain
 forms named in their comments.
 
 Cases: null and empty texts have no spans; offsets are code points, end
-exclusive; repeated rows get equal results; ties are ordered by start, then
+exclusive; repeated rows get equal results; null or repeated ids are handled row by row; ties are ordered by start, then
 kind; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import keys, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -177,7 +177,10 @@ def _extracted(documents: DataFrame, rounds: int, support: int, confidence: floa
 
 def extract(documents: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    rows = _extracted(documents, rounds, support, confidence, id_col, text_col)
+    documents, key, plain = keys.keyed(documents, id_col)
+    rows = _extracted(documents, rounds, support, confidence, key, text_col)
+    if not plain:
+        rows = keys.named(rows, documents, key, id_col).withColumnRenamed(id_col, "doc")
     count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
     return rows.select(
         F.col("doc").alias(id_col), *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
@@ -190,7 +193,9 @@ def redact(documents: DataFrame, rounds: int = 3, support: int = 5, confidence:
 
     Texts in which nothing can be found pass without a shuffle.
     """
-    spans = _extracted(documents, rounds, support, confidence, id_col, text_col).select(F.col("doc").alias("_doc"), F.array_sort(F.concat("base", "more")).alias("_spans")).where("size(_spans) > 0")
+    documents, key, _ = keys.keyed(documents, id_col)
+    columns = [c for c in documents.columns if c != key]
+    spans = _extracted(documents, rounds, support, confidence, key, text_col).select(F.col("doc").alias("_doc"), F.array_sort(F.concat("base", "more")).alias("_spans")).where("size(_spans) > 0")
     may = F.coalesce(F.col(text_col).rlike(r"[0-9@]|\(at\)|\[at\]"), F.lit(False))
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -202,6 +207,6 @@ def redact(documents: DataFrame, rounds: int = 3, support: int = 5, confidence:
         return F.when(x["s"] >= a["at"], done).otherwise(within)
 
     whole = F.aggregate("_spans", zero, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    changed = documents.where(may).join(spans, F.col(id_col).cast("bigint") == F.col("_doc"), "left")
-    changed = changed.withColumn(text_col, F.when(F.col("_doc").isNull(), text).otherwise(whole)).select(*documents.columns)
-    return documents.where(~may).unionByName(changed)
+    changed = documents.where(may).join(spans, F.col(key) == F.col("_doc"), "left")
+    changed = changed.withColumn(text_col, F.when(F.col("_doc").isNull(), text).otherwise(whole)).select(*columns)
+    return documents.where(~may).select(*columns).unionByName(changed)

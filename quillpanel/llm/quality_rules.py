@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,3 +113,32 @@ def judge(
         F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.expr(base).alias("base_failed"), F.expr(f"not ({base}) and not ({over})").alias("kept"),
     )
+
+
+def _filter(cutoffs: dict[tuple[str | None, str], float], text_at: int, stratum_at: int, min_words: int, repeat_percent: int):
+    ratios = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_upper", None)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in chunks(batch.column(text_at).cast(pa.string())):
+                c = textstats.counts(data, offs)
+                keep = (c["n_words"] >= min_words) & (100 * c["n_repeat_words"] <= repeat_percent * c["n_words"])
+                strata = batch.column(stratum_at).slice(a, b - a).cast(pa.string()).to_pylist()
+                for rule, (top, bottom) in ratios.items():
+                    under = c[bottom] if bottom else c["n_upper"] + c["n_lower"]
+                    cut = np.array([cutoffs.get((s, rule), np.inf) for s in strata])
+                    keep &= ~(c[top] / np.maximum(under, 1) > cut)
+                yield batch.slice(a, b - a).filter(pa.array(keep))
+
+    return run
+
+
+def keep_good(
+    documents: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, min_words: int = 10, repeat_percent: int = 20,
+    id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality",
+) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns and without a shuffle of texts."""
+    counted = scratch.table(count_texts(documents, id_col, text_col, stratum_col), "text-counts")
+    cutoffs = thresholds(counted, labels, risk, delta, id_col, label_col)
+    at = documents.columns.index
+    return documents.mapInArrow(_filter(cutoffs, at(text_col), at(stratum_col), min_words, repeat_percent), documents.schema)

@@ -32,8 +32,8 @@ independent 64-bit collisions.
 
 Cases: null or empty texts have no words and come back empty; texts shorter
 than ``width`` words are never changed; repeated rows (same text, other id)
-repeat each other; ids should be unique (a repeated doc_id is handled row by
-row, because rows carry an internal key); further columns are ignored.
+repeat each other; null or repeated ids are handled row by row; further columns
+are ignored (``strip_repeats`` passes them on unchanged).
 """
 
 from __future__ import annotations
@@ -43,11 +43,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import scratch
+from . import keys, scratch
 from .vectext import U64, WORDS, as_long, chunks, mix, prefix, ragged, spans, word_names, words
 
 #: Rounds of recompression before anchors are taken.
@@ -257,45 +259,61 @@ def _removed(w: np.ndarray, row: np.ndarray, at: np.ndarray, mask: np.ndarray, w
     return np.cumsum(step[:-1]) > 0
 
 
+def _kept(data: np.ndarray, offs: np.ndarray, parts: pa.Array, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(kept words joined by one space, words, removed words) of the texts of a chunk; parts: lists of (at, mask)."""
+    s, e, w = words(data, offs)
+    flat = parts.flatten()
+    row = np.repeat(np.arange(len(offs) - 1), np.asarray(parts.value_lengths().fill_null(0)))
+    gone = _removed(w, row, np.asarray(flat.field("at")).astype(np.int64), np.asarray(flat.field("mask")).view(U64), width)
+    keep = np.flatnonzero(~gone)
+    length = e[keep] - s[keep]
+    # copy each kept word with the byte after it, then make that byte a space
+    body = np.append(data, np.uint8(32))[ragged(s[keep], length + 1)]
+    stops = np.cumsum(length + 1)
+    body[stops - 1] = 32
+    bound = np.concatenate([[0], stops])[np.searchsorted(keep, w)]
+    raw = body.tobytes()
+    texts = [raw[x : max(x, y - 1)] for x, y in zip(bound[:-1].tolist(), bound[1:].tolist())]
+    return texts, np.diff(w), np.diff(np.concatenate([[0], np.cumsum(gone)])[w])
+
+
 def _apply(width: int, digest: bool):
     """Columns doc, text, parts(at, mask) to the counts and the kept words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in chunks(batch.column(1)):
-                s, e, w = words(data, offs)
-                parts = batch.column(2).slice(a, b - a)
-                flat = parts.flatten()
-                row = np.repeat(np.arange(b - a), np.asarray(parts.value_lengths().fill_null(0)))
-                gone = _removed(w, row, np.asarray(flat.field("at")).astype(np.int64), np.asarray(flat.field("mask")).view(U64), width)
-                keep = np.flatnonzero(~gone)
-                length = e[keep] - s[keep]
-                # kept words joined by one space: copy each word with the byte after it, then set that byte
-                src = ragged(s[keep], length + 1)
-                body = np.append(data, np.uint8(32))[src]
-                stops = np.cumsum(length + 1)
-                body[stops - 1] = 32
-                bound = np.concatenate([[0], stops])[np.searchsorted(keep, w)]
-                raw = body.tobytes()
-                texts = [raw[x : max(x, y - 1)] for x, y in zip(bound[:-1].tolist(), bound[1:].tolist())]
-                n = np.diff(w)
-                lost = np.concatenate([[0], np.cumsum(gone)])[w]
+                texts, n, lost = _kept(data, offs, batch.column(2).slice(a, b - a), width)
                 out = pa.array([hashlib.sha256(t).hexdigest() for t in texts]) if digest else pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(np.diff(lost).astype(np.int64)), out],
+                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(lost.astype(np.int64)), out],
                     ["doc", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
                 )
 
     return run
 
 
+def _strip(width: int):
+    """Columns doc, text, parts, rest to text and rest; texts without a repeat stay byte for byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in chunks(batch.column(1)):
+                texts, _, lost = _kept(data, offs, batch.column(2).slice(a, b - a), width)
+                kept = pa.array(texts, pa.binary()).cast(pa.string())
+                text = pc.if_else(pa.array(lost > 0), kept, batch.column(1).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([text, batch.column(3).slice(a, b - a)], ["text", "rest"])
+
+    return run
+
+
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for the shuffle by document."""
     pack = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(t.as_buffer()) if t.is_valid else None for t in part.column(1)], pa.binary())], ["doc", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(t.as_buffer()) if t.is_valid else None for t in part.column(1)], pa.binary()), *part.columns[2:]], part.schema.names)
 
 
 def _unsqueeze(inner):
@@ -309,7 +327,7 @@ def _unsqueeze(inner):
                 for lo in range(0, batch.num_rows, 1024):
                     part = batch.slice(lo, 1024)
                     texts = pa.array([None if t is None else unpack(t) for t in part.column(1).to_pylist()], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([part.column(0), texts, part.column(2)], ["doc", "text", "parts"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[2:]], part.schema.names)
 
         return inner(plain())
 
@@ -353,18 +371,28 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     return out.where("mask <> 0")
 
 
-def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+def _parts(docs: DataFrame, width: int) -> DataFrame:
+    return repeated_windows(docs, width).groupBy("doc").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
 
 
 def remove_repeats(documents: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """One row per document: its id, n_words, n_removed and kept_text (or, with digest, its SHA-256).
-
-    Ids must be unique and not null.
-    """
-    docs = _keyed(documents, id_col, text_col)
-    parts = repeated_windows(docs, width).groupBy("doc").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
-    rows = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(parts, "doc", "left").select("doc", "text", "parts")
+    """One row per document: its id, n_words, n_removed and kept_text (or, with digest, its SHA-256)."""
+    rows, key, plain = keys.keyed(documents, id_col)
+    docs = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    joined = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(_parts(docs, width), "doc", "left").select("doc", "text", "parts")
     last = "kept_sha256" if digest else "kept_text"
-    out = rows.mapInArrow(_unsqueeze(_apply(width, digest)), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
-    return out.withColumnRenamed("doc", id_col)
+    out = joined.mapInArrow(_unsqueeze(_apply(width, digest)), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
+    return out.withColumnRenamed("doc", id_col) if plain else keys.named(out, rows, key, id_col)
+
+
+def strip_repeats(documents: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same rows and columns with repeated passages cut from the texts."""
+    rows, key, _ = keys.keyed(documents, id_col)
+    others = [c for c in documents.columns if c != text_col]
+    docs = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    full = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest"))
+    kind = full.schema["rest"].dataType
+    small = full.mapInArrow(_squeeze, T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("rest", kind)]))
+    joined = small.join(_parts(docs, width), "doc", "left").select("doc", "text", "parts", "rest")
+    out = joined.mapInArrow(_unsqueeze(_strip(width)), T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", kind)]))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns))
