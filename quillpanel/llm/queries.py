@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import runtime
-from . import embedding_dedup, ngram_join, packing, pii_bootstrap, quality_qda, quality_rules, recompression, secret_scan, token_counts
+from . import embedding_dedup, ngram_join, packing, pii_bootstrap, quality_qda, quality_rules, recompression, secret_scan, sp_gumbel, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(_read(spark, sf_dir, "documents"), width=35, digest=True)
 
 
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_gumbel.sample(_read(spark, sf_dir, "conversations"), ["conv_id", "turn"], k=2, seed=1, with_ids=False)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.extract(_read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op4_quality_classifier, op5_substring_dedup,
-        op7_pii, op8_packing, op9_quality_rules, op10_secret_scan,
+        op6_sentencepiece_sampling, op7_pii, op8_packing, op9_quality_rules, op10_secret_scan,
     )
 }
 
