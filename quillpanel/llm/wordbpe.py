@@ -3,7 +3,8 @@
 For a tokenizer that drops white space and never joins across it (split into
 letter, digit and symbol runs, each encoded alone), the ids of a text are the
 ids of its words in order.  ``WordCoder`` therefore encodes each distinct word
-of a chunk once and lays the ids out with numpy.  The result equals
+(in lower case, without an ending stop or comma) once and lays the ids out with
+numpy.  The result equals
 ``Tokenizer.encode(text, add_special_tokens=False).ids``; the tests hold it
 against that call on whole texts.
 """
@@ -14,7 +15,7 @@ import os
 
 import numpy as np
 
-from .vectext import word_names, words
+from .vectext import LOWER, ragged, word_names, words
 
 #: Word types that one worker remembers; beyond, it starts anew.
 REMEMBER = 400_000
@@ -35,6 +36,11 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as 16 bits")
+        self.closing = np.zeros(1 << 16, bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.closing[i] = piece.endswith("</w>")
+        single = {b: self.tokenizer.encode(chr(b), add_special_tokens=False).ids for b in b".,"}
+        self.marks = [(b, ids[0]) for b, ids in single.items() if len(ids) == 1]
         self.clear()
 
     def clear(self) -> None:
@@ -43,9 +49,28 @@ class WordCoder:
         self.ids = np.zeros(1 << 14, np.uint16)
         self.used = 0
 
+    def _encode_words(self, fresh: list[str]) -> list[list[int]]:
+        """Ids of each word.  Words of letters are one unit each, so many of them are
+        encoded as one text and told apart by the ids that end a unit."""
+        out: list[list[int] | None] = [None] * len(fresh)
+        plain = [i for i, w in enumerate(fresh) if w.isalpha() and w.lower().isalpha()]
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(fresh[i] for i in g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, joined):
+            ids = np.array(e.ids, np.int64)
+            stops = np.flatnonzero(self.closing[ids]) + 1
+            if len(stops) == len(g) and (not len(ids) or stops[-1] == len(ids)):
+                at = 0
+                for i, stop in zip(g, stops.tolist()):
+                    out[i] = ids[at:stop].tolist()
+                    at = stop
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def _learn(self, fresh: list[bytes], names: list[int]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        ids = [e.ids for e in got]
+        ids = self._encode_words([w.decode("utf-8", "replace") for w in fresh])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.known)
         while len(self.start) < at + len(ids) + 1:
@@ -74,25 +99,32 @@ class WordCoder:
             found = [self.known[k] for k in keys]
         return np.array(found, np.int64)[inverse]
 
+    def _lay(self, data: np.ndarray, offs: np.ndarray):
+        """(types of the words without an ending stop or comma, the id of that mark or -1, word offsets)."""
+        data = LOWER[data]  # the tokenizer lower-cases; doing so first leaves fewer types
+        s, e, w = words(data, offs)
+        mark = np.full(len(s), -1)
+        if len(s):
+            last, before = data[e - 1], data[np.maximum(e - 2, 0)]
+            cut = (e - s > 1) & (before >= 97) & (before <= 122)
+            for byte, i in self.marks:
+                mark[cut & (last == byte)] = i
+        return (self._types(data, s, e - (mark >= 0)) if len(s) else s), mark, w
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets of the texts in them)."""
-        from .vectext import ragged
-
-        s, e, w = words(data, offs)
-        if not len(s):
-            return np.zeros(0, np.uint16), np.zeros(len(offs), np.int64)
-        kind = self._types(data, s, e)
-        lengths = self.start[kind + 1] - self.start[kind]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[ragged(self.start[kind], lengths)], ends[w]
+        kind, mark, w = self._lay(data, offs)
+        core = self.start[kind + 1] - self.start[kind]
+        ends = np.concatenate([[0], np.cumsum(core + (mark >= 0))])
+        out = np.empty(int(ends[-1]), np.uint16)
+        out[ragged(ends[:-1], core)] = self.ids[ragged(self.start[kind], core)]
+        out[ends[1:][mark >= 0] - 1] = mark[mark >= 0]
+        return out, ends[w]
 
     def count(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Encoded lengths of the texts."""
-        s, e, w = words(data, offs)
-        if not len(s):
-            return np.zeros(len(offs) - 1, np.int64)
-        kind = self._types(data, s, e)
-        ends = np.concatenate([[0], np.cumsum(self.start[kind + 1] - self.start[kind])])
+        kind, mark, w = self._lay(data, offs)
+        ends = np.concatenate([[0], np.cumsum(self.start[kind + 1] - self.start[kind] + (mark >= 0))])
         return np.diff(ends[w])
 
 
