@@ -41,7 +41,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +55,7 @@ _BITS = 1 << 24
 #: Members that one verification group holds besides its leader.
 GROUP = 64
 #: Rounds of star proposals before the remaining cross-component pairs.
-STARS = 2
+STARS = 1
 _STEP = U64(0x9FB21C651E98DF25)
 
 
@@ -175,19 +174,24 @@ def _hot(docs: DataFrame, n: int, percent: int, lower: bool):
     return spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
 
-def _verify_group(n: int, percent: int, lower: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sets = []
-        for _, _, data, offs in chunks(pa.array(group["text"], pa.string())):
-            sets += shingle_sets(data, offs, n, lower)
-        lead = group["lead"].to_numpy()
-        at = int(np.flatnonzero(lead)[0])
-        first, ok = sets[at], []
-        for i, t in enumerate(sets):
-            both = len(np.intersect1d(first, t, assume_unique=True)) if not lead[i] else 0
-            ok.append(both > 0 and 100 * both >= percent * (len(first) + len(t) - both))
-        mine = group["sid"].to_numpy()[np.array(ok, bool)]
-        return pd.DataFrame({"a": np.full(len(mine), group["sid"].to_numpy()[at]), "b": mine})
+def _verify_rows(n: int, percent: int, lower: bool):
+    """Rows (a, part, sid, text) sorted so that each group's leader (sid = a) comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first = None, None
+        for batch in batches:
+            for x, y, data, offs in chunks(batch.column(3)):
+                rows = zip(*(batch.column(k).slice(x, y - x).to_pylist() for k in range(3)), shingle_sets(data, offs, n, lower))
+                a, b = [], []
+                for lead, part, sid, t in rows:
+                    if (lead, part) != group:
+                        group, first = (lead, part), t
+                    elif sid != lead:
+                        both = len(np.intersect1d(first, t, assume_unique=True))
+                        if both and 100 * both >= percent * (len(first) + len(t) - both):
+                            a.append(lead)
+                            b.append(sid)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -199,8 +203,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent:
     used = members.select("a", "part").distinct()
     leads = used.select("a", "part", F.col("a").alias("sid"), F.lit(True).alias("lead"))
     roles = members.unionByName(leads).join(reps, "sid").select("doc", "a", "part", "sid", "lead")
-    texts = roles.join(docs, "doc").select("a", "part", "sid", "lead", "text")
-    return texts.groupBy("a", "part").applyInPandas(_verify_group(n, percent, lower), "a bigint, b bigint")
+    texts = roles.join(docs, "doc").repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"))
+    return texts.select("a", "part", "sid", "text").mapInArrow(_verify_rows(n, percent, lower), "a bigint, b bigint")
 
 
 def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
