@@ -200,6 +200,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent:
     """Those of the distinct candidate pairs (a, b) that link, by whole texts."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     members = pairs.join(sizes, "a").select("a", F.expr("pmod(hash(b), parts)").alias("part"), F.col("b").alias("sid"), F.lit(False).alias("lead"))
+    members = scratch.table(members, "members")
     used = members.select("a", "part").distinct()
     leads = used.select("a", "part", F.col("a").alias("sid"), F.lit(True).alias("lead"))
     roles = members.unionByName(leads).join(reps, "sid").select("doc", "a", "part", "sid", "lead")
@@ -252,7 +253,10 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, lower: boo
     mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     open_rows = scratch.table(now.join(mixed, "token"), "open-prefixes")
     x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "size", "shared", "comp", "pos"))) for k in "ab")
-    pairs = x.join(y, "token").where(f"sid_a < sid_b and comp_a <> comp_b and {_fits(percent)}")
+    # a pair that links shows its first l shared tokens early enough in both sets
+    most = "(least(size_a - pos_a, size_b - pos_b) + least(shared_a, shared_b) - 1)"
+    early = f"100 * {most} >= {percent} * (size_a + size_b - {most})"
+    pairs = x.join(y, "token").where(f"sid_a < sid_b and comp_a <> comp_b and {_fits(percent)} and {early}")
     pairs = pairs.groupBy("sid_a", "sid_b").agg(
         F.count("*").alias("both"), F.min(F.least("shared_a", "shared_b")).alias("shared"),
         # what stands before the first shared token is not shared
