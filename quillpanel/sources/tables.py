@@ -77,14 +77,15 @@ HISTORY = "map<string, struct<qualifying_dates: array<string>, first_seen: strin
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
-    if not spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(f"{path.rsplit('/', 1)[0]}/*").where(F.col("path").endswith("/" + path.rsplit("/", 1)[1])).count():
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], "value string")
     return spark.read.text(path, wholetext=True)
 
 
 def run_log_json(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSON list in file order; a missing or corrupt file is empty."""
-    rows = _text(spark, path).select(F.from_json("value", f"array<struct<{RUN_LOG.replace(' ', ': ', 0)}>>").alias("x"))
+    rows = _text(spark, path).select(F.from_json("value", f"array<struct<{RUN_LOG}>>").alias("x"))
     return rows.select(F.posexplode("x").alias("position", "e")).select("position", "e.*")
 
 

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from quillpanel.operators import alerts, archive, monitor
+from quillpanel.sources import tables
 from quillpanel.streaming.alerts import alert_stream
 
 D = date(2026, 3, 2)
@@ -86,3 +87,16 @@ def test_archive_overwrites_only_its_sessions_and_prunes(spark, tmp_path):
     assert [(r.as_of, r.ticker, r.close) for r in got.collect()] == [(days(1)[0], "A", 9.0), (days(1)[0], "B", 9.0), (days(2)[0], "A", 2.0), (days(2)[0], "B", 2.0)]
     again = archive.increment(rows.withColumnRenamed("as_of", "session"), rows.where(F.col("as_of") < days(2)[0]).select("as_of", "ticker"))
     assert {r.as_of for r in again.collect()} == {days(2)[0]}
+
+
+def test_state_files_that_are_missing_or_corrupt_are_empty(spark, tmp_path):
+    assert tables.run_log_json(spark, str(tmp_path / "none.json")).count() == 0
+    bad = tmp_path / "bad.json"
+    bad.write_text("{not json")
+    assert tables.run_log_json(spark, str(bad)).count() == 0 and tables.history_json(spark, str(bad)).count() == 0
+    good = tmp_path / "log.json"
+    good.write_text('[{"date": "2026-03-02", "status": "ok", "matches": ["A"]}, {"date": "2026-03-03", "status": "error"}]')
+    assert [(r.position, r.date, r.matches) for r in tables.run_log_json(spark, str(good)).collect()] == [(0, "2026-03-02", ["A"]), (1, "2026-03-03", None)]
+    history = tmp_path / "history.json"
+    history.write_text('{"A": {"qualifying_dates": ["2026-03-02", "x"], "first_seen": "2026-03-02"}}')
+    assert [(r.ticker, r.qualifying_dates) for r in tables.history_json(spark, str(history)).collect()] == [("A", ["2026-03-02", "x"])]
