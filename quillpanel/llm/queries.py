@@ -35,7 +35,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_gumbel.sample(_read(spark, sf_dir, "conversations"), ["conv_id", "turn"], k=2, seed=1, with_ids=False)
+    return sp_gumbel.sample(_read(spark, sf_dir, "documents"), ["doc_id"], k=2, seed=1, with_text=True)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

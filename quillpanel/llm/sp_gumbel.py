@@ -25,8 +25,9 @@ spaces; any sampled segmentation decodes to the same text as the plain encoding.
 Cases: null and empty texts have one empty segmentation with inclusion 1; texts
 with fewer segmentations than asked for give all of them; repeated keys give
 equal draws for equal texts; null keys are a key like others; an empty table
-gives an empty result; other columns are ignored.  Parts with a share of less
-than 1e-9 of the probability are taken as empty.
+gives an empty result; other columns are ignored.  The share of a part is summed
+over its own branches where ``1 - taken`` would cancel, so no part is dropped
+for being improbable.
 """
 
 from __future__ import annotations
@@ -45,9 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OFFSET = 10.0
-FLOOR = 1e-9
+#: Below this share what is left of a unit is summed anew.
+CLOSE = 1e-3
+#: Ids in one frame of results.
+FRAME_IDS = 500_000
 #: Unit types that one worker remembers.
 REMEMBER = 200_000
+#: Edges of the units that one worker remembers; long units have many.
+REMEMBER_EDGES = 200_000
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _models: dict[tuple[str, float], Model] = {}
@@ -67,9 +73,9 @@ class Unit:
     def __init__(self, ends: list[list[tuple[float, int, tuple[int, ...], float]]], size: int, paths: int):
         self.ends, self.size, self.paths = ends, size, paths
 
-    def draw(self, rng: random.Random) -> tuple[tuple[int, ...], float]:
-        """(ids, log-probability) of one segmentation."""
-        at, out, logp = self.size, [], 0.0
+    def draw(self, rng: random.Random, at: int | None = None) -> tuple[tuple[int, ...], float]:
+        """(ids, log-probability) of one segmentation, or of one of the first ``at`` characters."""
+        at, out, logp = self.size if at is None else at, [], 0.0
         while at:
             u = rng.random()
             edges = self.ends[at]
@@ -92,10 +98,33 @@ class Unit:
         if self.paths <= 256:
             rest = [(ids, lp) for ids, lp in self.all() if ids not in taken]
             return rng.choices(rest, [math.exp(lp) for _, lp in rest])[0]
+        if sum(map(math.exp, taken.values())) > 0.5:
+            branches = self.branches(taken)
+            lp, frm, ids, path, n = rng.choices(branches, [math.exp(b[0]) for b in branches])[0]
+            head, more = self.draw(rng, frm)
+            return head + ids + path[n:], more + lp
         while (got := self.draw(rng))[0] in taken:
             pass
         return got
 
+    def branches(self, taken: dict) -> list[tuple[float, int, tuple[int, ...], tuple[int, ...], int]]:
+        """Edges by which segmentations leave those in taken: (log-probability, start, ids, the taken path, its ids before the edge's end)."""
+        out, todo = [], [(self.size, 0.0, [(path, len(path)) for path in taken])]
+        while todo:
+            at, lp, held = todo.pop()
+            for _, frm, ids, g in self.ends[at]:
+                same = [(path, n - len(ids)) for path, n in held if path[n - len(ids) : n] == ids]
+                if not same:
+                    out.append((lp + g, frm, ids, *held[0]))
+                elif frm:
+                    todo.append((frm, lp + g, same))
+        return out
+
+    def left(self, taken: dict) -> float:
+        """The share of the segmentations that are not in taken."""
+        rest = 1.0 - sum(map(math.exp, taken.values()))
+        return rest if rest > CLOSE else sum(math.exp(b[0]) for b in self.branches(taken))
+
 
 class Model:
     def __init__(self, path: str, alpha: float):
@@ -113,16 +142,20 @@ class Model:
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 self.pieces[p] = (i, -alpha * math.log(OFFSET - self.sp.get_score(i)))
                 self.longest = max(self.longest, len(p))
+        self.back = {v: k for k, v in self.bytes.items()}
         self.rare = -alpha * math.log(OFFSET + n)
         self.unknown = self.sp.unk_id()
         self.known: dict[str, Unit] = {}
+        self.edges = 0
 
     def unit(self, text: str) -> Unit:
         got = self.known.get(text)
         if got is None:
-            if len(self.known) >= REMEMBER:
+            if len(self.known) >= REMEMBER or self.edges >= REMEMBER_EDGES:
                 self.known.clear()
+                self.edges = 0
             got = self.known[text] = self._lattice(text)
+            self.edges += sum(map(len, got.ends))
         return got
 
     def _lattice(self, text: str) -> Unit:
@@ -154,8 +187,7 @@ class Model:
         return [self.unit(u) for u in _UNITS.findall(self.sp.normalize(text or ""))]
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        back = {v: k for k, v in self.bytes.items()}
+        out, raw, back = [], bytearray(), self.back
         for i in ids:
             if i in back:
                 raw.append(back[i])
@@ -204,8 +236,7 @@ def top_k(units: list[Unit], k: int, rng: random.Random) -> list[tuple[list[int]
             ids, lp = new[j]
             if units[j].paths > 1:
                 gone = {**taken, ids: lp} if j == at else {ids: lp}
-                left = 1.0 - sum(map(math.exp, gone.values()))
-                if left > FLOOR and len(gone) < units[j].paths:
+                if len(gone) < units[j].paths and (left := units[j].left(gone)) > 0:
                     heapq.heappush(heap, (-_below(value, before + math.log(left), rng), count, (new, j, gone)))
                     count += 1
             before += lp
@@ -218,25 +249,37 @@ def row_rng(seed: int, *key) -> random.Random:
     return random.Random(int.from_bytes(hashlib.blake2b(repr((seed, *key)).encode(), digest_size=16).digest(), "little"))
 
 
-def sample(rows: DataFrame, key_cols: list[str], text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 1, path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """Rows (keys, rank, n_pieces, ids_crc32, log_prob, inclusion) and, with_ids, the ids."""
+def sample(rows: DataFrame, key_cols: list[str], text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 1, path: str | None = None, with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """Rows (keys, rank, n_pieces, ids_crc32, log_prob, inclusion) and, with_ids, the ids; with_text, the text decoded from them and whether it is that of the plain encoding."""
     path = path or default_path()
     names = [f"k{i}" for i in range(len(key_cols))]
     keys = ", ".join(f"{n} bigint" for n in names)
 
+    more = ["ids"] * with_ids + ["decoded", "round_trip"] * with_text
+
+    def framed(out: list[tuple]) -> pd.DataFrame:
+        full = pd.DataFrame(out, columns=[*names, "rank", "n_pieces", "ids_crc32", "log_prob", "inclusion", *more])
+        return full.astype({n: "Int64" for n in names})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path, alpha)
         for frame in frames:
-            out = []
+            out, held = [], 0
             for *key, text in frame.itertuples(index=False, name=None):
                 key = [None if pd.isna(x) else int(x) for x in key]
+                plain = m.sp.decode(m.sp.encode(text or "")) if with_text else None
                 for rank, (ids, lp, score) in enumerate(top_k(m.units(text), k, row_rng(seed, *key)), 1):
-                    out.append((*key, rank, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), lp, score, *([ids] if with_ids else [])))
-            full = pd.DataFrame(out, columns=[*names, "rank", "n_pieces", "ids_crc32", "log_prob", "inclusion", *(["ids"] if with_ids else [])])
-            yield full.astype({n: "Int64" for n in names})
+                    data = np.array(ids, "<u4")
+                    back = [whole := m.decode(ids), whole == plain] if with_text else []
+                    out.append((*key, rank, len(ids), zlib.crc32(data.tobytes()), lp, score, *[data.astype("i4")] * with_ids, *back))
+                    held += len(ids)
+                if held > FRAME_IDS:
+                    yield framed(out)
+                    out, held = [], 0
+            yield framed(out)
 
     inner = rows.select(*(F.col(c).cast("bigint").alias(n) for c, n in zip(key_cols, names)), F.col(text_col).cast("string").alias("text"))
-    schema = f"{keys}, rank int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double" + (", ids array<int>" if with_ids else "")
+    schema = f"{keys}, rank int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double" + ", ids array<int>" * with_ids + ", decoded string, round_trip boolean" * with_text
     out = inner.mapInPandas(run, schema)
     return out.withColumnsRenamed(dict(zip(names, key_cols)))
 

@@ -226,3 +226,25 @@ def test_sampling_rows_is_seeded_by_key(spark):
     assert once == run() and (3, 1, 1, 0, 0, 0.0, 1.0) in once
     back = sp_gumbel.decode(sp_gumbel.sample(rows, ["conv_id", "turn"])).collect()
     assert {r.decoded for r in back if r.conv_id < 3} == {"some words here"}
+
+
+def test_improbable_segmentations_are_not_dropped():
+    faint = sp_gumbel.Unit([[], [(1 - 1e-12, 0, (1,), math.log1p(-1e-12)), (1.0, 0, (2,), math.log(1e-12))]], 1, 2)
+    assert sorted(ids for ids, *_ in sp_gumbel.top_k([faint], 3, random.Random(1))) == [[1], [2]]
+    m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
+    unit = m.unit("▁internationally")
+    full = dict(unit.all())
+    taken = dict(sorted(full.items(), key=lambda x: -x[1])[: len(full) // 2])
+    assert unit.left(taken) == pytest.approx(sum(math.exp(lp) for ids, lp in full.items() if ids not in taken), rel=1e-9)
+    ids, lp = unit.other(random.Random(1), taken)
+    assert unit.paths > 256 and ids not in taken and lp == pytest.approx(full[ids])
+
+
+def test_sampling_query_segments_documents_and_decodes_them(spark):
+    from quillpanel.llm import queries
+
+    got = queries.op6_sentencepiece_sampling(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
+    assert {r.doc_id for r in got} == set(texts) and all(r.round_trip for r in got)
+    assert all(m.sp.decode(list(r.ids)) == r.decoded and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
