@@ -12,8 +12,12 @@ a country code, addresses written with "(at)", card numbers with a wrong digit):
   in rounds: a pattern's score for a kind is the smoothed share of its
   occurrences held by instances of that kind, weighted by their scores; an
   instance's score is the mean score of its patterns.  Seeds stay at 1;
-* a candidate whose best pattern scores at least ``confidence``, with support
-  from ``support`` distinct seed values, is reported under the pattern's kind.
+* a pattern counts for a kind in rounds in which ``support`` distinct instances
+  next to it are seeds or scored at least ``confidence`` in the round before;
+  an instance's mean is taken over the patterns that count;
+* a candidate whose best pattern scores at least ``confidence`` is reported under
+  the pattern's kind.  A number that can be a card and a telephone number is a
+  candidate of both kinds and one occurrence of its patterns.
 
 Only occurrences are shuffled, never texts.  Counts are partial before the
 shuffle, so a word before a third of all numbers costs one row per task.
@@ -46,6 +50,8 @@ BASE = {
 #: Shapes that a context can turn into an identifier.
 _NUMBER = r"(?<![A-Za-z0-9+.-])\(?[0-9]++(?:[) .-]{1,2}\(?[0-9]++)*+(?![A-Za-z0-9])"
 _ADDRESS = rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+"
+#: Digits of numbers that can be cards and telephone numbers.
+BOTH = (12, 15)
 #: Characters before an occurrence in which its last two words are sought.
 REACH = 80
 
@@ -103,14 +109,15 @@ def _kind_spans(text: Column, kind: str) -> Column:
 
 
 def _candidate_spans(text: Column) -> Column:
-    """Uncovered tokens of compatible shape; rank is the kind that the shape allows."""
+    """Uncovered tokens of compatible shape, once for each kind (rank) that the shape allows."""
     marked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))
     none = F.expr(f"cast(array() as {_FOUND})")
     address = F.transform(_spans(text, _ADDRESS), lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("rank"), x["e"].alias("e"), x["m"].alias("m")))
     size = lambda m: F.length(_digits(m))
-    shape = lambda m: F.when(m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), 1).when(size(m).between(12, 19), 2).when(size(m).between(7, 11), 3).otherwise(-1)
-    number = F.transform(_spans(text, _NUMBER), lambda x: F.struct(x["s"].alias("s"), shape(x["m"]).alias("rank"), x["e"].alias("e"), x["m"].alias("m")))
-    number = F.filter(number, lambda x: x["rank"] >= 0)
+    ranks = lambda *r: F.array(*map(F.lit, r)).cast("array<int>")
+    shapes = lambda m: F.when(m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), ranks(1)).when(size(m).between(*BOTH), ranks(2, 3)).when(size(m).between(12, 19), ranks(2)).when(size(m).between(7, 15), ranks(3)).otherwise(ranks())
+    typed = lambda x: F.transform(shapes(x["m"]), lambda r: F.struct(x["s"].alias("s"), r.alias("rank"), x["e"].alias("e"), x["m"].alias("m")))
+    number = F.flatten(F.transform(_spans(text, _NUMBER), typed))
     return F.concat(F.when(marked, address).otherwise(none), F.when(text.rlike("[0-9]"), number).otherwise(none))
 
 
@@ -145,25 +152,29 @@ def discover(found: DataFrame, rounds: int, support: int, confidence: float) ->
     def occurrences(column: str, seed: bool) -> DataFrame:
         x = found.select("doc", F.explode(column).alias("x")).where("size(x.words) > 0")
         last, two = F.expr("element_at(x.words, -1)"), F.array_join("x.words", " ")
-        return x.select("doc", "x.s", "x.rank", "x.e", F.col("x.m").alias("value"), F.lit(seed).alias("seed"), F.explode(F.array_distinct(F.array(last, F.concat(F.lit("2 "), two)))).alias("pattern"))
+        again = F.lit(not seed) & (F.col("x.rank") == 3) & F.length(_digits(F.col("x.m"))).between(*BOTH)
+        return x.select("doc", "x.s", "x.rank", "x.e", F.col("x.m").alias("value"), F.lit(seed).alias("seed"), again.alias("again"), F.explode(F.array_distinct(F.array(last, F.concat(F.lit("2 "), two)))).alias("pattern"))
 
     every = scratch.table(occurrences("base", True).unionByName(occurrences("cand", False)), "occurrences")
     # one row per edge of the pattern-instance graph
-    edges = every.groupBy("pattern", "rank", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    backed = edges.where("seed").groupBy("pattern", "rank").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    edges = scratch.table(edges.join(backed.select("pattern").distinct(), "pattern"), "pattern-edges")
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+    edges = every.groupBy("pattern", "rank", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.count_if(~F.col("again")).alias("own"))
+    # patterns with fewer values than the support can never be backed
+    able = edges.groupBy("pattern", "rank").agg(F.count("*").alias("values")).where(F.col("values") >= support).select("pattern").distinct()
+    edges = scratch.table(edges.join(able, "pattern"), "pattern-edges")
+    totals = edges.groupBy("pattern").agg(F.sum("own").alias("total"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     patterns = None
     for _ in range(rounds):
-        mass = scored.groupBy("pattern", "rank").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
-        patterns = mass.join(totals, "pattern").join(backed, ["pattern", "rank"]).select("pattern", "rank", (F.col("mass") / (F.col("total") + 1.0)).alias("trust"))
+        mass = scored.groupBy("pattern", "rank").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count_if(F.col("score") >= confidence).alias("backing"))
+        patterns = mass.where(F.col("backing") >= support).join(totals, "pattern").select("pattern", "rank", (F.col("mass") / (F.col("total") + 1.0)).alias("trust"))
         patterns = scratch.table(patterns, "pattern-scores")
-        linked = edges.join(patterns, ["pattern", "rank"], "left")
-        values = linked.groupBy("rank", "value").agg(F.avg(F.coalesce("trust", F.lit(0.0))).alias("mean"))
-        scored = scratch.table(edges.join(values, ["rank", "value"]).select("pattern", "rank", "value", "n", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score")), "instance-scores")
-    sure = patterns.where(F.col("trust") >= confidence).select("pattern", "rank")
-    return every.where("not seed").join(sure, ["pattern", "rank"]).select("doc", "s", "rank", "e").distinct()
+        trusts = patterns.groupBy("pattern").agg(F.map_from_entries(F.collect_list(F.struct("rank", "trust"))).alias("trusts"))
+        values = edges.join(trusts, "pattern").groupBy("rank", "value").agg(F.avg(F.coalesce(F.try_element_at("trusts", F.col("rank")), F.lit(0.0))).alias("mean"))
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("score")
+        scored = scratch.table(edges.join(values, ["rank", "value"], "left").select("pattern", "rank", "value", "n", score), "instance-scores")
+    sure = patterns.where(F.col("trust") >= confidence)
+    best = F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank")
+    return every.where("not seed").join(sure, ["pattern", "rank"]).groupBy("doc", "s", "e").agg(best)
 
 
 def _extracted(documents: DataFrame, rounds: int, support: int, confidence: float, id_col: str, text_col: str) -> DataFrame:

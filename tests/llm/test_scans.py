@@ -248,3 +248,22 @@ def test_sampling_query_segments_documents_and_decodes_them(spark):
     m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
     assert {r.doc_id for r in got} == set(texts) and all(r.round_trip for r in got)
     assert all(m.sp.decode(list(r.ids)) == r.decoded and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+def test_long_numbers_become_phones_or_cards_by_their_context(spark):
+    rows = [(i, f"please call our desk at +1 (310) 555-{1000 + i} now") for i in range(30)]
+    rows += [(100, "please call our desk at 0044 20 7946 0958 now"), (101, "the stock number 0044 20 7946 0958 is")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in pii_bootstrap.extract(frame).collect()}
+    assert got[100].spans == "phone:24:41" and got[101].spans == ""
+    texts = {r.doc_id: r.text for r in pii_bootstrap.redact(frame).collect()}
+    assert texts[100] == "please call our desk at <phone> now"
+
+
+def test_contexts_of_discovered_identifiers_become_patterns(spark):
+    rows = [(i, f"please call our desk at +1 (310) 555-{1000 + i} now") for i in range(600)]
+    rows += [(1000 + i, f"please call our desk at 310-555-{2000 + i} now") for i in range(30)]
+    rows += [(2000 + i, f"or try the hotline under 310-555-{2000 + i} now") for i in range(30)]
+    rows += [(3000, "or try the hotline under 310-555-3000 now"), (3001, "or try the hotel room 310-555-3001 now")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3000] == "phone:25:37" and got[2000] == "phone:25:37" and got[3001] == ""
