@@ -261,14 +261,19 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("U"), (F.col("user_id") % 50).cast("string")).alias("ticker"), F.col("ts").cast("date").alias("session")).distinct()
 
 
+def _user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read(spark, d, "events").where("event_type <> 'error'")
+    return e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("ts").cast("date").alias("session")).distinct()
+
+
 def alert_state(spark: SparkSession, d: str) -> DataFrame:
     from .. import runtime
 
-    return alerts.fold(_sessions(runtime.ship(spark), d))
+    return alerts.fold(_user_sessions(runtime.ship(spark), d))
 
 
-def streak_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = alerts.streaks(_sessions(spark, d))
+def _streaks(sessions: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    rows = alerts.streaks(sessions(spark, d))
     text, level = labels.streak_label(F.col("streak"), F.col("span"), 8)
     return rows.select("ticker", "session", "streak", F.col("span").cast("bigint").alias("span"), level.alias("level"), text.alias("label"))
 
@@ -291,12 +296,12 @@ def missing_sessions(spark: SparkSession, d: str) -> DataFrame:
     return monitor.missing_sessions(_log(spark, d), 28)
 
 
-def match_days(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.match_days(_log(spark, d), _sessions(spark, d).select("ticker", F.col("session").alias("date")), 28)
+def _match_days(sessions: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    return monitor.match_days(_log(spark, d), sessions(spark, d).select("ticker", F.col("session").alias("date")), 28)
 
 
-def persistent_names(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.persistent_names(_sessions(spark, d))
+def _persistent(sessions: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    return monitor.persistent_names(sessions(spark, d))
 
 
 def _archived(spark: SparkSession, d: str) -> DataFrame:
@@ -322,9 +327,11 @@ _PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         date_matched_baseline, backtest_signals, horizon_summary, category_summary, threshold_sweep, size_summary, persistence_summary, size_x_persistence, top_contributors_excluded,
         persistence_sweep, universe_bias, bootstrap_clustered, bootstrap_naive, exit_trades, exit_summary, period_cross_section, separations, two_period_pass, multi_period_score,
         seasonality, mirror_test, permutation_null, event_curves, event_window_summary, window_sweep, window_sweep_pivot, window_sweep_best, volume_validation, quarter_stability,
-        asset_period_returns, regime_scores, base_rates, regime_correlation, alert_state, streak_counts, runlog_stale, weekly_summary, missing_sessions, match_days, persistent_names,
+        asset_period_returns, regime_scores, base_rates, regime_correlation, alert_state, runlog_stale, weekly_summary, missing_sessions,
         archive_increment, archive_coverage, data_quality_guard, modal_session,
     )},
+    # users folded into 50 tickers, as their SQL has them, and every user
+    **{name + tail: partial(q, s) for name, q in (("streak_counts", _streaks), ("match_days", _match_days), ("persistent_names", _persistent)) for tail, s in (("", _sessions), ("_users", _user_sessions))},
 }
 
 

@@ -311,10 +311,12 @@ _SQL: dict[str, str] = {
       select ticker, session as as_of, {r6('close', 'close')}, {r6('volume', 'volume')}, session <> newest as backfilled from rc, tk where back <= 5 and session not in (select as_of from dn)""",
     "archive_coverage": f"with {ARCHIVED} select as_of, count(*) as n, count(*) >= 3 * 0.9 as complete from ad group by as_of",
 }
+#: The same over every user.
+_SQL |= {f"{k}_users": _SQL[k].replace("user_id % 50", "user_id") for k in ("streak_counts", "match_days", "persistent_names")}
 
 #: Columns that are compared as ISO text.
 DATES = {
-    **dict.fromkeys(("bars_clean", "dollar_volume_ratio_separate", "dollar_volume_ratio_overlapping", "forward_returns", "signals_raw", "signals_raw_legacy", "signals_dedup", "signals_dedup_legacy", "date_matched_baseline", "backtest_signals", "streak_counts"), ("session",)),
+    **dict.fromkeys(("bars_clean", "dollar_volume_ratio_separate", "dollar_volume_ratio_overlapping", "forward_returns", "signals_raw", "signals_raw_legacy", "signals_dedup", "signals_dedup_legacy", "date_matched_baseline", "backtest_signals", "streak_counts", "streak_counts_users"), ("session",)),
     **{f"metrics_{k}": ("session",) for k in metrics.FAMILIES},
     "screen_latest": ("bar_date",), "modal_session": ("bar_date",), "fundamentals_cache": ("fetched",), "exit_trades": ("entry", "exit"), "runlog_stale": ("date",), "missing_sessions": ("date",),
     "weekly_summary": ("anchor",), "archive_increment": ("as_of",), "archive_coverage": ("as_of",),
