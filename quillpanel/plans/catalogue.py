@@ -15,6 +15,8 @@ from ..sources import tables as T
 
 #: Replicates of the registered resampling queries.
 REPS, PERMUTATIONS = 500, 20
+#: Draws of the reference's bootstrap.
+FULL_REPS = 10_000
 #: Ratios of small integers can end in an exact half; both engines round it up after this.
 TIE = 3.3e-10
 
@@ -153,6 +155,14 @@ def bootstrap_naive(spark: SparkSession, d: str) -> DataFrame:
     return resample.naive(_excess(spark, d), REPS, ["ticker", "rn"])
 
 
+def bootstrap_clustered_full(spark: SparkSession, d: str) -> DataFrame:
+    return resample.clustered(_excess(spark, d), FULL_REPS)
+
+
+def bootstrap_naive_full(spark: SparkSession, d: str) -> DataFrame:
+    return resample.naive(_excess(spark, d), FULL_REPS, ["ticker", "rn"])
+
+
 def exit_trades(spark: SparkSession, d: str) -> DataFrame:
     return exits.trades(signals.measured(T.bars(spark, d), LIVE), LIVE)
 
@@ -325,7 +335,7 @@ _PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forward_returns": forward_returns, "signals_raw": partial(_signals, LIVE, False), "signals_raw_legacy": partial(_signals, LEGACY, False), "signals_dedup": partial(_signals, LIVE, True), "signals_dedup_legacy": partial(_signals, LEGACY, True),
     **{f.__name__: f for f in (
         date_matched_baseline, backtest_signals, horizon_summary, category_summary, threshold_sweep, size_summary, persistence_summary, size_x_persistence, top_contributors_excluded,
-        persistence_sweep, universe_bias, bootstrap_clustered, bootstrap_naive, exit_trades, exit_summary, period_cross_section, separations, two_period_pass, multi_period_score,
+        persistence_sweep, universe_bias, bootstrap_clustered, bootstrap_naive, bootstrap_clustered_full, bootstrap_naive_full, exit_trades, exit_summary, period_cross_section, separations, two_period_pass, multi_period_score,
         seasonality, mirror_test, permutation_null, event_curves, event_window_summary, window_sweep, window_sweep_pivot, window_sweep_best, volume_validation, quarter_stability,
         asset_period_returns, regime_scores, base_rates, regime_correlation, alert_state, runlog_stale, weekly_summary, missing_sessions,
         archive_increment, archive_coverage, data_quality_guard, modal_session,

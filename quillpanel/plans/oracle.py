@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..config import LEGACY, LIVE, LOOSE, PERIODS, PREREGISTERED, PRICE_GRID, TRIGGERS, VOLUME_GRID, WINDOW_GRID, SignalSpec
 from ..operators import metrics, regime
-from .catalogue import PERMUTATIONS, REPS, TIE
+from .catalogue import FULL_REPS, PERMUTATIONS, REPS, TIE
 
 BARS = """bars as (select 'S' || lpad(cast(l_suppkey as varchar), 6, '0') as ticker, cast(l_shipdate as date) as session, avg(l_extendedprice) as close,
   max(l_extendedprice) as high, min(l_extendedprice) as low, sum(l_quantity) as volume from lineitem group by 1, 2)"""
@@ -311,6 +311,8 @@ _SQL: dict[str, str] = {
       select ticker, session as as_of, {r6('close', 'close')}, {r6('volume', 'volume')}, session <> newest as backfilled from rc, tk where back <= 5 and session not in (select as_of from dn)""",
     "archive_coverage": f"with {ARCHIVED} select as_of, count(*) as n, count(*) >= 3 * 0.9 as complete from ad group by as_of",
 }
+#: The same with all draws.
+_SQL |= {f"{k}_full": _SQL[k].replace(f"range({REPS})", f"range({FULL_REPS})") for k in ("bootstrap_clustered", "bootstrap_naive")}
 #: The same over every user.
 _SQL |= {f"{k}_users": _SQL[k].replace("user_id % 50", "user_id") for k in ("streak_counts", "match_days", "persistent_names")}
 

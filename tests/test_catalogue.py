@@ -48,3 +48,9 @@ def test_alert_state_follows_every_user(spark, db):
     pairs = db.sql("select distinct 'U' || user_id, cast(ts as date)::varchar from events where event_type <> 'error'").fetchall()
     got = catalogue.QUERIES["alert_state"](spark, DIR).collect()
     assert sorted((r[0], str(r[1])) for r in got) == sorted(pairs)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_clustered_full", "bootstrap_naive_full"])
+def test_all_draws_match_sql(spark, db, name):
+    ours, theirs = catalogue.QUERIES[name](spark, DIR).toPandas(), db.sql(oracle.ORACLE[name]).df()
+    assert rows(ours) == rows(theirs) and list(ours.reps) == [10_000]
