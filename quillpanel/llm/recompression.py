@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import keys, scratch
-from .vectext import U64, WORDS, as_long, chunks, mix, prefix, ragged, spans, word_names, words
+from .vectext import U64, as_long, chunks, mix, prefix, ragged, spans, byte_names, words
 
 #: Rounds of recompression before anchors are taken.
 LEVELS = 2
@@ -131,7 +131,7 @@ def territories(names: np.ndarray, offsets: np.ndarray, width: int, levels: int
     if not len(start):
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U64), np.zeros(0, U64)
-    pre = prefix(names, WORDS)
+    pre = prefix(names)
     sym, first, last = _recompress(names, doc, levels)
     lo, hi = first[start], last[start + width]
     rep = -1 - np.arange(len(start))
@@ -144,7 +144,7 @@ def territories(names: np.ndarray, offsets: np.ndarray, width: int, levels: int
     at = np.flatnonzero(cut)
     count = np.diff(np.append(at, len(start)))
     begin = start[at]
-    context = spans(pre, begin, begin + count + width - 1, WORDS)
+    context = spans(pre, begin, begin + count + width - 1)
     anchor = np.where(rep[at] >= 0, sym[np.maximum(rep[at], 0)], context)
     return row[at], begin - offsets[row[at]], count, anchor, context
 
@@ -155,7 +155,7 @@ def _emit_territories(width: int):
             ids = batch.column(0)
             for a, b, data, offs in chunks(batch.column(1)):
                 s, e, w = words(data, offs)
-                row, at, n, anchor, context = territories(word_names(data, s, e), w, width)
+                row, at, n, anchor, context = territories(byte_names(data, s, e), w, width)
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(a, b - a).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(as_long(anchor)), pa.array(as_long(context))],
@@ -173,13 +173,13 @@ def _emit_windows(width: int):
         for batch in batches:
             for a, b, data, offs in chunks(batch.column(1)):
                 s, e, w = words(data, offs)
-                pre = prefix(word_names(data, s, e), WORDS)
+                pre = prefix(byte_names(data, s, e))
                 parts = batch.column(2).slice(a, b - a)
                 flat = parts.flatten()
                 at, n = (np.asarray(flat.field(k)).astype(np.int64) for k in ("at", "n"))
                 begin = w[np.repeat(np.arange(b - a), np.asarray(parts.value_lengths().fill_null(0)))] + at
                 window = ragged(begin, n)
-                names = spans(pre, window, window + width, WORDS)
+                names = spans(pre, window, window + width)
                 ends = np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
                 if len(n):
                     packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(names)])

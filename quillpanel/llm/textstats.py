@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .vectext import BYTES, U64, WORDS, mix, prefix, spans, word_names, words
+from .vectext import U64, byte_names, mix, prefix, spans, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -51,9 +51,9 @@ def repeat_words(names: np.ndarray, w: np.ndarray, width: int = 5) -> np.ndarray
     row = np.repeat(np.arange(len(w) - 1), np.diff(w))
     if n < width:
         return np.zeros(len(w) - 1, np.int64)
-    pre = prefix(names, WORDS)
+    pre = prefix(names)
     start = np.flatnonzero(row[: n - width + 1] == row[width - 1 :])
-    hit = start[twice(_own(spans(pre, start, start + width, WORDS), row[start]))]
+    hit = start[twice(_own(spans(pre, start, start + width), row[start]))]
     step = np.zeros(n + 1, np.int64)
     step[hit] += 1
     step[hit + width] -= 1
@@ -69,7 +69,7 @@ def line_counts(data: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> tuple
     row = np.sort(np.concatenate([np.arange(len(offs) - 1), row_of_break]), kind="stable")
     full = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, row = begin[full], end[full], row[full]
-    names = spans(prefix(data.astype(U64) + U64(1), BYTES), begin, end, BYTES)
+    names = byte_names(data, begin, end)
     size = len(offs) - 1
     return np.bincount(row, minlength=size), np.bincount(row[later(_own(names, row))], minlength=size)
 
@@ -82,7 +82,7 @@ def counts(data: np.ndarray, offs: np.ndarray, more: bool = False) -> dict[str,
     chars = np.concatenate([[0], np.cumsum(lead)])
     size = chars[e] - chars[s]
     in_words = np.concatenate([[0], np.cumsum(size)])[w]
-    names = word_names(data, s, e)
+    names = byte_names(data, s, e)
     lines, dup = line_counts(data, offs, s)
     out = {
         "n_words": np.diff(w), "word_chars": np.diff(in_words), "n_symbols": _per_row(SYMBOLS[data], offs), "n_lines": lines,

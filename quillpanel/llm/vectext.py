@@ -13,6 +13,7 @@ they serve as global names without a dictionary on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,6 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
-_BASE = int("9E3779B97F4A7C15", 16) | 1
 _M1 = U64(int("BF58476D1CE4E5B9", 16))
 _M2 = U64(int("94D049BB133111EB", 16))
 SPACE = np.zeros(256, bool)
@@ -40,40 +40,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The two largest primes below 2**31.
+PRIMES = (2147483647, 2147483629)
+#: Runs of more bytes than this are named by a digest.
+BLOCKWISE = 256
+_STEP = U64(int("D1B54A32D192ED03", 16))
+
+
+def _mod(x: np.ndarray, p: int) -> np.ndarray:
+    """x modulo p; the division by a scalar is vectorised, the remainder is not."""
+    return x - x // U64(p) * U64(p)
+
+
 class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+    """Powers of a base and of its inverse modulo a prime, grown on demand."""
 
-    def __init__(self, base: int):
-        self.base, self.inv = base, pow(base, -1, 1 << 64)
-        self.up = np.ones(1, U64)
-        self.down = np.ones(1, U64)
+    def __init__(self, base: int, prime: int):
+        self.prime, self.bases = prime, (base, pow(base, -1, prime))
+        self.tables = [np.ones(1, U64), np.ones(1, U64)]
 
     def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-            for name, b in (("up", self.base), ("down", self.inv)):
-                p = np.full(n, U64(b), U64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up, self.down
+        while len(self.tables[0]) < n:
+            m = len(self.tables[0])
+            self.tables = [np.concatenate([t, _mod(t * U64(pow(b, m, self.prime)), self.prime)]) for t, b in zip(self.tables, self.bases)]
+        return self.tables[0], self.tables[1]
 
 
-BYTES = Powers(_BASE)
-WORDS = Powers(int("D1B54A32D192ED03", 16))
+_POWERS = tuple(Powers(base, p) for base, p in zip((1103515245, 1220703125), PRIMES))
 
 
-def prefix(values: np.ndarray, powers: Powers) -> np.ndarray:
-    """Prefix sums from which ``spans`` reads the name of any run of values."""
-    up, _ = powers.need(len(values) + 1)
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+def prefix(values: np.ndarray) -> list[np.ndarray]:
+    """Prefix sums, one for each prime, from which ``spans`` reads the name of any run of values."""
+    out = []
+    for powers in _POWERS:
+        up, _ = powers.need(len(values) + 1)
+        pre = np.zeros(len(values) + 1, U64)
+        np.cumsum(_mod(_mod(values, powers.prime) * up[: len(values)], powers.prime), out=pre[1:])
+        out.append(pre)
     return out
 
 
-def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    """64-bit names of the runs [start, end), equal for equal runs wherever they stand."""
-    _, down = powers.need(len(pre))
-    return mix((pre[end] - pre[start]) * down[start] + (end - start).astype(U64) * _M2)
+def spans(pre: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the runs [start, end), equal for equal runs wherever they stand.
+
+    A name mixes two polynomials modulo primes near 2**31, so unlike one modulo
+    2**64 it does not lose bits on self-similar runs (Thue-Morse words).
+    """
+    halves = []
+    for p, powers in zip(pre, _POWERS):
+        _, down = powers.need(len(p))
+        halves.append(_mod(_mod(p[end] - p[start], powers.prime) * down[start], powers.prime))
+    return mix((halves[0] | halves[1] << U64(32)) + (end - start).astype(U64) * _M2)
+
+
+def byte_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of runs of bytes: a chain of mixed blocks of 8 bytes, a digest for long runs."""
+    size = ends - starts
+    out = size.astype(U64) * _M2
+    if not len(out):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= BLOCKWISE))
+    done = 0
+    while len(live):
+        block, left = at_byte[starts[live] + done], size[live] - done
+        short = left < 8
+        block[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[live] = mix(out[live] * _STEP + block)
+        done += 8
+        live = live[left > 8]
+    long = np.flatnonzero(size > BLOCKWISE)
+    for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist()):
+        out[i] = int.from_bytes(blake2b(data[a:b], digest_size=8).digest(), "little")
+    return out
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -120,10 +160,6 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans(prefix(data.astype(U64) + U64(1), BYTES), starts, ends, BYTES)
-
-
 def row_ids(offsets: np.ndarray) -> np.ndarray:
     """For offsets of rows in a flat array: the row of each flat element."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -15,7 +15,7 @@ import os
 
 import numpy as np
 
-from .vectext import LOWER, ragged, word_names, words
+from .vectext import LOWER, ragged, byte_names, words
 
 #: Word types that one worker remembers; beyond, it starts anew.
 REMEMBER = 400_000
@@ -86,7 +86,7 @@ class WordCoder:
 
     def _types(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """For each word the index of its type."""
-        names = word_names(data, s, e)
+        names = byte_names(data, s, e)
         kinds, first, inverse = np.unique(names, return_index=True, return_inverse=True)
         if len(self.known) + len(kinds) > REMEMBER:
             self.clear()
