@@ -5,28 +5,38 @@ link when ``100 * |x & y| >= percent * |x | y|``.  Linked sets share at least
 ``a(x) = ceil(percent * |x| / 100)`` tokens, so under one global token order
 the prefixes of ``|x| - a(x) + l`` tokens share at least ``l``.
 
-Global order: frequent (*hot*) tokens last, then by token name.  Which tokens
-are hot comes from an exact count over the corpus; the list is bounded (the
-limit doubles until at most ``HOT_LIST`` tokens exceed it), and any choice of
-list gives the same links, only at another cost.
+Global order: frequent (*hot*) tokens last, the more frequent the later, then
+by token name.  Which tokens are hot comes from exact counts over the corpus,
+first of plain prefixes, then of the prefixes under that first order; the table
+has a fixed size (the limit doubles until at most ``HOT_LIST`` tokens exceed
+it), and any table gives the same links, only at another cost.
 
 Adaptive part: the estimated candidate cost of a document is the number of hot
 tokens that its plain prefix would hold.  Each of them lengthens its prefix by
 one token and raises by one the number of shared prefix tokens that a pair must
 show: l(x) = 1 + hot tokens in the prefix, and a pair needs min(l(x), l(y)).
-Because hot tokens stand last, a lengthened prefix whose hot tokens number
-fewer than l can leave them out: a linked pair still meets in rarer tokens.
-Only documents with at least a(x) hot tokens (members of mass families) also
-emit the hot tokens of their plain prefix, after the rare ones.  A pair's first
-shared token bounds its overlap by what follows in both sets; an edited copy
-starts with its own edits, so most pairs of a family end there.
+A pair's first shared token also bounds its overlap by what follows in both.
+One pass keeps the first tokens of every set; sets whose first tokens are mostly
+hot (members of mass families) are read again in whole.
 
 Candidates are verified exactly on whole texts.  Families are never expanded
-into pairs: identical sets collapse to one representative; then each token
-bucket proposes links to its leader only (rounds of stars); only sets of a
-bucket that are still in different components meet in pairs.  Components need
-no more links than that.  Leaders are those with the smallest share of rare
-tokens, i.e. the source of an edited family.
+into pairs:
+
+* identical sets collapse to one representative;
+* stars: each set is compared with the one leader (of all leaders of its prefix
+  tokens) that it meets most often.  Leaders are those with the smallest share
+  of rare tokens, i.e. the source of an edited family;
+* differences: a set near its leader L is described by what it adds to L and
+  what it lacks.  If x does not link to L, then any y of that family which links
+  to x shares a difference with it, at least
+  ``(d(x) + d(y) - (|x| + |y|)(100 - percent) / (100 + percent)) / 2`` of them, and if
+  it shares no added token then y lacks more than it adds.  So members meet by
+  prefixes of their differences, own edits first, instead of by the tokens
+  that the whole family shares.  A second round of stars within these (families
+  within families) comes before any pair;
+* only sets without a common leader and in different components meet by prefix.
+
+Components need no more links than that.
 
 Cases: null or empty texts have an empty set and no link; texts with fewer
 words than n have one shingle (the whole sequence); ties and repeated rows are
@@ -46,16 +56,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, keys, scratch
-from .vectext import LOWER, U64, as_long, chunks, mix, ragged, word_names, words
+from .vectext import LOWER, U64, as_long, chunks, mix, ragged, byte_names, words
 
 #: A token in more prefixes than this is hot, while the list stays within HOT_LIST.
 HOT_DF = 24
 HOT_LIST = 1 << 20
-_BITS = 1 << 24
+_SLOTS = 1 << 24
 #: Members that one verification group holds besides its leader.
 GROUP = 64
-#: Rounds of star proposals before the remaining cross-component pairs.
-STARS = 1
+#: Percent of similarity from which a set is described by its differences from its leader.
+NEAR = 50
 _STEP = U64(0x9FB21C651E98DF25)
 
 
@@ -64,7 +74,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, lower: bool) -> Ite
     if lower:
         data = LOWER[data]
     s, e, w = words(data, offs)
-    names = word_names(data, s, e)
+    names = byte_names(data, s, e)
     whole = np.zeros(max(len(names) - n + 1, 0), U64)
     for k in range(n):
         whole = mix(whole * _STEP + names[k : k + len(whole)])
@@ -90,114 +100,193 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _emit_sets(n: int, percent: int, lower: bool):
-    """(doc, sid, size) of each document."""
+def _reach(size: int, percent: int) -> int:
+    """Tokens of a set that are kept at first: enough for a prefix in which up to half are hot."""
+    return 2 * (size - _need(size, percent) + 1)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, U64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(flat)))
+
+
+def _emit_heads(n: int, percent: int, lower: bool):
+    """(doc, sid, size, head) of each document; the head is empty where the task met the set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, b, data, offs in chunks(batch.column(1)):
-                sets = list(shingle_sets(data, offs, n, lower))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([_name(t) for t in sets], pa.int64()), pa.array([len(t) for t in sets], pa.int32())],
-                    ["doc", "sid", "size"],
-                )
+                sids, sizes, heads = [], [], []
+                for t in shingle_sets(data, offs, n, lower):
+                    sids.append(_name(t))
+                    sizes.append(len(t))
+                    heads.append(t[:0] if sids[-1] in seen else t[: _reach(len(t), percent)])
+                    seen.add(sids[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), _lists(heads)], ["doc", "sid", "size", "head"])
 
     return run
 
 
-def _emit_plain(n: int, percent: int, lower: bool):
-    """Tokens of the plain prefixes and a little beyond, once per set and task."""
+def _emit_full(n: int, lower: bool):
+    """(sid, size, head) with all tokens, from columns sid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for _, _, data, offs in chunks(batch.column(1)):
-                out = []
-                for t in shingle_sets(data, offs, n, lower):
-                    sid = _name(t)
-                    if len(t) and sid not in seen:
-                        seen.add(sid)
-                        out.append(t[: (len(t) - _need(len(t), percent) + 1) * 5 // 4 + 2])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(out)))], ["token"])
+            for a, b, data, offs in chunks(batch.column(1)):
+                sets = list(shingle_sets(data, offs, n, lower))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t) for t in sets], pa.int32()), _lists(sets)], ["sid", "size", "head"])
 
     return run
 
 
-def _emit_prefixes(n: int, percent: int, lower: bool, hot):
-    """(token, pos, sid, size, shared, rare): the adaptive prefixes, once per set and task."""
+def _classes(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[(tokens & U64(_SLOTS - 1)).astype(np.int64)]
+
+
+def adaptive_prefix(t: np.ndarray, size: int, percent: int, table: np.ndarray) -> tuple[np.ndarray, int, float] | None:
+    """(prefix in global order, required shared tokens, share of rare tokens); None if the
+    head t of a set of the given size does not hold its first tokens."""
+    alpha = _need(size, percent)
+    plain = size - alpha + 1
+    cls = _classes(t, table)
+    rare = t[cls == 0]
+    if len(rare) >= plain:
+        heats = int((cls[:plain] > 0).sum())
+        shared = 1 + min(heats, len(rare) - plain, alpha - 1)
+        return rare[: plain + shared - 1], shared, len(rare) / len(t)
+    if len(t) < size:
+        return None
+    shared = 1 + min(plain - len(rare), alpha - 1)
+    return t[np.argsort(cls, kind="stable")][: plain + shared - 1], shared, len(rare) / len(t)
+
+
+def _emit_prefixes(percent: int, hot):
+    """(token, pos, sid, size, shared, rare) from columns sid, size, head; pos -1 marks a set that needs more than its head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        bits = hot.value
+        table = hot.value
         for batch in batches:
-            for _, _, data, offs in chunks(batch.column(1)):
-                tokens, rows = [], []
-                for t in shingle_sets(data, offs, n, lower):
-                    sid = _name(t)
-                    if not len(t) or sid in seen:
-                        continue
-                    seen.add(sid)
-                    slot = (t & U64(_BITS - 1)).astype(np.int64)
-                    is_hot = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                    alpha = _need(len(t), percent)
-                    plain = len(t) - alpha + 1
-                    heats = int(is_hot.sum())
-                    if heats < alpha:
-                        shared = max(1, min(1 + int(is_hot[:plain].sum()), alpha - heats))
-                        mine = t[~is_hot][: plain + shared - 1]
-                    else:
-                        shared, mine = 1, np.concatenate([t[~is_hot], t[is_hot]])[:plain]
-                    tokens.append(mine)
-                    rows.append((sid, len(t), shared, 1.0 - heats / len(t), len(mine)))
-                if rows:
-                    sid, size, shared, rare, count = (np.array(x) for x in zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(as_long(np.concatenate(tokens))), pa.array(ragged(np.zeros_like(count), count).astype(np.int32)), *(pa.array(np.repeat(x.astype(k), count)) for x, k in ((sid, np.int64), (size, np.int32), (shared, np.int32), (rare, np.float32)))],
-                        ["token", "pos", "sid", "size", "shared", "rare"],
-                    )
+            sids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ends = np.asarray(batch.column(2).offsets) - batch.column(2).offsets[0].as_py()
+            flat = np.asarray(batch.column(2).flatten()).view(U64)
+            tokens, pos, rows = [], [], []
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                if a == b:
+                    continue
+                got = adaptive_prefix(flat[a:b], sizes[i], percent, table)
+                mine, shared, rare = got or (np.zeros(1, U64), 0, 0.0)
+                tokens.append(mine)
+                pos.append(np.arange(len(mine)) if got else np.full(1, -1))
+                rows.append((sids[i], sizes[i], shared, rare, len(mine)))
+            if rows:
+                sid, size, shared, rare, count = (np.array(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(pos).astype(np.int32)), *(pa.array(np.repeat(x.astype(k), count)) for x, k in ((sid, np.int64), (size, np.int32), (shared, np.int32), (rare, np.float32)))],
+                    ["token", "pos", "sid", "size", "shared", "rare"],
+                )
 
     return run
 
 
-def _hot(docs: DataFrame, n: int, percent: int, lower: bool):
-    """A broadcast bit table of the hot tokens, of fixed size."""
-    spark = docs.sparkSession
-    counts = docs.mapInArrow(_emit_plain(n, percent, lower), "token bigint").groupBy("token").agg(F.count("*").alias("df")).where(f"df > {HOT_DF}")
-    counts = scratch.table(counts, "frequent-tokens")
+_PREFIX = "token bigint, pos int, sid bigint, size int, shared int, rare float"
+
+
+def _hot_table(tokens: DataFrame, known: np.ndarray | None = None) -> np.ndarray:
+    """Frequency classes by slot of the tokens that occur in more than HOT_DF rows; of fixed size."""
+    counts = scratch.table(tokens.groupBy("token").agg(F.count("*").alias("df")).where(f"df > {HOT_DF}"), "frequent-tokens")
     limit = HOT_DF
     while counts.where(f"df > {limit}").count() > HOT_LIST:
         limit *= 2
-    bits = np.zeros(_BITS, bool)
-    found = counts.where(f"df > {limit}").select((F.col("token").bitwiseAND(_BITS - 1)).cast("int").alias("slot")).distinct().toArrow()
-    bits[found.column("slot").to_numpy()] = True
-    return spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    slot, step = F.col("token").bitwiseAND(_SLOTS - 1).cast("int").alias("slot"), F.least(F.log2(F.col("df") / HOT_DF) + 1, F.lit(15.0)).cast("byte")
+    found = counts.where(f"df > {limit}").groupBy(slot).agg(F.max(step).alias("class")).toArrow()
+    table = np.zeros(_SLOTS, np.uint8) if known is None else known.copy()
+    at = np.asarray(found.column("slot"))
+    table[at] = np.maximum(table[at], np.asarray(found.column("class")).astype(np.uint8))
+    scratch.drop(counts)
+    return table
+
 
+def adaptive_prefixes(docs: DataFrame, sets: DataFrame, reps: DataFrame, n: int, percent: int, lower: bool) -> tuple[DataFrame, object]:
+    """(written prefix rows under one global order, the broadcast table of that order)."""
+    spark = docs.sparkSession
 
-def _verify_rows(n: int, percent: int, lower: bool):
-    """Rows (a, part, sid, text) sorted so that each group's leader (sid = a) comes first."""
+    def full(sids: DataFrame) -> DataFrame:
+        texts = sids.join(reps, "sid").join(docs, "doc").select("sid", "text")
+        return scratch.table(texts.mapInArrow(_emit_full(n, lower), "sid bigint, size int, head array<bigint>"), "full-sets")
+
+    plain = f"slice(head, 1, cast(size - ({percent} * size + 99) div 100 + 1 as int))"
+    hot = _hot_table(sets.select(F.explode(F.expr(plain)).alias("token")))
+    shared = spark.sparkContext.broadcast(hot)
+    heads = sets.select("sid", "size", "head")
+    first = scratch.table(heads.mapInArrow(_emit_prefixes(percent, shared), _PREFIX).select("token", "pos", "sid"), "first-prefixes")
+    whole = full(first.where("pos < 0").select("sid").distinct())
+    seen = first.where("pos >= 0").select("token").unionAll(whole.select(F.explode("head").alias("token")))
+    order = spark.sparkContext.broadcast(_hot_table(seen, hot))
+    scratch.drop(first)
+    rows = scratch.table(heads.mapInArrow(_emit_prefixes(percent, order), _PREFIX), "head-prefixes")
+    more = full(rows.where("pos < 0").select("sid").distinct().join(whole.select("sid"), "sid", "left_anti"))
+    late = scratch.table(whole.unionByName(more).mapInArrow(_emit_prefixes(percent, order), _PREFIX), "full-prefixes")
+    scratch.drop(whole, more)
+    return rows.where("pos >= 0").unionByName(late), order
+
+
+def _differences(percent: int, first: np.ndarray, t: np.ndarray, table: np.ndarray) -> tuple[bool, bool, int, bool, np.ndarray, np.ndarray]:
+    """(linked, near, differences, fewer added than missing, first added tokens, first missing tokens) of a set and its leader."""
+    inside = np.isin(t, first, assume_unique=True)
+    both = int(inside.sum())
+    union = len(first) + len(t) - both
+    linked, near = 100 * both >= percent * union and both > 0, 100 * both >= NEAR * union and both > 0
+    if not near:
+        return linked, False, union - both, False, t[:0], t[:0]
+    plus, minus = t[~inside], first[~np.isin(first, t, assume_unique=True)]
+    d = len(plus) + len(minus)
+    other = len(first) - len(t) if linked else -len(first) - len(t)
+    least = max(1, -(-((100 + percent) * d + (100 - percent) * other) // (2 * (100 + percent))))
+    k = max(0, d - least + 1)
+    plus = plus[np.argsort(_classes(plus, table), kind="stable")]
+    return linked, True, d, len(plus) < len(minus), plus[:k], minus[: max(0, k - len(plus))]
+
+
+_FOUND = "a bigint, b bigint, linked boolean, near boolean, shrunk boolean, size_a int, size_b int, d int, pos int, minus boolean, token bigint"
+
+
+def _verify_rows(n: int, percent: int, lower: bool, order, differences: bool):
+    """Rows (a, part, sid, text), sorted so that each group's leader (sid = a) comes first, to
+    one row for each pair (pos -1) and, with differences, one for each first difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, first = None, None
+        table = order.value
         for batch in batches:
             for x, y, data, offs in chunks(batch.column(3)):
                 rows = zip(*(batch.column(k).slice(x, y - x).to_pylist() for k in range(3)), shingle_sets(data, offs, n, lower))
-                a, b = [], []
+                pairs, tokens = [], []
                 for lead, part, sid, t in rows:
                     if (lead, part) != group:
                         group, first = (lead, part), t
                     elif sid != lead:
-                        both = len(np.intersect1d(first, t, assume_unique=True))
-                        if both and 100 * both >= percent * (len(first) + len(t) - both):
-                            a.append(lead)
-                            b.append(sid)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        linked, near, d, shrunk, plus, minus = _differences(percent, first, t, table)
+                        if not differences:
+                            plus, minus = plus[:0], minus[:0]
+                        pairs.append((lead, sid, linked, near, shrunk, len(first), len(t), d, len(plus), len(minus)))
+                        tokens += [np.zeros(1, U64), plus, minus]
+                if pairs:
+                    *same, added, missing = (np.array(c) for c in zip(*pairs))
+                    count = 1 + added + missing
+                    pos = ragged(np.full(len(count), -1), count)
+                    kinds = (np.int64, np.int64, bool, bool, bool, np.int32, np.int32, np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(np.repeat(c.astype(k), count)) for c, k in zip(same, kinds)), pa.array(pos.astype(np.int32)), pa.array(pos >= np.repeat(added, count)), pa.array(as_long(np.concatenate(tokens)))],
+                        ["a", "b", "linked", "near", "shrunk", "size_a", "size_b", "d", "pos", "minus", "token"],
+                    )
 
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
-    """Those of the distinct candidate pairs (a, b) that link, by whole texts."""
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int, lower: bool, order, name: str, differences: bool = False) -> DataFrame:
+    """The distinct pairs (a, b) compared by whole texts: columns of _FOUND, written."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     members = pairs.join(sizes, "a").select("a", F.expr("pmod(hash(b), parts)").alias("part"), F.col("b").alias("sid"), F.lit(False).alias("lead"))
     members = scratch.table(members, "members")
@@ -205,73 +294,115 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent:
     leads = used.select("a", "part", F.col("a").alias("sid"), F.lit(True).alias("lead"))
     roles = members.unionByName(leads).join(reps, "sid").select("doc", "a", "part", "sid", "lead")
     texts = roles.join(docs, "doc").repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"))
-    return texts.select("a", "part", "sid", "text").mapInArrow(_verify_rows(n, percent, lower), "a bigint, b bigint")
+    out = scratch.table(texts.select("a", "part", "sid", "text").mapInArrow(_verify_rows(n, percent, lower, order, differences), _FOUND), name)
+    scratch.drop(members)
+    return out
 
 
-def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return rows.withColumn("comp", F.col("sid"))
-    labels = graph.components(links).withColumnRenamed("id", "sid")
-    return rows.join(labels, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+def _fits(percent: int) -> str:
+    return f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)"
 
 
-def _fits(percent: int) -> str:
-    return f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+def _overlaps(percent: int) -> str:
+    """Enough differences can be shared from two positions on for a link."""
+    return f"{100 + percent} * (d_x + d_y) - {100 - percent} * (size_x + size_y) <= {2 * (100 + percent)} * least(d_x - pos_x, d_y - pos_y)"
+
+
+def _sides(rows: DataFrame, keep: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(*keep, *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k in "xy")
+
+
+def _by_met(pairs: DataFrame) -> DataFrame:
+    """For each set the one leader that it meets most often."""
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
+
+
+def _star_by_prefix(rows: DataFrame, percent: int) -> DataFrame:
+    lead = rows.groupBy("token").agg(F.min(F.struct("rare", "sid", "size")).alias("l"))
+    pairs = rows.join(lead, "token").select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("size_x"), F.col("size").alias("size_y"))
+    return _by_met(pairs.where(f"a <> b and {_fits(percent)}"))
+
+
+def _star_by_difference(found: DataFrame, percent: int) -> DataFrame:
+    """Leaders of second families: among sets with one leader, the nearest one that shows an added token."""
+    rows = found.where("pos >= 0 and not minus")
+    lead = rows.groupBy("a", "token").agg(F.min(F.struct("d", "b", F.col("size_b").alias("size"), "pos", "linked")).alias("l"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = rows.withColumnRenamed("a", "top").join(lead.withColumnRenamed("a", "top"), ["top", "token"]).where("b <> l.b and not (linked and l.linked)")
+    pairs = pairs.select(F.col("l.b").alias("a"), "b", F.col("l.size").alias("size_x"), F.col("size_b").alias("size_y"), F.col("l.d").alias("d_x"), F.col("d").alias("d_y"), F.col("l.pos").alias("pos_x"), F.col("pos").alias("pos_y"))
+    return _by_met(pairs.where(f"{_fits(percent)} and {_overlaps(percent)}"))
+
+
+def _pairs_by_difference(found: DataFrame, other: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of sets with one leader that can link, at least one of them not linked to the leader.
+
+    Such a pair shares a difference; if it shares no added token, the member that
+    is linked (or both) lacks more than it adds.  other: (b, again), a second
+    leader; pairs that share it too are compared there.
+    """
+    rows = found.where("pos >= 0").withColumnRenamed("size_b", "size")
+    rows = rows.withColumn("again", F.col("b")) if other is None else rows.join(other, "b", "left").withColumn("again", F.coalesce("again", "b"))
+    x, y = _sides(rows, ["a", "minus", "token"], ["b", "linked", "shrunk", "size", "d", "pos", "again"])
+    can = f"again_x <> again_y and again_x <> b_y and b_x <> again_y and {_fits(percent)} and {_overlaps(percent)}"
+    added = x.where("not minus").join(y.where("not minus"), ["a", "minus", "token"]).where(f"b_x < b_y and not (linked_x and linked_y) and {can}")
+    lacking = x.where("minus and shrunk_x").join(y.where("minus and not linked_y"), ["a", "minus", "token"]).where(f"b_x <> b_y and (linked_x or shrunk_y) and {can}")
+    return added.select("b_x", "b_y").unionAll(lacking.select("b_x", "b_y"))
+
+
+def _pairs_by_prefix(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components and without a common leader that share enough prefix tokens; rows have comp, fam and again."""
+    mixed = rows.groupBy("token").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "fam") for f in (F.min, F.max))).where("min_comp <> max_comp and min_fam <> max_fam").select("token")
+    rows = scratch.table(rows.join(mixed, "token"), "open-prefixes")
+    x, y = _sides(rows, ["token"], ["sid", "size", "shared", "comp", "pos", "fam", "again"])
+    # a pair that links shows its first l shared tokens early enough in both sets
+    most = "(least(size_x - pos_x, size_y - pos_y) + least(shared_x, shared_y) - 1)"
+    early = f"100 * {most} >= {percent} * (size_x + size_y - {most})"
+    pairs = x.join(y, "token").where(f"sid_x < sid_y and comp_x <> comp_y and fam_x <> fam_y and again_x <> again_y and {_fits(percent)} and {early}")
+    pairs = pairs.groupBy("sid_x", "sid_y").agg(
+        F.count("*").alias("both"), F.min(F.least("shared_x", "shared_y")).alias("shared"),
+        # what stands before the first shared token is not shared
+        F.first("size_x").alias("size_x"), F.first("size_y").alias("size_y"), F.least(F.first("size_x") - F.min("pos_x"), F.first("size_y") - F.min("pos_y")).alias("most"),
+    ).where(f"both >= shared and 100 * most >= {percent} * (size_x + size_y - most)")
+    return pairs.select(F.col("sid_x").alias("b_x"), F.col("sid_y").alias("b_y"))
 
 
 def set_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
-    """Verified links (a, b) between different sets, enough for exact components.
+    """Verified links (a, b) between different sets, enough for exact components, written.
 
-    docs: doc, text; sets: doc, sid, size (written).
+    docs: doc, text; sets: doc, sid, size, head (written, and removed here).
     """
-    reps = sets.where("size > 0").groupBy("sid").agg(F.min("doc").alias("doc"))
-    hot = _hot(docs, n, percent, lower)
-    prefixes = docs.mapInArrow(_emit_prefixes(n, percent, lower, hot), "token bigint, pos int, sid bigint, size int, shared int, rare float")
-    prefixes = scratch.table(prefixes, "prefixes")
+    reps = scratch.table(sets.where("size > 0").groupBy("sid").agg(F.min("doc").alias("doc")), "representatives")
+    prefixes, order = adaptive_prefixes(docs, sets, reps, n, percent, lower)
+    scratch.drop(sets)
     met = prefixes.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     rows = scratch.table(prefixes.join(met, "token").distinct(), "met-prefixes")
-    links, tried = None, None
-    for k in range(STARS):
-        now = _labelled(rows, links)
-        if k:
-            mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            now = now.join(mixed, "token")
-        order = F.struct("rare", "sid", "size", "comp") if k == 0 else F.struct(F.xxhash64("sid", F.lit(k)), "sid", "size", "comp")
-        lead = now.groupBy("token").agg(F.min(order).alias("l"))
-        pairs = now.join(lead, "token").where("sid <> l.sid and comp <> l.comp")
-        pairs = pairs.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("size_a"), F.col("size").alias("size_b"))
-        # a round tries each set with the one leader that it meets most often
-        pairs = pairs.where(_fits(percent)).groupBy("a", "b").agg(F.count("*").alias("met"))
-        pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "star-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = scratch.table(_verify(pairs, docs, reps, n, percent, lower), "star-links")
-        links = found if links is None else links.union(found)
-    now = scratch.table(_labelled(rows, links), "labelled-prefixes")
-    mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_rows = scratch.table(now.join(mixed, "token"), "open-prefixes")
-    x, y = (open_rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "size", "shared", "comp", "pos"))) for k in "ab")
-    # a pair that links shows its first l shared tokens early enough in both sets
-    most = "(least(size_a - pos_a, size_b - pos_b) + least(shared_a, shared_b) - 1)"
-    early = f"100 * {most} >= {percent} * (size_a + size_b - {most})"
-    pairs = x.join(y, "token").where(f"sid_a < sid_b and comp_a <> comp_b and {_fits(percent)} and {early}")
-    pairs = pairs.groupBy("sid_a", "sid_b").agg(
-        F.count("*").alias("both"), F.min(F.least("shared_a", "shared_b")).alias("shared"),
-        # what stands before the first shared token is not shared
-        F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.least(F.first("size_a") - F.min("pos_a"), F.first("size_b") - F.min("pos_b")).alias("most"),
-    ).where(f"both >= shared and 100 * most >= {percent} * (size_a + size_b - most)")
-    pairs = pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-    known = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = scratch.table(pairs.join(known, ["a", "b"], "left_anti"), "rest-pairs")
-    return links.union(scratch.table(_verify(pairs, docs, reps, n, percent, lower), "rest-links"))
+    scratch.drop(prefixes)
+    check = lambda pairs, name, differences=False: _verify(pairs, docs, reps, n, percent, lower, order, name, differences)
+    first = check(scratch.table(_star_by_prefix(rows, percent), "star-pairs"), "stars", True)
+    second = check(scratch.table(_star_by_difference(first, percent), "star-pairs"), "second-stars", True)
+    stars = first.unionByName(second)
+    labels = scratch.table(graph.components(stars.where("pos < 0 and linked").select("a", "b")), "star-components").select(F.col("id").alias("sid"), F.col("component").alias("comp"))
+    leads = [f.where("pos < 0 and near").select(F.col("b").alias("sid"), F.col("a").alias(c)) for f, c in ((first, "fam"), (second, "again"))]
+    family = rows.join(labels, "sid", "left").join(leads[0], "sid", "left").join(leads[1], "sid", "left")
+    family = scratch.table(family.withColumns({c: F.coalesce(c, "sid") for c in ("comp", "fam", "again")}), "family-prefixes")
+    pairs = _pairs_by_prefix(family, percent)
+    pairs = pairs.unionAll(_pairs_by_difference(first, leads[1].withColumnRenamed("sid", "b"), percent)).unionAll(_pairs_by_difference(second, None, percent))
+    pairs = pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(labels.select(F.col("sid").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left").withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
+    known = stars.where("pos < 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.table(pairs.where("comp_a <> comp_b").select("a", "b").join(known, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = check(pairs, "rest-links")
+    links = scratch.table(stars.unionByName(rest).where("pos < 0 and linked").select("a", "b"), "links")
+    scratch.drop(rows, family, first, second, rest, labels, pairs, reps)
+    return links
 
 
 def _components(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     """docs: doc (unique), text.  Rows doc, size, component_id (a doc)."""
-    sets = scratch.table(docs.mapInArrow(_emit_sets(n, percent, lower), "doc bigint, sid bigint, size int"), "sets")
-    links = set_links(docs, sets, n, percent, lower)
+    heads = scratch.table(docs.mapInArrow(_emit_heads(n, percent, lower), "doc bigint, sid bigint, size int, head array<bigint>"), "heads")
+    sets = scratch.table(heads.select("doc", "sid", "size"), "sets")
+    links = set_links(docs, heads, n, percent, lower)
     labels = graph.components(links).withColumnRenamed("id", "sid")
     full = sets.where("size > 0").join(labels, "sid", "left").select("doc", "size", F.coalesce("component", "sid").alias("key"))
     full = scratch.table(full, "keyed-sets")
