@@ -16,10 +16,11 @@ Equal vectors of a label collapse to one first, with their number, so a group of
 copies is never expanded.  A tile returns the number of links per vector and a
 spanning forest of its links; components follow from the forests.
 
-Cases: null labels, null, empty, zero or non-finite vectors and vectors with
+Cases: components of any magnitude are scaled by powers of two first; null labels, null, empty, zero or non-finite vectors and vectors with
 null components link with nothing and are their own component; an empty table
 gives an empty result; null or repeated ids are handled row by row (``kept`` is
-then true for the first row of a component); other columns are ignored.
+then true for the first row of a component); cosines that tie with the threshold
+link; vectors of another length are other groups; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from . import graph, keys, scratch
 
 #: Vectors in one side of a tile.
@@ -44,8 +46,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, np.sqrt(((x - scale[:, None] * q) ** 2).sum(1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two (exact) that bring the largest component near 1, so that no square leaves the range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) with cosine at or above the threshold; with same only i < j."""
+    x, y = _scaled(x), _scaled(y)
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     (qx, sx, rx), (qy, sy, ry) = quantise(x / nx[:, None]), quantise(y / ny[:, None])
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
@@ -110,6 +118,7 @@ def _tile(threshold: float):
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
+    runtime.ship(embeddings.sparkSession)
     source, key, plain = keys.keyed(embeddings, id_col)
     rows = source.select(F.col(key).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

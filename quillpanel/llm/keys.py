@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(rows: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
     """(rows with a key column, the key's name, whether the key is the id)."""
-    name = "_key"
-    while name in rows.columns:
-        name += "_"
+    name = fresh(rows.columns, "_key")
     odd = rows.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null")
     if odd.isEmpty():
         return rows.withColumn(name, F.col(id_col).cast("bigint")), name, True
