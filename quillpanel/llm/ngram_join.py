@@ -193,9 +193,16 @@ def _emit_prefixes(percent: int, hot):
 _PREFIX = "token bigint, pos int, sid bigint, size int, shared int, rare float"
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns of token lists to (token, n), added up within a batch."""
+    for batch in batches:
+        tokens, n = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(n, pa.int64())], ["token", "n"])
+
+
 def _hot_table(tokens: DataFrame, known: np.ndarray | None = None) -> np.ndarray:
-    """Frequency classes by slot of the tokens that occur in more than HOT_DF rows; of fixed size."""
-    counts = scratch.table(tokens.groupBy("token").agg(F.count("*").alias("df")).where(f"df > {HOT_DF}"), "frequent-tokens")
+    """Frequency classes by slot of the tokens that occur more than HOT_DF times, from rows (token, n); of fixed size."""
+    counts = scratch.table(tokens.groupBy("token").agg(F.sum("n").alias("df")).where(f"df > {HOT_DF}"), "frequent-tokens")
     limit = HOT_DF
     while counts.where(f"df > {limit}").count() > HOT_LIST:
         limit *= 2
@@ -217,12 +224,13 @@ def adaptive_prefixes(docs: DataFrame, sets: DataFrame, reps: DataFrame, n: int,
         return scratch.table(texts.mapInArrow(_emit_full(n, lower), "sid bigint, size int, head array<bigint>"), "full-sets")
 
     plain = f"slice(head, 1, cast(size - ({percent} * size + 99) div 100 + 1 as int))"
-    hot = _hot_table(sets.select(F.explode(F.expr(plain)).alias("token")))
+    one = F.lit(1).cast("bigint").alias("n")
+    hot = _hot_table(sets.select(F.explode(F.expr(plain)).alias("token"), one))
     shared = spark.sparkContext.broadcast(hot)
     heads = sets.select("sid", "size", "head")
     first = scratch.table(heads.mapInArrow(_emit_prefixes(percent, shared), _PREFIX).select("token", "pos", "sid"), "first-prefixes")
     whole = full(first.where("pos < 0").select("sid").distinct())
-    seen = first.where("pos >= 0").select("token").unionAll(whole.select(F.explode("head").alias("token")))
+    seen = first.where("pos >= 0").select("token", one).unionAll(whole.select("head").mapInArrow(_tally, "token bigint, n bigint"))
     order = spark.sparkContext.broadcast(_hot_table(seen, hot))
     scratch.drop(first)
     rows = scratch.table(heads.mapInArrow(_emit_prefixes(percent, order), _PREFIX), "head-prefixes")
