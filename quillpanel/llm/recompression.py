@@ -10,10 +10,12 @@ functions of the content and therefore global without a dictionary.  For each
 window the symbols that its own words determine, whatever stands around it, are
 its *interior* symbols: each round drops the run at either end and the end
 symbol that a neighbour outside could take.  Equal windows thus have the same
-interior symbols.  The least interior symbol is the window's anchor, and
-consecutive windows with one anchor form a *territory* of at most ``width``
-windows.  Windows without an interior symbol (periodic text) are anchored by
-their own name, so nothing is lost on any input.
+interior symbols.  The longest interior symbol (of equally long ones that of the
+least name) is the window's anchor: high-level symbols are rare outside repeats,
+so texts that share no long passage seldom share an anchor.  Consecutive windows
+with one anchor form a *territory* of at most ``width`` windows.  Windows without
+an interior symbol (periodic text) are anchored by their own name, so nothing is
+lost on any input.
 
 Spark rounds over the territories:
 
@@ -22,18 +24,20 @@ Spark rounds over the territories:
    A context that occurs twice is repeated throughout;
 3. anchors that also have contexts occurring once (the rims of repeats, edited
    copies): one representative text per distinct context is re-read and its
-   windows are named.  Contexts of one anchor are compared window by window:
-   groups of up to ``FEW`` contexts side by side, larger ones by a distributed
-   count of (anchor, window), weighted by the context's occurrences.
+   windows are counted by (anchor, window), weighted by the context's
+   occurrences.
 
-Copies of a passage meet only in partial counts, never as lists or pairs.
+Copies of a passage meet only in partial counts, never as lists or pairs, at any
+size of a group; what the last round counts is bounded by the words of rims.
 Names are compared within an anchor's name, so a false match needs two
-independent 64-bit collisions.
+independent collisions.
 
 Cases: null or empty texts have no words and come back empty; texts shorter
-than ``width`` words are never changed; repeated rows (same text, other id)
-repeat each other; null or repeated ids are handled row by row; further columns
-are ignored (``strip_repeats`` passes them on unchanged).
+than ``width`` words are never changed; very long texts are one chunk of a task;
+repeated rows (same text, other id) repeat each other; of several repeats that
+cover a word (ties) each removes it; null or repeated ids are handled row by row;
+an empty table stays empty; further columns, whatever their names, are ignored
+(``strip_repeats`` passes them on unchanged).
 """
 
 from __future__ import annotations
@@ -53,10 +57,9 @@ from . import keys, scratch
 from .vectext import U64, as_long, chunks, mix, prefix, ragged, spans, byte_names, words
 
 #: Rounds of recompression before anchors are taken.
-LEVELS = 2
-#: Anchors with at most so many distinct contexts are compared group by group in
-#: numpy; windows of the others are counted one by one over all executors.
-FEW = 20_000
+LEVELS = 3
+#: Longer symbols than this count as equally long.
+_MOST = 255
 _RUN = U64(0xA0761D6478BD642F)
 _PAIR = U64(0xE7037ED1A0B428DB)
 
@@ -67,9 +70,10 @@ def _classes(names: np.ndarray, level: int) -> np.ndarray:
 
 
 def _recompress(names: np.ndarray, doc: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the last level, and for each word boundary the first symbol that
-    a window starting there determines, and the end of those for one ending there."""
+    """(symbols of the last level, their words, for each word boundary the first symbol that
+    a window starting there determines, and the end of those for one ending there)."""
     n = len(names)
+    size = np.ones(n, np.int64)
     first, last = np.arange(n + 1), np.arange(n + 1)
     sym, owner = names, doc
     for level in range(levels):
@@ -81,6 +85,7 @@ def _recompress(names: np.ndarray, doc: np.ndarray, levels: int) -> tuple[np.nda
         length = np.diff(np.append(at, m)).astype(U64)
         sym, owner = sym[at], owner[at]
         sym = np.where(length > 1, mix(sym + length * _RUN), sym)
+        size = np.add.reduceat(size, at) if m else size
         runs = len(sym)
         right = _classes(sym, level)
         joins = np.zeros(runs, bool)  # second of a pair
@@ -98,8 +103,9 @@ def _recompress(names: np.ndarray, doc: np.ndarray, levels: int) -> tuple[np.nda
         merged = sym.copy()
         i = np.flatnonzero(paired)
         merged[i] = mix(sym[i] * _PAIR + mix(sym[i + 1]))
-        sym, owner = merged[keep], owner[keep]
-    return sym, first, last
+        size[i] += size[i + 1]
+        sym, owner, size = merged[keep], owner[keep], size[keep]
+    return sym, size, first, last
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -132,12 +138,14 @@ def territories(names: np.ndarray, offsets: np.ndarray, width: int, levels: int
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U64), np.zeros(0, U64)
     pre = prefix(names)
-    sym, first, last = _recompress(names, doc, levels)
+    sym, size, first, last = _recompress(names, doc, levels)
     lo, hi = first[start], last[start + width]
     rep = -1 - np.arange(len(start))
     inner = np.flatnonzero(lo < hi)
     if len(inner):
-        rep[inner] = _least(mix(sym), lo[inner], hi[inner])
+        # the longest symbol, of several the one of least name
+        order = (U64(_MOST) - np.minimum(size, _MOST).astype(U64)) << U64(56) | mix(sym) >> U64(8)
+        rep[inner] = _least(order, lo[inner], hi[inner])
     row = doc[start]
     cut = np.ones(len(start), bool)
     cut[1:] = (rep[1:] != rep[:-1]) | (row[1:] != row[:-1])
@@ -166,7 +174,7 @@ def _emit_territories(width: int):
 
 
 def _emit_windows(width: int):
-    """(anchor, context, copies, kinds, names): the names of the windows of representative
+    """(anchor, context, copies, names): the names of the windows of representative
     contexts, 8 bytes each; columns doc, text, parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +191,7 @@ def _emit_windows(width: int):
                 ends = np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
                 if len(n):
                     packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(names)])
-                    yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in ("anchor", "context", "copies", "kinds")), packed], ["anchor", "context", "copies", "kinds", "names"])
+                    yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in ("anchor", "context", "copies")), packed], ["anchor", "context", "copies", "names"])
 
     return run
 
@@ -195,51 +203,10 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(U64) if len(column) else np.zeros(0, U64), np.diff(ends) // 8
 
 
-def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masks of contexts that occur once, from rows sorted by anchor.
-
-    Whole anchor groups are compared at a time; a group that a batch cuts is
-    carried to the next one.
-    """
-    held: pa.Table | None = None
-
-    def masks(t: pa.Table) -> pa.RecordBatch:
-        batch = t.combine_chunks().to_batches()[0]
-        anchor, copies = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-        names, n = _unpack(batch.column(4))
-        row = np.repeat(np.arange(len(n)), n)
-        key = mix(names) + mix(anchor.view(U64))[row]
-        order = np.lexsort((names, key))
-        k, v, r = key[order], names[order], row[order]
-        head = np.ones(len(k), bool)
-        head[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (anchor[r[1:]] != anchor[r[:-1]])
-        group = np.cumsum(head) - 1
-        often = (np.bincount(group, copies[r]) > 1)[group]
-        bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        mask = np.zeros(len(n), U64)
-        hit = order[often]
-        np.bitwise_or.at(mask, row[hit], U64(1) << bit[hit].astype(U64))
-        keep = np.flatnonzero((copies == 1) & (mask != 0))
-        take = pa.array(keep)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(mask[keep].view(np.int64))], ["anchor", "context", "mask"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        last = np.asarray(held.column(0).combine_chunks())
-        cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if (last != last[-1]).any() else 0
-        if cut:
-            yield masks(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield masks(held)
-
-
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window of packed contexts."""
     for batch in batches:
-        names, n = _unpack(batch.column(4))
+        names, n = _unpack(batch.column(3))
         row = np.repeat(np.arange(len(n)), n)
         bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         take = pa.array(row)
@@ -335,7 +302,7 @@ def _unsqueeze(inner):
 
 
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, at, mask): bit k of mask says that the window starting at word at + k is repeated.
+    """(doc, parts), written: parts are (at, mask); bit k of mask says that the window starting at word at + k is repeated.
 
     docs has the columns doc (unique bigint) and text.
     """
@@ -348,38 +315,28 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     scratch.drop(every)
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "n")).alias("rep"))
     contexts = scratch.table(contexts, "contexts")
+    kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor")
+    part = F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "anchor", "context", "copies").alias("part")
+    parts = contexts.join(kinds, "anchor").select("rep.doc", part).groupBy("doc").agg(F.collect_list("part").alias("parts"))
+    rows = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(parts, "doc").select("doc", "text", "parts")
+    packed = scratch.table(rows.mapInArrow(_unsqueeze(_emit_windows(width)), "anchor bigint, context bigint, copies bigint, names binary"), "packed-windows")
+    window = packed.mapInArrow(_explode, "anchor bigint, context bigint, copies bigint, bit int, window bigint")
+    often = window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
+    rims = window.where("copies = 1").join(often, ["anchor", "window"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
     whole = contexts.where("copies > 1").select("anchor", "context", F.expr("-1L").alias("mask"))
-    kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
-    mixed = scratch.table(contexts.join(kinds, "anchor"), "mixed-contexts")
-
-    def named(which: str) -> DataFrame:
-        part = F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "anchor", "context", "copies", "kinds").alias("part")
-        parts = mixed.where(which).select("rep.doc", part).groupBy("doc").agg(F.collect_list("part").alias("parts"))
-        rows = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(parts, "doc").select("doc", "text", "parts")
-        return rows.mapInArrow(_unsqueeze(_emit_windows(width)), "anchor bigint, context bigint, copies bigint, kinds bigint, names binary")
-
-    few = named(f"kinds <= {FEW}").repartition("anchor").sortWithinPartitions("anchor")
-    masks = whole.unionByName(scratch.table(few.mapInArrow(_match_groups, "anchor bigint, context bigint, mask bigint"), "masks"))
-    if not mixed.where(f"kinds > {FEW}").isEmpty():
-        packed = scratch.table(named(f"kinds > {FEW}"), "packed-windows")
-        window = packed.mapInArrow(_explode, "anchor bigint, context bigint, copies bigint, bit int, window bigint")
-        often = window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
-        many = window.where("copies = 1").join(often, ["anchor", "window"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
-        masks = masks.unionByName(scratch.table(many, "masks"))
-        scratch.drop(packed)
+    masks = scratch.table(whole.unionByName(rims), "masks")
+    scratch.drop(packed, contexts)
     out = found.join(masks, ["anchor", "context"]).select("doc", "at", F.expr("mask & (shiftleft(1L, n) - 1L)").alias("mask"))
-    return out.where("mask <> 0")
-
-
-def _parts(docs: DataFrame, width: int) -> DataFrame:
-    return repeated_windows(docs, width).groupBy("doc").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
+    out = scratch.table(out.where("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("at", "mask")).alias("parts")), "repeats")
+    scratch.drop(found, masks)
+    return out
 
 
 def remove_repeats(documents: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per document: its id, n_words, n_removed and kept_text (or, with digest, its SHA-256)."""
     rows, key, plain = keys.keyed(documents, id_col)
     docs = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    joined = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(_parts(docs, width), "doc", "left").select("doc", "text", "parts")
+    joined = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(repeated_windows(docs, width), "doc", "left").select("doc", "text", "parts")
     last = "kept_sha256" if digest else "kept_text"
     out = joined.mapInArrow(_unsqueeze(_apply(width, digest)), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
     return out.withColumnRenamed("doc", id_col) if plain else keys.named(out, rows, key, id_col)
@@ -393,6 +350,6 @@ def strip_repeats(documents: DataFrame, width: int = 50, id_col: str = "doc_id",
     full = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest"))
     kind = full.schema["rest"].dataType
     small = full.mapInArrow(_squeeze, T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("rest", kind)]))
-    joined = small.join(_parts(docs, width), "doc", "left").select("doc", "text", "parts", "rest")
+    joined = small.join(repeated_windows(docs, width), "doc", "left").select("doc", "text", "parts", "rest")
     out = joined.mapInArrow(_unsqueeze(_strip(width)), T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", kind)]))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns))
