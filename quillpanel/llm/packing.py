@@ -1,35 +1,40 @@
 """Operator 8: mixture-controlled packing by deficit round-robin.
 
-Documents of one source form a queue of tokens (each document ends with the id
-``end_id``); all queues together fill windows of ``length`` tokens.  Each window
-takes from every queue its target proportion; what rounding withholds from a
-queue in one window is its deficit, which the next window repays.  With weights
-w and S = sum(w) the tokens that queue q has given after m packed tokens are
-
-    floor(m * W_q / S) - floor(m * W_(q-1) / S),      W_q = w_1 + ... + w_q
-
-so a deficit never reaches one token, every window is filled exactly, and the
-state of the round-robin at any window is a formula: tasks carry the deficits
-across windows and partitions without talking to each other.  When a queue runs
-empty a new phase starts with the remaining queues.  Default weights are the
-queues' own token counts: all queues end together and only the last window can
-be short.
-
-Steps: encode once (ids, and each document's place in its queue within its
-task, are written to the shared folder); sum tokens per (task, source); prefix
-sums over tasks give every document its place in its queue; cut.  Only one row
-per source reaches the driver (at most ``MAX_SOURCES``; give a coarser column
-beyond that).
+Documents of one source form a queue; each document ends with the id
+``end_id``.  Turns of ``length`` tokens are shared out by target weights: in
+each turn a queue earns its quota, ``length * weight / sum of weights`` tokens, and
+serves whole documents while its deficit (earned less served) is positive.  The
+last document may overdraw; the debt is carried into the next turns, across
+windows and partitions.  What the queues serve is one stream of tokens, cut into
+windows of ``length``, so documents are cut only at window ends and only the
+last window can be short.  At any point a queue has served its target within one
+document; a queue that runs empty leaves its turns to the others in proportion.
+
+A document that begins ``p`` tokens into its queue is served in turn
+``floor(p / quota)``, the first in which the deficit before it is positive.  So
+the round-robin needs no loop:
+
+1. encode once (ids, and each document's place in its queue within its task);
+2. sums per (source, task) and their prefix sums carry every queue's place, and
+   with it the deficit, from task to task;
+3. sort by (turn, source, place), range-partitioned, so that a hot source is
+   spread over many tasks; places in the stream are prefix sums within a task
+   plus the sums of the tasks before it (one number per task on the driver);
+4. cut at the window ends.
+
+Default weights are the queues' token counts to the power ``temperature``, which
+lifts small sources (1: natural shares, 0: equal shares).
 
 Cases: null or empty texts are the end id alone; a null source is a queue of
-its own; repeated rows are packed as often as they occur; an empty table gives
-no pieces; a document longer than a window is cut; other columns are ignored.
+its own; null and repeated ids and repeated rows are rows of their own, packed
+as often as they occur; ties (equal turns) are ordered by source, then place; an
+empty table gives no pieces; a document longer than a window is cut at its ends;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,70 +43,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import runtime
 from . import scratch, wordbpe
-from .vectext import chunks
-
-MAX_SOURCES = 10_000
-
-
-class Phase:
-    """Packed tokens [begin, end) in which one set of queues takes turns."""
-
-    def __init__(self, begin: int, end: int, lows: dict[int, tuple[int, int, int]], total: int):
-        #: queue -> (tokens it gave before, low and high cumulative weight)
-        self.begin, self.end, self.lows, self.total = begin, end, lows, total
-
-
-def schedule(tokens: list[int], weights: list[int] | None = None) -> list[Phase]:
-    """Phases of the round-robin over queues of the given sizes."""
-    left, given = list(tokens), [0] * len(tokens)
-    weights = list(weights or tokens)
-    out, begin = [], 0
-    while any(left):
-        live = [q for q, n in enumerate(left) if n > 0]
-        w = {q: max(1, weights[q]) for q in live}
-        total, low, lows = sum(w.values()), 0, {}
-        for q in live:
-            lows[q] = (given[q], low, low + w[q])
-            low += w[q]
-        gave = lambda m, q: m * lows[q][2] // total - m * lows[q][1] // total  # noqa: B023, E731
-        lo, hi = 1, sum(left)
-        while lo < hi:  # the most tokens that no queue runs short of
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if all(gave(mid, q) <= left[q] for q in live) else (lo, mid - 1)
-        for q in live:
-            g = gave(lo, q)
-            left[q], given[q] = left[q] - g, given[q] + g
-        out.append(Phase(begin, begin + lo, lows, total))
-        begin += lo
-    return out
-
-
-def pieces(phases: list[Phase], queue: int, place: int, count: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(start, piece length, window, offset) of a document at a place in a queue."""
-    own = [p for p in phases if queue in p.lows]
-    firsts = [p.lows[queue][0] for p in own]
-    at, end = place, place + count
-    j = bisect_right(firsts, at) - 1
-    while at < end:
-        p = own[j]
-        gave, low, high = p.lows[queue]
-        stop = own[j + 1].lows[queue][0] if j + 1 < len(own) else 1 << 80
-        total, begin = p.total, p.begin
-        # least m with gave(m) > at - gave: from an estimate, then step by windows
-        m = begin + (at - gave) * total // (high - low)
-        k = max(m // length - 1, begin // length)
-        while at < min(end, stop):
-            a, b = max(k * length, begin) - begin, min((k + 1) * length, p.end) - begin
-            given = gave + b * high // total - b * low // total
-            if given > at:
-                was = gave + a * high // total - a * low // total
-                before = a + begin - k * length + b * low // total - a * low // total
-                n = min(end, given) - at
-                yield at - place, n, k, before + at - was
-                at += n
-            k += 1
-        j += 1
+from .vectext import chunks, ragged
+
+#: Rows that a task cuts at once.
+ROWS = 512
 
 
 def _encode(path: str, end_id: int):
@@ -127,45 +74,79 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def _cut(phases: list[Phase], numbers: dict[str | None, int], length: int):
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted columns doc, n, ids with the task's number and the tokens before each row in the task."""
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = np.asarray(batch.column(1))
+        ends = total + np.cumsum(n)
+        total = int(ends[-1]) if len(n) else total
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)], ["doc", "n", "ids", "part", "at"])
+
+
+def _cut(before: dict[int, int], length: int, keep_ids: bool):
+    """Columns doc, n, ids, part, at to pieces; before: tokens of the stream before each task's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out = [[] for _ in range(7)]
-                for doc, source, n, place, base, ids in zip(*(c.to_pylist() for c in part.columns)):
-                    view = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-                    for start, size, k, offset in pieces(phases, numbers[source], base + place, n, length):
-                        for column, x in zip(out, (doc, start, size, zlib.crc32(view[4 * start : 4 * (start + size)]), n, k, offset)):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            for lo in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(lo, ROWS)
+                n, part, at = (np.asarray(rows.column(k)).astype(np.int64) for k in (1, 3, 4))
+                at += np.array([before[p] for p in part.tolist()], np.int64)
+                first = at // length
+                count = (at + n - 1) // length - first + 1
+                owner = np.repeat(np.arange(len(n)), count)
+                sequence = ragged(first, count)
+                begin = np.maximum(sequence * length, at[owner])
+                size = np.minimum((sequence + 1) * length, (at + n)[owner]) - begin
+                start = begin - at[owner]
+                wide = [memoryview(np.frombuffer(ids.as_buffer(), "<u2").astype("<u4").tobytes()) for ids in rows.column(2)]
+                crc = [zlib.crc32(wide[r][4 * s : 4 * (s + k)]) for r, s, k in zip(owner.tolist(), start.tolist(), size.tolist())]
+                columns = [rows.column(0).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, size, crc, n[owner], sequence, begin - sequence * length))]
+                names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                if keep_ids:
+                    columns.append(pa.array([np.frombuffer(wide[r][4 * s : 4 * (s + k)], "<i4") for r, s, k in zip(owner.tolist(), start.tolist(), size.tolist())], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+def quotas(totals: DataFrame, length: int, weights: dict[str | None, float] | None, temperature: float) -> DataFrame:
+    """Adds each queue's quota of a turn to (source, tokens); sources that ``weights`` does not name weigh 1."""
+    if weights is None:
+        weighed = totals.withColumn("weight", F.pow("tokens", F.lit(float(temperature))))
+    else:
+        given = totals.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, w double")
+        weighed = totals.join(given, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("weight", F.coalesce("w", F.lit(1.0))).drop("s", "w")
+    whole = weighed.agg(F.sum("weight")).first()[0] or 1.0
+    return weighed.withColumn("quota", F.col("weight") * F.lit(length / whole))
+
+
 def pack(
-    documents: DataFrame, length: int = 2048, end_id: int = 1, weights: dict[str | None, int] | None = None,
+    documents: DataFrame, length: int = 2048, end_id: int = 1, weights: dict[str | None, float] | None = None, temperature: float = 0.5,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, keep_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and with keep_ids the piece's ids)."""
+    runtime.ship(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
     coded = rows.mapInArrow(_encode(tokenizer or wordbpe.default_path(), end_id), "doc bigint, source string, part int, n bigint, place bigint, ids binary")
     coded = scratch.table(coded, "encoded")
     sums = scratch.table(coded.groupBy("source", "part").agg(F.sum("n").alias("n")), "queue-parts")
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: mix by a coarser column")
-    numbers = {r.source: i for i, r in enumerate(totals)}
-    phases = schedule([r.n for r in totals], [weights.get(r.source, 0) for r in totals] if weights else None)
+    quota = quotas(sums.groupBy("source").agg(F.sum("n").alias("tokens")), length, weights, temperature).select(F.col("source").alias("s"), "quota")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = coded.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    out = placed.select("doc", "source", "n", "place", "base", "ids").mapInArrow(
-        _cut(phases, numbers, length),
-        "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    bases = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(quota, F.col("source").eqNullSafe(F.col("s")))
+    bases = bases.select("s", F.col("part").alias("p"), "base", "quota")
+    placed = coded.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("at", F.col("base") + F.col("place"))
+    stream = placed.orderBy(F.floor(F.col("at") / F.col("quota")), "source", "at").select("doc", "n", "ids")
+    stream = scratch.table(stream.mapInArrow(_streamed, "doc bigint, n bigint, ids binary, part int, at bigint"), "stream")
+    scratch.drop(coded, sums)
+    total, starts = 0, {}
+    for part, n in sorted(map(tuple, stream.groupBy("part").agg(F.sum("n")).collect())):
+        starts[part] = total
+        total += n
+    out = stream.mapInArrow(
+        _cut(starts, length, keep_ids),
+        "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * keep_ids,
     )
-    out = out.withColumnRenamed("doc", id_col)
-    if keep_ids:
-        ids = coded.select(F.col("doc").alias(id_col), F.col("ids").alias("doc_ids"))
-        out = out.join(ids, id_col).withColumn("ids", F.expr("substring(doc_ids, cast(2 * start + 1 as int), cast(2 * length as int))")).drop("doc_ids")
-    return out
+    return out.withColumnRenamed("doc", id_col)

@@ -39,6 +39,7 @@ class WordCoder:
         self.closing = np.zeros(1 << 16, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.closing[i] = piece.endswith("</w>")
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         single = {b: self.tokenizer.encode(chr(b), add_special_tokens=False).ids for b in b".,"}
         self.marks = [(b, ids[0]) for b, ids in single.items() if len(ids) == 1]
         self.clear()
@@ -99,9 +100,21 @@ class WordCoder:
             found = [self.known[k] for k in keys]
         return np.array(found, np.int64)[inverse]
 
+    def _lowered(self, data: np.ndarray) -> np.ndarray:
+        """The tokenizer lower-cases; doing so first leaves fewer types.  It looks for special
+        tokens before that, so what only lower-casing would make one stays as it is."""
+        low = LOWER[data]
+        raw = low.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                low[at : at + len(token)] = data[at : at + len(token)]
+                at = raw.find(token, at + 1)
+        return low
+
     def _lay(self, data: np.ndarray, offs: np.ndarray):
         """(types of the words without an ending stop or comma, the id of that mark or -1, word offsets)."""
-        data = LOWER[data]  # the tokenizer lower-cases; doing so first leaves fewer types
+        data = self._lowered(data)
         s, e, w = words(data, offs)
         mark = np.full(len(s), -1)
         if len(s):
