@@ -1,20 +1,28 @@
 """Operator 10: secret scans by one combined deterministic automaton.
 
 Rules are regular expressions over bytes.  ``compile_rules`` parses them, builds
-one nondeterministic automaton for "some rule matches somewhere", makes it
-deterministic by subset construction over byte classes, minimises it by
-partition refinement, and stores it as transition arrays.  A text is scanned
-for all rules in one pass over its bytes: bytes that lead from every state to
-the start (no rule can match across them) cut texts into segments, and all
-segments of a chunk advance together, one array step per byte.
-
-Segments that reach the accepting state - few - are then read by each rule's
-own minimal automaton for the exact spans: leftmost, longest, non-overlapping
-per kind; matches that fail the rule's length check are dropped, not retried.
+one nondeterministic automaton for all rules, makes it deterministic by subset
+construction over byte classes, minimises it by partition refinement, and stores
+it as transition arrays; every state knows the set of rules that accept in it.
+A text is scanned for all rules in one pass over its bytes: bytes that lead from
+every state to the start (no rule can match across them) cut texts into
+segments, and all segments of a chunk advance together, one array step per byte,
+collecting the rules that they meet.  The last few long segments are finished
+one by one.
+
+Only in segments that meet a rule - few - its spans are placed: the automaton of
+the reversed rule, run backwards once, marks every byte at which a match begins;
+from the leftmost mark the rule's own automaton runs to the longest end, and so
+on from there.  Both directions read a byte once, so a segment costs its length
+however many beginnings it has (a rule whose longest match needs look-ahead past
+its end reads that again).  Spans are leftmost, longest, non-overlapping per
+kind; matches that fail the rule's length check are dropped, not retried.
 
 Cases: null and empty texts have no spans; offsets are code points, end
-exclusive; very long texts cost their length; repeated rows get equal results;
-an empty table gives an empty result; other columns are ignored.
+exclusive; very long texts and runs cost their length; null and repeated ids and
+repeated rows are rows of their own with equal results; ties (spans of several
+kinds at one start) are ordered by kind as listed; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from .vectext import chunks
 
+#: Segments that advance together at least; fewer are read one by one.
+LANES = 40
+
 # --- regular expressions -> automata
 
 
@@ -175,6 +187,7 @@ class Dfa:
     def __init__(self, classes: np.ndarray, table: np.ndarray, accepts: np.ndarray, dead: int):
         self.classes, self.table, self.accepts, self.dead = classes, table, accepts, dead
         self.flat = np.ascontiguousarray(table).ravel().astype(np.int32)
+        self.rows, self.marks = table.tolist(), accepts.tolist()
 
     @property
     def width(self) -> int:
@@ -201,17 +214,29 @@ def _minimise(table: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
         block = new
 
 
-def compile_rules(patterns: list[str], search: bool) -> Dfa:
-    """search: accept (for good) once any pattern has matched anywhere; else anchored at the start."""
+def _reversed(node):
+    """The tree of the reversed expression."""
+    if node[0] == "set":
+        return node
+    if node[0] == "rep":
+        return ("rep", _reversed(node[1]), *node[2:])
+    parts = [_reversed(x) for x in node[1]]
+    return (node[0], parts[::-1] if node[0] == "cat" else parts)
+
+
+def compile_rules(patterns: list[str], search: bool, backwards: bool = False) -> Dfa:
+    """search: in a state, accept the patterns of which a match ends here, wherever it began; else
+    anchored at the start.  backwards: for texts read from their end.  accepts has a bit per pattern."""
     nfa = _Nfa()
     start = nfa.state()
     if search:
         nfa.moves[start].append((frozenset(range(256)), start))
-    ends = set()
-    for p in patterns:
+    ends = {}
+    for k, p in enumerate(patterns):
         begin = nfa.state()
         nfa.empty[start].append(begin)
-        ends.add(nfa.build(_Parser(p).parse(), begin))
+        tree = _Parser(p).parse()
+        ends[nfa.build(_reversed(tree) if backwards else tree, begin)] = 1 << k
 
     def close(states: set[int]) -> frozenset:
         stack, seen = list(states), set(states)
@@ -226,15 +251,16 @@ def compile_rules(patterns: list[str], search: bool) -> Dfa:
     after = [[frozenset().union(*(close({t}) for s, t in moves if byte in s)) for byte in samples] for moves in nfa.moves]
     first = close({start})
     number, rows, queue = {first: 0}, [], [first]
-    hits = [bool(first & ends)]
+    met = lambda states: sum(ends[x] for x in states & ends.keys())
+    hits = [met(first)]
     for now in queue:
         row = []
         for c in range(len(samples)):
-            to = now if search and hits[number[now]] else frozenset().union(*(after[x][c] for x in now if after[x][c]))
+            to = frozenset().union(*(after[x][c] for x in now if after[x][c]))
             if to not in number:
                 number[to] = len(queue)
                 queue.append(to)
-                hits.append(bool(to & ends))
+                hits.append(met(to))
             row.append(number[to])
         rows.append(row)
     block, first_of = _minimise(np.array(rows), np.array(hits))
@@ -243,7 +269,7 @@ def compile_rules(patterns: list[str], search: bool) -> Dfa:
     rank[order] = np.arange(len(order))
     table = rank[block[np.array(rows)[first_of[order]]]]
     accepts = np.array(hits)[first_of[order]]
-    stuck = np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & ~accepts)
+    stuck = np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & (accepts == 0))
     return Dfa(classes, table, accepts, int(stuck[0]) if len(stuck) else -1)
 
 
@@ -305,9 +331,9 @@ class Scanner:
         self.kinds = [r.kind for r in rules]
         self.search = compile_rules([r.needs for r in rules], search=True)
         self.exact = [compile_rules([r.pattern], search=False) for r in rules]
+        self.begins = [compile_rules([r.pattern], search=True, backwards=True) for r in rules]
         self.checks = [r.check for r in rules]
-        to_start = (self.search.table == 0) | self.search.accepts[:, None]
-        self.resets = to_start.all(0)[self.search.classes]
+        self.resets = (self.search.table == 0).all(0)[self.search.classes]
         self.least = self._shortest()
 
     def _shortest(self) -> int:
@@ -318,8 +344,8 @@ class Scanner:
             depth += 1
         return depth
 
-    def flagged(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Byte bounds of the segments in which some rule matches."""
+    def flagged(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte bounds of the segments that meet a rule, and the bits of those rules."""
         stop = self.resets[data]
         begin = np.concatenate([offs[:-1], np.flatnonzero(stop) + 1])
         end = np.concatenate([offs[1:], np.flatnonzero(stop)])
@@ -329,38 +355,55 @@ class Scanner:
         keep = np.flatnonzero(size >= self.least)
         keep = keep[np.argsort(-size[keep], kind="stable")]
         begin, end, size = begin[keep], end[keep], size[keep]
+        met = np.zeros(len(size), np.int64)
         if not len(size):
-            return begin, end
+            return begin, end, met
         state = np.zeros(len(size), np.int32)
         symbols = self.search.classes[data]
-        flat, width = self.search.flat, self.search.width
+        flat, width, accepts = self.search.flat, self.search.width, self.search.accepts
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
-        for step, n in enumerate(live.tolist()):
+        together = int(np.searchsorted(-live, -LANES, "left"))
+        for step, n in enumerate(live[:together].tolist()):
             state[:n] = flat[state[:n] * width + symbols[begin[:n] + step]]
-        hit = np.flatnonzero(self.search.accepts[state])
+            met[:n] |= accepts[state[:n]]
+        for i in range(live[together] if together < len(live) else 0):
+            met[i] |= self._alone(symbols[begin[i] + together : end[i]], int(state[i]))
+        hit = np.flatnonzero(met)
         hit = hit[np.argsort(begin[hit])]
-        return begin[hit], end[hit]
-
-    def spans(self, segment: bytes) -> Iterator[tuple[int, int, int]]:
-        """(start, rule, end) in bytes: leftmost, longest, non-overlapping per rule."""
-        for k, dfa in enumerate(self.exact):
-            symbols, table, accepts, dead = dfa.classes[np.frombuffer(segment, np.uint8)].tolist(), dfa.table.tolist(), dfa.accepts.tolist(), dfa.dead
-            at, n = 0, len(segment)
-            while at < n:
-                state, found, i = 0, -1, at
-                while i < n:
+        return begin[hit], end[hit], met[hit]
+
+    def _alone(self, symbols: np.ndarray, state: int) -> int:
+        """Bits of the rules met on the rest of one segment."""
+        table, accepts, met = self.search.rows, self.search.marks, 0
+        for c in symbols.tolist():
+            state = table[state][c]
+            met |= accepts[state]
+        return met
+
+    def spans(self, segment: bytes, met: int) -> Iterator[tuple[int, int, int]]:
+        """(start, rule, end) in bytes of the rules in met: leftmost, longest, non-overlapping per rule."""
+        raw = np.frombuffer(segment, np.uint8)
+        for k, (dfa, back) in enumerate(zip(self.exact, self.begins)):
+            if not met >> k & 1:
+                continue
+            marks, state, table, accepts = bytearray(len(segment)), 0, back.rows, back.marks
+            for i, c in zip(range(len(segment) - 1, -1, -1), back.classes[raw[::-1]].tolist()):
+                state = table[state][c]
+                if accepts[state]:
+                    marks[i] = 1
+            symbols, table, accepts, dead = dfa.classes[raw].tolist(), dfa.rows, dfa.marks, dfa.dead
+            at = marks.find(1)
+            while at >= 0:
+                state, found = 0, at + 1
+                for i in range(at, len(segment)):
                     state = table[state][symbols[i]]
                     if state == dead:
                         break
-                    i += 1
                     if accepts[state]:
-                        found = i
-                if found > at:
-                    if self.checks[k] is None or self.checks[k](segment[at:found]):
-                        yield at, k, found
-                    at = found
-                else:
-                    at += 1
+                        found = i + 1
+                if self.checks[k] is None or self.checks[k](segment[at:found]):
+                    yield at, k, found
+                at = marks.find(1, found)
 
 
 @lru_cache
@@ -373,13 +416,13 @@ def _scan(shared, base: int):
         automaton: Scanner = shared.value
         for batch in batches:
             for a, b, data, offs in chunks(batch.column(1)):
-                begin, end = automaton.flagged(data, offs)
+                begin, end, met = automaton.flagged(data, offs)
                 rows: list[list[tuple[int, int, int]]] = [[] for _ in range(b - a)]
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if len(begin) else None
                 owner = np.searchsorted(offs, begin, "right") - 1
-                for x, y, r in zip(begin.tolist(), end.tolist(), owner.tolist()):
+                for x, y, r, m in zip(begin.tolist(), end.tolist(), owner.tolist(), met.tolist()):
                     zero = points[offs[r]]
-                    rows[r] += [(int(points[x + s] - zero), k, int(points[x + e] - zero)) for s, k, e in automaton.spans(data[x:y].tobytes())]
+                    rows[r] += [(int(points[x + s] - zero), k, int(points[x + e] - zero)) for s, k, e in automaton.spans(data[x:y].tobytes(), m)]
                 spans, digests, counts = [], [], [[] for _ in range(base)]
                 for row in rows:
                     row.sort()
@@ -397,7 +440,7 @@ def _scan(shared, base: int):
 
 def scan(documents: DataFrame, base: tuple[Rule, ...] = BASE_RULES, more: tuple[Rule, ...] = MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, a count per base kind, base_sha256, spans (kind:start:end, by start)."""
-    shared = documents.sparkSession.sparkContext.broadcast(scanner(base + more))
+    shared = runtime.ship(documents.sparkSession).sparkContext.broadcast(scanner(base + more))
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{r.kind} bigint" for r in base)
     out = rows.mapInArrow(_scan(shared, len(base)), f"doc bigint, {counts}, base_sha256 string, spans string")
