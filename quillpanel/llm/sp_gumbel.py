@@ -19,15 +19,22 @@ as sampling without replacement.  With the next value ``t`` in the heap, the
 inclusion score of a segmentation is ``1 - exp(-exp(log p - t))`` (1 if nothing
 is left).  All draws of a row come from its key and the seed.
 
+Lattices are built once per unit type (a trie walk over all positions of the new
+types of a chunk) and kept as flat arrays; the draws of all units of a chunk
+advance together, one piece at a time.  What is left beside a draw is summed
+along its path in logarithms, edge by edge, so no part is lost to rounding.
+Only the one unit in which a region differs is drawn alone: the draw leaves the
+paths that are taken at some edge, chosen by the mass behind it.
+
 Decoding joins pieces, turns byte pieces into their bytes and blanks marks into
 spaces; any sampled segmentation decodes to the same text as the plain encoding.
 
 Cases: null and empty texts have one empty segmentation with inclusion 1; texts
 with fewer segmentations than asked for give all of them; repeated keys give
-equal draws for equal texts; null keys are a key like others; an empty table
-gives an empty result; other columns are ignored.  The share of a part is summed
-over its own branches where ``1 - taken`` would cancel, so no part is dropped
-for being improbable.
+equal draws for equal texts; null keys are a key like others; equal perturbed
+values (ties) have probability zero and go by order of discovery; texts of any
+length, blanks only included, cost time in proportion; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,26 +43,25 @@ import hashlib
 import heapq
 import math
 import random
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
+from .vectext import U64, byte_names, mix, ragged
+
 OFFSET = 10.0
-#: Below this share what is left of a unit is summed anew.
-CLOSE = 1e-3
-#: Ids in one frame of results.
-FRAME_IDS = 500_000
-#: Unit types that one worker remembers.
-REMEMBER = 200_000
-#: Edges of the units that one worker remembers; long units have many.
-REMEMBER_EDGES = 200_000
+#: Characters of text that a worker samples at once (a longer text is one chunk).
+CHUNK = 1 << 19
+#: Edges of lattices that a worker remembers; beyond, it starts anew.
+REMEMBER = 3_000_000
 MARK = "▁"
-_UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_STEP, _PLACE, _DRAW, _NOISE = (U64(int(x, 16)) for x in ("9E3779B97F4A7C15", "C2B2AE3D27D4EB4F", "165667B19E3779F9", "27D4EB2F165667C5"))
 _models: dict[tuple[str, float], Model] = {}
 
 
@@ -65,139 +71,311 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Unit:
-    """The lattice of one unit: for each end position its incoming pieces with cumulative shares."""
+def _times(x: np.uint64, n: int) -> np.uint64:
+    return U64(int(x) * n & (1 << 64) - 1)
 
-    __slots__ = ("ends", "size", "paths")
 
-    def __init__(self, ends: list[list[tuple[float, int, tuple[int, ...], float]]], size: int, paths: int):
-        self.ends, self.size, self.paths = ends, size, paths
+def _uniform(noise: np.ndarray) -> np.ndarray:
+    return (mix(noise) >> U64(11)) * 2.0**-53
 
-    def draw(self, rng: random.Random, at: int | None = None) -> tuple[tuple[int, ...], float]:
-        """(ids, log-probability) of one segmentation, or of one of the first ``at`` characters."""
-        at, out, logp = self.size if at is None else at, [], 0.0
-        while at:
-            u = rng.random()
-            edges = self.ends[at]
-            for edge in edges:
-                if u < edge[0]:
-                    break
-            out.append(edge[2])
-            logp += edge[3]
-            at = edge[1]
-        return tuple(i for ids in reversed(out) for i in ids), logp
-
-    def all(self) -> list[tuple[tuple[int, ...], float]]:
-        full: list[list[tuple[tuple[int, ...], float]]] = [[((), 0.0)]]
-        for at in range(1, self.size + 1):
-            full.append([(h + ids, lp + g) for _, frm, ids, g in self.ends[at] for h, lp in full[frm]])
-        return full[self.size]
-
-    def other(self, rng: random.Random, taken: dict) -> tuple[tuple[int, ...], float]:
-        """A draw that is not in taken."""
-        if self.paths <= 256:
-            rest = [(ids, lp) for ids, lp in self.all() if ids not in taken]
-            return rng.choices(rest, [math.exp(lp) for _, lp in rest])[0]
-        if sum(map(math.exp, taken.values())) > 0.5:
-            branches = self.branches(taken)
-            lp, frm, ids, path, n = rng.choices(branches, [math.exp(b[0]) for b in branches])[0]
-            head, more = self.draw(rng, frm)
-            return head + ids + path[n:], more + lp
-        while (got := self.draw(rng))[0] in taken:
-            pass
-        return got
-
-    def branches(self, taken: dict) -> list[tuple[float, int, tuple[int, ...], tuple[int, ...], int]]:
-        """Edges by which segmentations leave those in taken: (log-probability, start, ids, the taken path, its ids before the edge's end)."""
-        out, todo = [], [(self.size, 0.0, [(path, len(path)) for path in taken])]
-        while todo:
-            at, lp, held = todo.pop()
-            for _, frm, ids, g in self.ends[at]:
-                same = [(path, n - len(ids)) for path, n in held if path[n - len(ids) : n] == ids]
-                if not same:
-                    out.append((lp + g, frm, ids, *held[0]))
-                elif frm:
-                    todo.append((frm, lp + g, same))
-        return out
 
-    def left(self, taken: dict) -> float:
-        """The share of the segmentations that are not in taken."""
-        rest = 1.0 - sum(map(math.exp, taken.values()))
-        return rest if rest > CLOSE else sum(math.exp(b[0]) for b in self.branches(taken))
+def _below(bound: float, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel values of the given log masses, truncated at bound."""
+    with np.errstate(divide="ignore"):
+        g = log_mass - np.log(-np.log(np.maximum(u, 1e-300)))
+    return -np.logaddexp(-bound, -g)
+
+
+class Draw:
+    """One segmentation of each of a row of units."""
+
+    def __init__(self, lp: np.ndarray, left: np.ndarray, edges: np.ndarray, at: np.ndarray):
+        #: per unit: its log-probability, log of what it leaves; edges in order and their offsets by unit
+        self.lp, self.left, self.edges, self.at = lp, left, edges, at
+
+    def part(self, a: int, b: int) -> Draw:
+        x, y = self.at[a], self.at[b]
+        return Draw(self.lp[a:b], self.left[a:b], self.edges[x:y], self.at[a : b + 1] - x)
 
 
 class Model:
+    """Weighted pieces as a trie, and the lattices of the unit types met, as flat arrays."""
+
     def __init__(self, path: str, alpha: float):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces, self.bytes = {}, {}
-        self.longest, n = 1, self.sp.get_piece_size()
-        self.text = []
-        for i in range(n):
+        self.pieces, self.bytes, self.raw = {}, {}, []
+        for i in range(self.sp.get_piece_size()):
             p = self.sp.id_to_piece(i)
-            self.text.append(p)
+            self.raw.append(p.encode())
             if self.sp.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
+                self.raw[i] = bytes([int(p[3:5], 16)])
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 self.pieces[p] = (i, -alpha * math.log(OFFSET - self.sp.get_score(i)))
-                self.longest = max(self.longest, len(p))
-        self.back = {v: k for k, v in self.bytes.items()}
-        self.rare = -alpha * math.log(OFFSET + n)
+        self.rare = -alpha * math.log(OFFSET + len(self.raw))
         self.unknown = self.sp.unk_id()
-        self.known: dict[str, Unit] = {}
-        self.edges = 0
-
-    def unit(self, text: str) -> Unit:
-        got = self.known.get(text)
-        if got is None:
-            if len(self.known) >= REMEMBER or self.edges >= REMEMBER_EDGES:
-                self.known.clear()
-                self.edges = 0
-            got = self.known[text] = self._lattice(text)
-            self.edges += sum(map(len, got.ends))
-        return got
-
-    def _lattice(self, text: str) -> Unit:
-        n = len(text)
-        total, paths, ends = [0.0] * (n + 1), [1] + [0] * n, [[]]
-        for at in range(1, n + 1):
-            edges = []
-            for frm in range(max(0, at - self.longest), at):
-                if hit := self.pieces.get(text[frm:at]):
-                    edges.append((frm, (hit[0],), hit[1]))
-            if not any(frm == at - 1 for frm, *_ in edges):
-                raw = text[at - 1].encode("utf-8", "replace")
-                ids = tuple(self.bytes.get(b, self.unknown) for b in raw)
-                edges.append((at - 1, ids, self.rare * len(ids)))
-            scores = [total[frm] + w for frm, _, w in edges]
-            top = max(scores)
-            mass = [math.exp(s - top) for s in scores]
-            whole = sum(mass)
-            total[at] = top + math.log(whole)
-            seen, row = 0.0, []
-            for (frm, ids, _), m in zip(edges, mass):
-                seen += m
-                row.append((seen / whole, frm, ids, math.log(m / whole) if m else -math.inf))
-                paths[at] = min(paths[at] + paths[frm], 1 << 40)
-            ends.append(row)
-        return Unit(ends, n, paths[n])
-
-    def units(self, text: str | None) -> list[Unit]:
-        return [self.unit(u) for u in _UNITS.findall(self.sp.normalize(text or ""))]
+        child: dict[tuple[int, int], int] = {}
+        ends, weights = [-1], [0.0]
+        for p, (i, w) in self.pieces.items():
+            node = 0
+            for c in map(ord, p):
+                node = child.setdefault((node, c), len(child) + 1)
+                if node == len(ends):
+                    ends.append(-1)
+                    weights.append(0.0)
+            ends[node], weights[node] = i, w
+        keys = np.array([n << 21 | c for n, c in child], np.int64)
+        order = np.argsort(keys)
+        self.steps, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.fromiter(child.values(), np.int64, len(child))[order], 0)
+        self.ends, self.weights = np.array(ends), np.array(weights)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        #: by type: first node and length; by node: first edge; by edge: start, id, log share, log of the other shares, cumulative share
+        self.node, self.size, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.frm, self.id, self.lp, self.rest, self.cum = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0)
+
+    def _edges(self, cps: np.ndarray, begin: np.ndarray, size: np.ndarray):
+        """(type, start, end, id, weight) of all pieces that lie in the units [begin, begin + size)."""
+        kind, start = np.repeat(np.arange(len(size)), size), ragged(np.zeros_like(size), size)
+        place, stop = begin[kind] + start, size[kind]
+        out, single = [], np.zeros(len(kind), bool)
+        live, node = np.arange(len(kind)), np.zeros(len(kind), np.int64)
+        depth = 0
+        while len(live):
+            key = node << 21 | cps[place[live] + depth]
+            i = np.searchsorted(self.steps, key)
+            ok = self.steps[i] == key
+            live, node = live[ok], self.to[i[ok]]
+            depth += 1
+            hit = self.ends[node] >= 0
+            if depth == 1:
+                single[live[hit]] = True
+            x = live[hit]
+            out.append((kind[x], start[x], start[x] + depth, self.ends[node[hit]], self.weights[node[hit]]))
+            more = start[live] + depth < stop[live]
+            live, node = live[more], node[more]
+        x = np.flatnonzero(~single)
+        c = cps[place[x]]
+        width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+        out.append((kind[x], start[x], start[x] + 1, -1 - c, self.rare * width))
+        return (np.concatenate(c) for c in zip(*out))
+
+    def _learn(self, cps: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Lattices of new unit types."""
+        kind, frm, at, ids, weight = self._edges(cps, begin, size)
+        order = np.argsort(at * len(size) + kind)
+        kind, frm, at, ids, weight = (x[order] for x in (kind, frm, at, ids, weight))
+        base = np.concatenate([[0], np.cumsum(size + 1)])
+        nodes = base[kind] + at
+        source = base[kind] + frm
+        total = np.zeros(base[-1])
+        lp, rest, share, later = np.zeros(len(kind)), np.zeros(len(kind)), np.zeros(len(kind)), np.ones(len(kind), bool)
+        bounds = np.searchsorted(at, np.arange(1, int(size.max(initial=0)) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            score = total[source[a:b]] + weight[a:b]
+            head = np.flatnonzero(np.diff(nodes[a:b], prepend=-1))
+            run = np.repeat(np.arange(len(head)), np.diff(np.append(head, b - a)))
+            top = np.maximum.reduceat(score, head)
+            mass = np.exp(score - top[run])
+            whole = np.add.reduceat(mass, head)
+            total[nodes[a:b][head]] = top + np.log(whole)
+            lp[a:b] = score - (top + np.log(whole))[run]
+            # what the others have: summed without the edge where it is the greatest
+            best = np.zeros(b - a, bool)
+            best[head + _argmax(score, head, run)] = True
+            others = np.where(best, np.add.reduceat(np.where(best, 0.0, mass), head)[run], whole[run] - mass)
+            others /= whole[run]
+            with np.errstate(divide="ignore"):
+                rest[a:b] = np.log(others)
+            x = np.flatnonzero(best) + a
+            lp[x] = np.log1p(-others[best])
+            share[a:b] = mass / whole[run]
+            later[a:b] = ~best
+        order = np.argsort(2 * nodes + later)  # the greatest first, as most draws take it
+        nodes, share = nodes[order], share[order]
+        first = np.searchsorted(nodes, np.arange(base[-1]))
+        cum, place = share.copy(), np.arange(len(nodes)) - first[nodes]
+        for r in range(1, int(place.max(initial=0)) + 1):
+            x = np.flatnonzero(place == r)
+            cum[x] += cum[x - 1]
+        last = np.append(nodes[1:] != nodes[:-1], True) if len(nodes) else np.zeros(0, bool)
+        cum[last] = 2.0
+        self.node = np.concatenate([self.node, len(self.first) - 1 + base[:-1]])
+        self.size = np.concatenate([self.size, size])
+        self.first = np.concatenate([self.first[:-1], len(self.frm) + first, [len(self.frm) + len(nodes)]])
+        for name, x in (("frm", frm), ("id", ids), ("lp", lp), ("rest", rest)):
+            setattr(self, name, np.concatenate([getattr(self, name), x[order].astype(getattr(self, name).dtype)]))
+        self.cum = np.concatenate([self.cum, cum])
+
+    def kinds(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The type of each unit."""
+        raw = cps.astype("<u4").view(np.uint8)
+        names, first, inverse = np.unique(byte_names(raw, 4 * begin, 4 * end), return_index=True, return_inverse=True)
+        if len(self.frm) > REMEMBER:
+            self.clear()
+        keys = names.tolist()
+        found = [self.known.get(k, -1) for k in keys]
+        new = [i for i, x in enumerate(found) if x < 0]
+        if new:
+            at = len(self.known)
+            self._learn(cps, begin[first[new]], (end - begin)[first[new]])
+            for j, i in enumerate(new):
+                found[i] = self.known[keys[i]] = at + j
+        return np.array(found, np.int64)[inverse.ravel()]
+
+    def draw(self, kinds: np.ndarray, noise: np.ndarray) -> Draw:
+        """One segmentation of each unit, from the unit's noise."""
+        base, at = self.node[kinds], self.size[kinds].copy()
+        lp, left, count = np.zeros(len(kinds)), np.full(len(kinds), -np.inf), np.zeros(len(kinds), np.int64)
+        live, steps = np.flatnonzero(at), []
+        while len(live):
+            e = self.first[base[live] + at[live]]
+            u = _uniform(noise[live] + _times(_STEP, len(steps) + 1))
+            todo = np.flatnonzero(u >= self.cum[e])
+            while len(todo):
+                e[todo] += 1
+                todo = todo[u[todo] >= self.cum[e[todo]]]
+            left[live] = np.logaddexp(left[live], lp[live] + self.rest[e])
+            lp[live] += self.lp[e]
+            at[live] = self.frm[e]
+            steps.append((live, e))
+            count[live] += 1
+            live = live[at[live] > 0]
+        offsets = np.concatenate([[0], np.cumsum(count)])
+        edges = np.empty(int(offsets[-1]), np.int64)
+        for k, (unit, e) in enumerate(steps):
+            edges[offsets[unit + 1] - 1 - k] = e
+        return Draw(lp, left, edges, offsets)
+
+    def branches(self, kind: int, taken: list[tuple[int, ...]]) -> list[tuple[float, int, tuple[int, ...]]]:
+        """How segmentations of a unit leave the taken ones: (log mass, characters before the edge, the edges from there)."""
+        out, todo, base = [], [(int(self.size[kind]), 0.0, [(p, len(p)) for p in taken])], int(self.node[kind])
+        while todo:
+            at, lp, held = todo.pop()
+            for e in range(int(self.first[base + at]), int(self.first[base + at + 1])):
+                same = [(p, n - 1) for p, n in held if p[n - 1] == e]
+                frm, mass = int(self.frm[e]), lp + float(self.lp[e])
+                if not same:
+                    out.append((mass, frm, (e, *held[0][0][held[0][1] :])))
+                elif frm:
+                    todo.append((frm, mass, same))
+        return out
+
+    def other(self, kind: int, taken: list[tuple[int, ...]], rng: random.Random) -> tuple[tuple[int, ...], float]:
+        """(edges, log-probability) of a draw that is not taken."""
+        ways = self.branches(kind, taken)
+        top = max(w[0] for w in ways)
+        lp, at, tail = rng.choices(ways, [math.exp(w[0] - top) for w in ways])[0]
+        head, base = [], int(self.node[kind])
+        while at:
+            u, e = rng.random(), int(self.first[base + at])
+            while u >= self.cum[e]:
+                e += 1
+            head.append(e)
+            lp += float(self.lp[e])
+            at = int(self.frm[e])
+        return (*reversed(head), *tail), lp
+
+    def left(self, kind: int, taken: list[tuple[int, ...]]) -> float:
+        """Log of the share of a unit's segmentations that are not taken."""
+        ways = [w[0] for w in self.branches(kind, taken)]
+        top = max(ways, default=-math.inf)
+        return top if top == -math.inf else top + math.log(math.fsum(math.exp(w - top) for w in ways))
+
+    def top_k(self, kinds: np.ndarray, draws: list[Draw], seed: int) -> list[tuple[np.ndarray, float, float]]:
+        """Up to len(draws) distinct segmentations (edges, log p, inclusion score) in Gumbel order, from independent draws of the units."""
+        if not len(kinds):
+            return [(np.zeros(0, np.int64), 0.0, 1.0)]
+        rng, places = random.Random(seed), np.arange(len(kinds)).astype(U64) * _PLACE
+        heap: list[tuple[float, int, int]] = []
+        held = []  # (segmentation, taken paths of its first open unit, that unit, values of the regions)
+
+        def opened(found: Draw, j: int, taken: list[tuple[int, ...]], value: float) -> None:
+            """Push the regions that found leaves open from unit j on."""
+            left = found.left.copy()
+            left[:j] = -np.inf
+            if taken:
+                left[j] = self.left(int(kinds[j]), taken)
+            u = _uniform(places + U64(seed & (1 << 64) - 1) + _times(_NOISE, len(held) + 1))
+            values = _below(value, np.cumsum(found.lp) - found.lp + left, u)
+            held.append((found, taken, j, values))
+            best(len(held) - 1)
+
+        def best(i: int) -> None:
+            values = held[i][3]
+            j = int(values.argmax())
+            if values[j] > -np.inf:
+                heapq.heappush(heap, (-float(values[j]), i, j))
+
+        opened(draws[0], 0, [], -math.log(-math.log(rng.random() or 1e-300)))
+        while heap and len(held) < len(draws):
+            minus, i, j = heapq.heappop(heap)
+            was, taken, first, values = held[i]
+            values[j] = -np.inf
+            best(i)
+            gone = taken if j == first and taken else [tuple(was.part(j, j + 1).edges.tolist())]
+            path, lp = self.other(int(kinds[j]), gone, rng)
+            head, tail = was.part(0, j), draws[len(held)].part(j + 1, len(kinds))
+            own = np.array(path, np.int64)
+            at = np.concatenate([head.at, head.at[-1] + len(own) + tail.at])
+            found = Draw(np.concatenate([head.lp, [lp], tail.lp]), np.concatenate([head.left, [-np.inf], tail.left]), np.concatenate([head.edges, own, tail.edges]), at)
+            opened(found, j, [*gone, path], -minus)
+        limit = -heap[0][0] if heap else None
+        out = []
+        for found, *_ in held:
+            lp = float(found.lp.sum())
+            out.append((found.edges, lp, 1.0 if limit is None else -math.expm1(-math.exp(min(lp - limit, 700.0)))))
+        return out
+
+    def ids(self, edges: np.ndarray) -> np.ndarray:
+        """Piece ids of edges; characters without a piece become byte pieces."""
+        out = self.id[edges]
+        odd = np.flatnonzero(out < 0)
+        if len(odd):
+            parts = [[self.bytes.get(b, self.unknown) for b in chr(-1 - x).encode("utf-8", "replace")] for x in out[odd].tolist()]
+            width = np.ones(len(out), np.int64)
+            width[odd] = [len(p) for p in parts]
+            at = np.cumsum(width) - width
+            out = np.repeat(out, width)
+            out[ragged(at[odd], width[odd])] = [i for p in parts for i in p]
+        return out
+
+    def sample(self, texts: list[str | None], seeds: list[int], k: int) -> Iterator[tuple[str, list[tuple[np.ndarray, float, float]]]]:
+        """Per text: its normalised form and up to k segmentations (ids, log p, inclusion score)."""
+        plain = [self.sp.normalize(t) if t else "" for t in texts]
+        cps = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        bound = np.concatenate([[0], np.cumsum([len(p) for p in plain])])
+        mark = cps == ord(MARK)
+        head = mark & ~np.concatenate([[False], mark[:-1]])
+        head[bound[:-1][np.diff(bound) > 0]] = True
+        begin = np.flatnonzero(head)
+        kinds = self.kinds(cps, begin, np.append(begin[1:], len(cps)).astype(np.int64)[: len(begin)])
+        unit = np.searchsorted(begin, bound)
+        places = ragged(np.zeros(len(texts), np.int64), np.diff(unit)).astype(U64) * _PLACE
+        noise = mix(np.repeat(np.array([s & (1 << 64) - 1 for s in seeds], U64), np.diff(unit)) + places)
+        draws = [self.draw(kinds, mix(noise + _times(_DRAW, r + 1))) for r in range(k)]
+        for i, (a, b) in enumerate(zip(unit[:-1].tolist(), unit[1:].tolist())):
+            found = self.top_k(kinds[a:b], [d.part(a, b) for d in draws], seeds[i])
+            yield plain[i], [(self.ids(edges), lp, score) for edges, lp, score in found]
 
     def decode(self, ids: list[int]) -> str:
-        out, raw, back = [], bytearray(), self.back
-        for i in ids:
-            if i in back:
-                raw.append(back[i])
-                continue
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-            out.append(self.text[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return shown(b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace"))
+
+
+def _argmax(score: np.ndarray, head: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Place of the first greatest score within each run."""
+    greatest = np.flatnonzero(score == np.maximum.reduceat(score, head)[run])
+    return greatest[np.flatnonzero(np.diff(run[greatest], prepend=-1))] - head
+
+
+def shown(normalised: str) -> str:
+    """The text that a normalised text's pieces decode to."""
+    text = normalised.replace(MARK, " ")
+    return text[1:] if text.startswith(" ") else text
 
 
 def model(path: str, alpha: float) -> Model:
@@ -206,86 +384,68 @@ def model(path: str, alpha: float) -> Model:
     return _models[path, alpha]
 
 
-def _gumbel(rng: random.Random, log_mass: float) -> float:
-    return log_mass - math.log(-math.log(rng.random() or 1e-300))
-
-
-def _below(bound: float, log_mass: float, rng: random.Random) -> float:
-    """A Gumbel value of the given log mass, truncated at bound."""
-    g = _gumbel(rng, log_mass)
-    hi, lo = max(-bound, -g), min(-bound, -g)
-    return -(hi + math.log1p(math.exp(lo - hi)))
-
-
-def top_k(units: list[Unit], k: int, rng: random.Random) -> list[tuple[list[int], float, float]]:
-    """Up to k distinct segmentations (ids, log p, inclusion score) in Gumbel order."""
-    if not units:
-        return [([], 0.0, 1.0)]
-    # a region: units before ``at`` fixed as in ``path``, unit ``at`` none of ``taken``
-    heap = [(-_gumbel(rng, 0.0), 0, ([], 0, {}))]
-    found, count = [], 1
-    while heap and len(found) < k:
-        minus, _, (path, at, taken) = heapq.heappop(heap)
-        value = -minus
-        new = list(path[:at])
-        for j in range(at, len(units)):
-            new.append(units[j].other(rng, taken) if j == at and taken else units[j].draw(rng))
-        found.append((new, sum(lp for _, lp in new)))
-        before = sum(lp for _, lp in new[:at])
-        for j in range(at, len(units)):
-            ids, lp = new[j]
-            if units[j].paths > 1:
-                gone = {**taken, ids: lp} if j == at else {ids: lp}
-                if len(gone) < units[j].paths and (left := units[j].left(gone)) > 0:
-                    heapq.heappush(heap, (-_below(value, before + math.log(left), rng), count, (new, j, gone)))
-                    count += 1
-            before += lp
-    limit = -heap[0][0] if heap else None
-    score = lambda lp: 1.0 if limit is None else -math.expm1(-math.exp(min(lp - limit, 700.0)))
-    return [([i for ids, _ in new for i in ids], lp, score(lp)) for new, lp in found]
-
-
-def row_rng(seed: int, *key) -> random.Random:
-    return random.Random(int.from_bytes(hashlib.blake2b(repr((seed, *key)).encode(), digest_size=16).digest(), "little"))
+def row_seed(seed: int, *key) -> int:
+    return int.from_bytes(hashlib.blake2b(repr((seed, *key)).encode(), digest_size=8).digest(), "little")
 
 
-def sample(rows: DataFrame, key_cols: list[str], text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 1, path: str | None = None, with_ids: bool = True, with_text: bool = False) -> DataFrame:
-    """Rows (keys, rank, n_pieces, ids_crc32, log_prob, inclusion) and, with_ids, the ids; with_text, the text decoded from them and whether it is that of the plain encoding."""
-    path = path or default_path()
-    names = [f"k{i}" for i in range(len(key_cols))]
-    keys = ", ".join(f"{n} bigint" for n in names)
+def _sampled(path: str, alpha: float, k: int, seed: int, names: list[str], with_ids: bool, with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path, alpha)
 
-    more = ["ids"] * with_ids + ["decoded", "round_trip"] * with_text
+        def rows(keys: list[tuple], texts: list[str | None]) -> pa.RecordBatch:
+            out = []
+            for key, (plain, found) in zip(keys, m.sample(texts, [row_seed(seed, *key) for key in keys], k)):
+                want = shown(plain)
+                for rank, (ids, lp, score) in enumerate(found, 1):
+                    data = ids.astype("<u4")
+                    back = m.decode(ids.tolist())
+                    out.append((*key, rank, len(ids), zlib.crc32(data.tobytes()), lp, score, zlib.crc32(back.encode("utf-8", "replace")), back == want, data.astype("<i4"), back))
+            columns = list(zip(*out)) or [()] * (len(names) + 9)
+            n = len(names)
+            kinds = [pa.int64()] * n + [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            labels = [*names, "rank", "n_pieces", "ids_crc32", "log_prob", "inclusion", "decoded_crc32", "round_trip"]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in columns[n + 7]])]).astype(np.int32)
+                flat = np.concatenate(columns[n + 7]) if out else np.zeros(0, np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
+                labels.append("ids")
+            if with_text:
+                arrays.append(pa.array(columns[n + 8], pa.string()))
+                labels.append("decoded")
+            return pa.RecordBatch.from_arrays(arrays, labels)
+
+        for batch in batches:
+            keys, texts, held = [], [], 0
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                keys.append(tuple(key))
+                texts.append(text)
+                held += len(text or "")
+                if held > CHUNK:
+                    yield rows(keys, texts)
+                    keys, texts, held = [], [], 0
+            yield rows(keys, texts)
+
+    return run
 
-    def framed(out: list[tuple]) -> pd.DataFrame:
-        full = pd.DataFrame(out, columns=[*names, "rank", "n_pieces", "ids_crc32", "log_prob", "inclusion", *more])
-        return full.astype({n: "Int64" for n in names})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model(path, alpha)
-        for frame in frames:
-            out, held = [], 0
-            for *key, text in frame.itertuples(index=False, name=None):
-                key = [None if pd.isna(x) else int(x) for x in key]
-                plain = m.sp.decode(m.sp.encode(text or "")) if with_text else None
-                for rank, (ids, lp, score) in enumerate(top_k(m.units(text), k, row_rng(seed, *key)), 1):
-                    data = np.array(ids, "<u4")
-                    back = [whole := m.decode(ids), whole == plain] if with_text else []
-                    out.append((*key, rank, len(ids), zlib.crc32(data.tobytes()), lp, score, *[data.astype("i4")] * with_ids, *back))
-                    held += len(ids)
-                if held > FRAME_IDS:
-                    yield framed(out)
-                    out, held = [], 0
-            yield framed(out)
+def sample(rows: DataFrame, key_cols: list[str], text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 1, path: str | None = None, with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """Rows (keys, rank, n_pieces, ids_crc32, log_prob, inclusion, decoded_crc32, round_trip) and, with_ids, the ids; with_text, the text decoded from them.
 
+    round_trip says whether the ids decode to what the plain encoding of the text decodes to.
+    """
+    runtime.ship(rows.sparkSession)
+    names = [f"k{i}" for i in range(len(key_cols))]
     inner = rows.select(*(F.col(c).cast("bigint").alias(n) for c, n in zip(key_cols, names)), F.col(text_col).cast("string").alias("text"))
-    schema = f"{keys}, rank int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double" + ", ids array<int>" * with_ids + ", decoded string, round_trip boolean" * with_text
-    out = inner.mapInPandas(run, schema)
+    schema = ", ".join(f"{n} bigint" for n in names) + ", rank int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double, decoded_crc32 bigint, round_trip boolean"
+    schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
+    out = inner.mapInArrow(_sampled(path or default_path(), alpha, k, seed, names, with_ids, with_text), schema)
     return out.withColumnsRenamed(dict(zip(names, key_cols)))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, out_col: str = "decoded") -> DataFrame:
     """Adds the decoded text of a column of ids (null stays null)."""
+    runtime.ship(rows.sparkSession)
     path = path or default_path()
 
     @F.pandas_udf("string")

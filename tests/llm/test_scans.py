@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -52,6 +53,20 @@ def test_secrets_equal_plain_expressions(spark):
     assert [r for r in got if tuple(r)[1:5] != secrets(texts[r[0]], kinds)] == []
 
 
+def test_long_runs_cost_their_length():
+    import time
+
+    scan = secret_scan.scanner(secret_scan.BASE_RULES + secret_scan.MORE_RULES)
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    for text in ["abcdef" * 180_000, "z" * 1_000_000, "token=secret:abcdefghijk " * 40_000, "a:" * 500_000, "ghp_" * 250_000, "password=" * 110_000]:
+        began, data = time.time(), np.frombuffer(text.encode(), np.uint8)
+        begin, end, met = scan.flagged(data, np.array([0, len(data)]))
+        found = [(x + s, k, x + e) for x, y, m in zip(begin.tolist(), end.tolist(), met.tolist()) for s, k, e in scan.spans(data[x:y].tobytes(), m) if k < 3]
+        assert time.time() - began < 2
+        counts = secrets(text, kinds)[:3]
+        assert tuple(sum(k == j for _, k, _ in found) for j in range(3)) == counts
+
+
 def test_more_rules_add_spans_in_code_points(spark):
     token = "ghp_" + "a" * 36
     row = secret_scan.scan(spark.createDataFrame([(1, f"é {token}, ok"), (2, None)], SCHEMA)).orderBy("doc_id").collect()
@@ -89,11 +104,14 @@ def test_text_counts_and_base_rules(spark):
 def test_cutoffs_have_exact_binomial_bounds():
     assert quality_rules.binomial_tail(0, 10, 0.1) == pytest.approx(0.9**10)
     assert quality_rules.binomial_tail(2, 20, 0.3) == pytest.approx(sum(math.comb(20, k) * 0.3**k * 0.7 ** (20 - k) for k in range(3)))
+    assert quality_rules.binomial_tail(480_000, 10**8, 0.005) == pytest.approx(0.5 * math.erfc((20_000 - 0.5) / math.sqrt(10**8 * 0.005 * 0.995 * 2)), rel=0.5)
+    for n, p in ((50, 0.02), (400, 0.3), (1000, 0.999)):
+        for k in range(0, n, max(1, n // 17)):
+            assert quality_rules.binomial_tail(k, n, p) == pytest.approx(math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9, abs=1e-300)
     cuts = {rule: len(c) for rule, (_, c) in quality_rules.RULES.items()}
-    exceed = {("en", rule): [0] * (n - 1) + [500] for rule, n in cuts.items()} | {("xx", rule): [0] * n for rule, n in cuts.items()}
-    chosen = quality_rules.choose(exceed, {"en": 5000, "xx": 20}, 0.02, 0.05)
-    assert all(chosen["en", rule] == quality_rules.RULES[rule][1][-2] for rule in cuts)
-    assert not any(s == "xx" for s, _ in chosen)
+    chosen = quality_rules.choose({rule: [0] * (n - 1) + [500] for rule, n in cuts.items()}, 5000, 2, 0.02, 0.05)
+    assert all(chosen[rule] == quality_rules.RULES[rule][1][-2] for rule in cuts)
+    assert quality_rules.choose({rule: [0] * n for rule, n in cuts.items()}, 20, 2, 0.02, 0.05) == {}
 
 
 def test_rules_reject_junk_and_keep_good(spark):
@@ -129,7 +147,7 @@ def test_word_coder_equals_the_tokenizer():
     from quillpanel.llm.vectext import chunks
 
     rng = random.Random(0)
-    parts = ["don't", "'s", ".", ",", "I'll,", "İstanbul", "ñ", "ño.", "É.", "a.,", "1.", "2,", "ab.", "ΑΣ.", "Å", " ", "\n"]
+    parts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndofText|>", "don't", "'s", ".", ",", "I'll,", "İstanbul", "ñ", "ño.", "É.", "a.,", "1.", "2,", "ab.", "ΑΣ.", "Å", " ", "\n"]
     texts = [*TEXTS, *("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(12)) for _ in range(500))]
     coder, plain = wordbpe.coder(wordbpe.default_path()), Tokenizer.from_file(wordbpe.default_path())
     for a, b, data, offs in chunks(pa.array(texts)):
@@ -164,17 +182,33 @@ def test_packing_is_whole_gapless_and_mixed(spark, weights):
             assert r.offset == at
             at += r.length
         assert at == 128 or k == max(windows)
-    if weights is None:
-        source = {i: s for i, _, s in rows}
-        total = collections.Counter()
-        for i, t in ids.items():
-            total[source[i]] += len(t)
-        for k in sorted(windows)[:-1]:
-            share = collections.Counter()
-            for r in windows[k]:
-                share[source[r.doc_id]] += r.length
-            for s, n in total.items():
-                assert abs(share[s] - 128 * n / sum(total.values())) < 2
+    source, total, done = {i: s for i, _, s in rows}, collections.Counter(), collections.Counter()
+    for i, t in ids.items():
+        total[source[i]] += len(t)
+    share = weights or {s: n**0.5 for s, n in total.items()}
+    longest = max(map(len, ids.values()))
+    for k in sorted(windows):
+        for r in sorted(windows[k], key=lambda r: r.offset):
+            done[source[r.doc_id]] += r.length
+        live = {s: done[s] / share[s] for s in total if done[s] < total[s]}
+        if len(live) == len(total):
+            # every queue has its target proportion within one document and one turn
+            packed, whole = sum(done.values()), sum(share.values())
+            assert all(abs(done[s] - packed * share[s] / whole) <= 2 * longest + 128 for s in total)
+    assert len(got) <= 1.1 * len(ids) + len(windows)
+
+
+def test_packed_ids_come_with_null_and_repeated_ids(spark):
+    rows = [(1, "one two", "a"), (1, "three", "a"), (None, "four five six", None), (2, None, "b"), (3, "<|ENDOFTEXT|> x", "b")]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA + ", source string"), length=4, keep_ids=True).collect()
+    whole = [i for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) for i in r.ids]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(wordbpe.default_path())
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for _, t, _ in rows]
+    assert sorted(whole) == sorted(i for w in want for i in w) and all(len(r.ids) == r.length for r in got)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got) and sum(r.doc_id is None for r in got) >= 1
+    assert packing.pack(spark.createDataFrame([], SCHEMA + ", source string")).count() == 0
 
 
 def test_histogram_answers_totals_quantiles_and_limits(spark):
@@ -195,51 +229,62 @@ def test_histogram_answers_totals_quantiles_and_limits(spark):
         assert half[g] == own[math.ceil(len(own) / 2) - 1]
 
 
-def test_segmentations_are_distinct_decode_alike_and_follow_p():
+def segmentations(m, unit):
+    """Every segmentation of one unit with its log-probability, by enumeration."""
+    full = [[((), 0.0)]]
+    for at in range(1, len(unit) + 1):
+        full.append([(h + (m.pieces[unit[f:at]][0],), lp + m.pieces[unit[f:at]][1]) for f in range(at) if unit[f:at] in m.pieces for h, lp in full[f]])
+    whole = math.log(math.fsum(math.exp(lp) for _, lp in full[-1]))
+    return {ids: lp - whole for ids, lp in full[-1]}
+
+
+def test_segmentations_are_distinct_and_decode_alike():
     m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
-    for text in ["Hello world  foo", "é😀 x\ny", "a", "", "  lead", None, "tab\tx"]:
-        got = sp_gumbel.top_k(m.units(text), 3, sp_gumbel.row_rng(1, text))
-        assert len({tuple(ids) for ids, *_ in got}) == len(got) >= 1
-        plain = m.sp.decode(m.sp.encode(text or ""))
-        assert all(m.decode(ids) == plain == m.sp.decode(ids) and 0 <= s <= 1 for ids, _, s in got)
-    units = m.units("abc")
-    full = [((), 0.0)]
+    for text in ["Hello world  foo", "é😀 x\ny", "a", "", "  lead", None, "tab\tx", " " * 9, " " * 15, "a" * 3000, "\ue000\ue001"]:
+        ((plain, got),) = m.sample([text], [sp_gumbel.row_seed(1, text)], 3)
+        want = m.sp.decode(m.sp.encode(text or ""))
+        assert len({tuple(ids) for ids, *_ in got}) == len(got) >= 1 and sp_gumbel.shown(plain) == want
+        assert all(m.decode(ids.tolist()) == want == m.sp.decode(ids.tolist()) and 0 <= s <= 1 for ids, _, s in got)
+
+
+@pytest.mark.parametrize("text", ["abcd efgh", " " * 9, "nation"])
+def test_all_segmentations_come_when_asked_for(text):
+    m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
+    units = re.findall(f"{sp_gumbel.MARK}*[^{sp_gumbel.MARK}]+|{sp_gumbel.MARK}+", m.sp.normalize(text))
+    want = {(): 0.0}
     for u in units:
-        full = [(h + i, lp + g) for h, lp in full for i, g in u.all()]
-    p = {i: math.exp(lp) for i, lp in full}
-    assert sum(p.values()) == pytest.approx(1)
-    pairs = collections.Counter()
-    for i in range(6000):
-        r = sp_gumbel.top_k(units, 2, random.Random(i))
-        pairs[tuple(r[0][0]), tuple(r[1][0])] += 1
+        want = {h + ids: x + y for h, x in want.items() for ids, y in segmentations(m, u).items()}
+    ((_, got),) = m.sample([text], [3], len(want) + 5)
+    found = {tuple(ids.tolist()): lp for ids, lp, _ in got}
+    assert len(got) == len(found) == len(want) and all(s == 1 for *_, s in got)
+    assert all(found[ids] == pytest.approx(lp) for ids, lp in want.items())
+
+
+def test_draws_follow_p_and_inclusion_scores_are_unbiased():
+    m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
+    p = {ids: math.exp(lp) for ids, lp in segmentations(m, sp_gumbel.MARK + "abc").items()}
+    n, pairs, weight = 8000, collections.Counter(), collections.Counter()
+    for _, got in m.sample(["abc"] * n, [sp_gumbel.row_seed(1, i) for i in range(n)], 2):
+        pairs[tuple(tuple(ids.tolist()) for ids, *_ in got)] += 1
+        for ids, _, s in got:
+            weight[tuple(ids.tolist())] += 1 / s
     top = sorted(p, key=p.get)[-3:]
     for a in top:
+        assert weight[a] / n == pytest.approx(1, abs=0.25)
         for b in top:
             if a != b:
-                assert pairs[a, b] / 6000 == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.02)
+                assert pairs[a, b] / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.02)
 
 
 def test_sampling_rows_is_seeded_by_key(spark):
     rows = spark.createDataFrame([(1, 0, "some words here"), (2, None, "some words here"), (3, 1, None)], "conv_id bigint, turn bigint, text string")
     run = lambda: sorted(map(tuple, sp_gumbel.sample(rows, ["conv_id", "turn"], k=2, with_ids=False).collect()), key=str)
     once = run()
-    assert once == run() and (3, 1, 1, 0, 0, 0.0, 1.0) in once
+    assert once == run() and (3, 1, 1, 0, 0, 0.0, 1.0, 0, True) in once
     back = sp_gumbel.decode(sp_gumbel.sample(rows, ["conv_id", "turn"])).collect()
     assert {r.decoded for r in back if r.conv_id < 3} == {"some words here"}
 
 
-def test_improbable_segmentations_are_not_dropped():
-    faint = sp_gumbel.Unit([[], [(1 - 1e-12, 0, (1,), math.log1p(-1e-12)), (1.0, 0, (2,), math.log(1e-12))]], 1, 2)
-    assert sorted(ids for ids, *_ in sp_gumbel.top_k([faint], 3, random.Random(1))) == [[1], [2]]
-    m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
-    unit = m.unit("▁internationally")
-    full = dict(unit.all())
-    taken = dict(sorted(full.items(), key=lambda x: -x[1])[: len(full) // 2])
-    assert unit.left(taken) == pytest.approx(sum(math.exp(lp) for ids, lp in full.items() if ids not in taken), rel=1e-9)
-    ids, lp = unit.other(random.Random(1), taken)
-    assert unit.paths > 256 and ids not in taken and lp == pytest.approx(full[ids])
-
-
 def test_sampling_query_segments_documents_and_decodes_them(spark):
     from quillpanel.llm import queries
 
@@ -247,7 +292,7 @@ def test_sampling_query_segments_documents_and_decodes_them(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
     m = sp_gumbel.model(sp_gumbel.default_path(), 1.0)
     assert {r.doc_id for r in got} == set(texts) and all(r.round_trip for r in got)
-    assert all(m.sp.decode(list(r.ids)) == r.decoded and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    assert all(zlib.crc32(m.sp.decode(m.sp.encode(texts[r.doc_id] or "")).encode()) == r.decoded_crc32 == zlib.crc32(m.sp.decode(list(r.ids)).encode()) and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
 
 
 def test_long_numbers_become_phones_or_cards_by_their_context(spark):
