@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch unless the session says otherwise: with whole texts, Spark's own 10,000
+#: make batches of tens of MB, several times over in each task, outside the heap.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -19,6 +23,8 @@ def ship(spark: SparkSession) -> SparkSession:
     only the driver's path holds it (a checkout), workers could not unpickle
     its functions.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
