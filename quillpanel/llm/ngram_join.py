@@ -237,6 +237,7 @@ def adaptive_prefixes(docs: DataFrame, sets: DataFrame, reps: DataFrame, n: int,
     more = full(rows.where("pos < 0").select("sid").distinct().join(whole.select("sid"), "sid", "left_anti"))
     late = scratch.table(whole.unionByName(more).mapInArrow(_emit_prefixes(percent, order), _PREFIX), "full-prefixes")
     scratch.drop(whole, more)
+    shared.destroy()
     return rows.where("pos >= 0").unionByName(late), order
 
 
@@ -403,6 +404,7 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, lower: boo
     rest = check(pairs, "rest-links")
     links = scratch.table(stars.unionByName(rest).where("pos < 0 and linked").select("a", "b"), "links")
     scratch.drop(rows, family, first, second, rest, labels, pairs, reps)
+    order.destroy()
     return links
 
 

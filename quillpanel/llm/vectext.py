@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are processed at once (a single longer text is one chunk).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 _M1 = U64(int("BF58476D1CE4E5B9", 16))
