@@ -28,8 +28,9 @@ MIN_CAP = 0.0
 STREAK_DAYS, STREAK_MIN, PRUNE_DAYS, COOLDOWN_DAYS, LOG_CAP = 14, 8, 90, 1, 400
 VOLUME_GRID = (1.25, 1.5, 1.75, 2.0, 2.5)
 PRICE_GRID = (0.03, 0.05, 0.07, 0.10, 0.15)
-WINDOW_GRID = tuple((r, b) for r in (5, 10, 15) for b in (20, 30, 63) if r < b)
-TRIGGERS = (1.25, 1.5, 1.75, 2.0)
+#: The window pairs (recent, base) and triggers of the sweep.
+WINDOW_GRID = ((10, 63), (5, 63), (3, 63), (2, 63), (10, 30), (10, 20), (5, 30), (5, 20), (3, 30), (3, 20), (2, 20))
+TRIGGERS = (1.20, 1.35, 1.50, 1.75)
 PREREGISTERED = ((10, 30, 1.75), (10, 20, 1.5), (5, 20, 1.5))
 PERIODS = (
     ("1998H2", "1998-07-01", "1998-12-31"), ("1999H1", "1999-01-01", "1999-06-30"), ("1999H2", "1999-07-01", "1999-12-31"),

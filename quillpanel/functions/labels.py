@@ -22,7 +22,7 @@ def streak_label(count: Column, span: Column, least: int) -> tuple[Column, Colum
 
 
 def regime_label(score: Column) -> Column:
-    return F.when(score.isNull(), "?").when(score >= 8, "strong risk-on").when(score >= 2, "risk-on").when(score > -2, "neutral").when(score > -8, "risk-off").otherwise("strong risk-off")
+    return F.when(score.isNull(), "?").when(score >= 8, "strong risk-on").when(score >= 2, "risk-on").when(score > -2, "mixed").when(score > -8, "risk-off").otherwise("strong risk-off")
 
 
 def health(errors: Column, lag: Column, missing: Column, most_lag: int = 3) -> Column:

@@ -86,13 +86,19 @@ def running(x: Column | str) -> Column:
     return F.sum(col(x)).over(span(Window.unboundedPreceding))
 
 
-#: q ** -t stays finite below this many rows for n >= 14.
-EWM_ROWS = 9000
-
-
-def smooth(x: Column, first: Column, n: int) -> Column:
-    """Exponential mean with weight 1/n, started at the row ``first`` (closed form, up to EWM_ROWS rows)."""
-    q = 1 - 1 / n
+def smooth(x: Column, first: int, n: int, names: tuple[str, str]) -> tuple[dict[str, Column], Column]:
+    """An exponential mean with weight 1/n started at row ``first``, for histories of any length.
+
+    (columns to add, the mean in terms of them).  The closed form
+    ``q**t * sum(w * x * q**-t)`` is restarted every 100 * n rows, where q**-t is
+    still finite; of the rows before, the value at the last restart remains,
+    and what is older than one stretch weighs less than q**(100 * n), about 1e-43.
+    """
+    q, stretch = 1 - 1 / n, 100 * n
     t = (F.col("rn") - first).cast("double")
+    here = t - F.floor(t / stretch) * stretch
     weight = F.when(F.col("rn") == first, 1.0).otherwise(1.0 / n)
-    return F.when(t >= 0, F.pow(F.lit(q), t) * F.sum(F.when(t >= 0, weight * x * F.pow(F.lit(q), -t))).over(span(Window.unboundedPreceding)))
+    chunk = Window.partitionBy("ticker", F.floor(t / stretch)).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(t >= 0, F.pow(F.lit(q), here) * F.sum(F.when(t >= 0, weight * x * F.pow(F.lit(q), -here))).over(chunk))
+    carried = F.last(F.when(here == stretch - 1, F.col(names[0])), ignorenulls=True).over(span(Window.unboundedPreceding, -1))
+    return {names[0]: own, names[1]: carried}, F.col(names[0]) + F.coalesce(F.pow(F.lit(q), here + 1) * F.col(names[1]), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MOVE
@@ -20,25 +20,26 @@ def prepared(bars: DataFrame) -> DataFrame:
 
 
 def events(rows: DataFrame) -> DataFrame:
-    """kind (up, down, random), ticker, at; edges are cut after the spacing."""
+    """kind (up, down, random), ticker, at, slot; edges are cut after the spacing, and random draws of one ticker may coincide."""
     inside = (F.col("rn") > BASE_FROM) & (F.col("rn") - 1 + AFTER + 10 < F.col("n_bars"))
 
     def moves(kind: str, cond: Column) -> DataFrame:
         kept = signals.spaced(rows.where(F.coalesce(cond, F.lit(False))), GAP, ["ticker"]).where(inside)
-        return kept.select(F.lit(kind).alias("kind"), "ticker", F.col("rn").alias("at"))
+        return kept.select(F.lit(kind).alias("kind"), "ticker", F.col("rn").alias("at"), F.lit(0).alias("slot"))
 
     sizes = rows.select("ticker", "n_bars").distinct().where(F.col("n_bars") > BASE_FROM + AFTER + 10)
     slots = sizes.withColumn("slot", F.explode(F.array(*map(F.lit, range(3)))))
-    random = slots.select(F.lit("random").alias("kind"), "ticker", (1 + BASE_FROM + draw(F.col("ticker"), F.col("slot")) % (F.col("n_bars") - BASE_FROM - AFTER - 10)).alias("at"))
+    random = slots.select(F.lit("random").alias("kind"), "ticker", (1 + BASE_FROM + draw(F.col("ticker"), F.col("slot")) % (F.col("n_bars") - BASE_FROM - AFTER - 10)).alias("at"), "slot")
     return moves("up", F.col("fwd") >= MOVE).unionByName(moves("down", F.col("fwd") <= -MOVE)).unionByName(random)
 
 
 def curves(rows: DataFrame) -> DataFrame:
     """Mean relative volume and mean rolling ratio per kind and day -20..20."""
-    e = events(rows).withColumn("event", F.concat_ws(":", "kind", "ticker", "at", F.monotonically_increasing_id()))
-    near = e.join(rows.select("ticker", "rn", "dv", "ratio"), "ticker").where(F.col("rn").between(F.col("at") - BASE_FROM, F.col("at") + AFTER)).withColumn("day", F.col("rn") - F.col("at"))
-    base = near.where(F.col("day").between(-BASE_FROM, -BASE_TO)).groupBy("event").agg(F.avg("dv").alias("base")).where("base > 0")
-    shown = near.where(F.col("day") >= -BEFORE).join(base, "event").withColumn("rel", R.divide(F.col("dv"), F.col("base")))
+    event = ["kind", "ticker", "at", "slot"]
+    near = events(rows).join(rows.select("ticker", "rn", "dv", "ratio"), "ticker").where(F.col("rn").between(F.col("at") - BASE_FROM, F.col("at") + AFTER)).withColumn("day", F.col("rn") - F.col("at"))
+    # the baseline comes with each row of its event: one exchange, no join of the branch with itself
+    own = F.avg(F.when(F.col("day").between(-BASE_FROM, -BASE_TO), F.col("dv"))).over(Window.partitionBy(*event))
+    shown = near.withColumn("base", own).where((F.col("base") > 0) & (F.col("day") >= -BEFORE)).withColumn("rel", R.divide(F.col("dv"), F.col("base")))
     return shown.groupBy("kind", "day").agg(F.round(F.avg("rel"), 6).alias("rel_volume"), F.round(F.avg("ratio"), 6).alias("ratio"), F.count("*").alias("n"))
 
 
@@ -53,7 +54,14 @@ def windows(curve: DataFrame) -> DataFrame:
     return out.select("kind", r6(F.col("before"), "before"), r6(F.col("at"), "at"), r6(F.col("after"), "after"), r6(F.col("before") - F.col("b"), "net_before"), r6(F.col("at") - F.col("a"), "net_at"), r6(F.col("after") - F.col("f"), "net_after"), verdict)
 
 
-def sparkline(values: list[float], marks: str = " .:-=+*#%@") -> str:
-    """An ASCII curve."""
-    low, high = min(values), max(values)
-    return "".join(marks[int((v - low) / ((high - low) or 1) * (len(marks) - 1))] for v in values)
+def aligned(curve: DataFrame, kinds: tuple[str, ...] = ("up", "down", "random")) -> DataFrame:
+    """One row per day with the kinds side by side."""
+    return curve.groupBy("day").pivot("kind", list(kinds)).agg(F.first("rel_volume")).select("day", *kinds)
+
+
+def drawn(curve: DataFrame, levels: int = 8) -> DataFrame:
+    """kind and its curve as digits by day: 1 for the lowest of ``levels`` quantile groups, a dot for a missing value."""
+    rank = F.ntile(levels).over(Window.partitionBy("kind", F.col("rel_volume").isNull()).orderBy("rel_volume", "day"))
+    rows = curve.withColumn("mark", F.when(F.col("rel_volume").isNull(), ".").otherwise(rank.cast("string")))
+    marks = F.transform(F.array_sort(F.collect_list(F.struct("day", "mark"))), lambda x: x["mark"])
+    return rows.groupBy("kind").agg(F.array_join(marks, "").alias("curve"))

@@ -41,10 +41,14 @@ def register(name: str, rule: Callable[[SignalSpec], Column]) -> None:
     RULES[name] = rule
 
 
-def trades(rows: DataFrame, spec: SignalSpec) -> DataFrame:
-    """One row per (rule, signal): entry, exit, hold, return, own-window baseline, excess, drawdown."""
+def trades(rows: DataFrame, spec: SignalSpec, least_days: int = 0) -> DataFrame:
+    """One row per (rule, signal): entry, exit, hold, return, own-window baseline, excess, drawdown.
+
+    With least_days, only signals with so many qualifying days (column ``days``).
+    """
     panel = rows.withColumn("ma20", R.mean("close", 20))
-    entries = signals.spaced(rows.where(signals.fires(spec)), spec.gap, ["ticker"]).select("ticker", F.col("rn").alias("at"), F.col("session").alias("entry"), F.col("close").alias("c0"))
+    fired = signals.spaced(rows.where(signals.fires(spec)), spec.gap, ["ticker"])
+    entries = (fired.where(F.col("days") >= least_days) if least_days else fired).select("ticker", F.col("rn").alias("at"), F.col("session").alias("entry"), F.col("close").alias("c0"))
     ahead = panel.select("ticker", "rn", "session", F.col("close").alias("c"), "volume_ratio", "price_change", "ma20")
     fwd = entries.join(ahead, "ticker").where(F.col("rn").between(F.col("at") + 1, F.col("at") + MAX_HOLD)).withColumn("off", F.col("rn") - F.col("at") - 1)
     order = Window.partitionBy("ticker", "at").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,3 +80,13 @@ def summary(done: DataFrame) -> DataFrame:
         F.count("*").alias("n"), r6(F.avg("hold_days"), "mean_hold"), r6(F.avg("return_pct"), "mean_pct"), r6(F.median("return_pct"), "median_pct"), r6(F.avg("excess_pct"), "excess_pct"),
         r6(F.median("excess_pct"), "median_excess_pct"), r6(F.avg(F.coalesce(F.col("excess_pct") > 0, F.lit(False)).cast("double")) * 100, "beat_pct"), r6(F.avg("max_drawdown_pct"), "mean_drawdown_pct"), F.min("max_drawdown_pct").alias("worst_pct"),
     ).withColumn("rule_order", order[F.col("rule")])
+
+
+def best(summed: DataFrame) -> DataFrame:
+    """The rules with the best mean and the best median excess, and whether they differ (then the mean leans on outliers)."""
+    first = lambda c, name: F.max_by(F.struct("rule", F.col(c).alias("x"), "mean_hold"), F.struct(F.col(c), -F.col("rule_order"))).alias(name)
+    both = summed.agg(first("excess_pct", "a"), first("median_excess_pct", "m"))
+    return both.select(
+        F.col("a.rule").alias("best_mean"), F.col("a.x").alias("mean_excess_pct"), F.col("a.mean_hold").alias("mean_hold"),
+        F.col("m.rule").alias("best_median"), F.col("m.x").alias("median_excess_pct"), (F.col("a.rule") != F.col("m.rule")).alias("disagree"),
+    )

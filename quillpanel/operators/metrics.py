@@ -35,6 +35,7 @@ def library(bars: DataFrame, least: int = MIN_BARS) -> DataFrame:
     up = F.coalesce(ret > 0, F.lit(False))
     gain, loss = F.when(F.col("step").isNotNull(), F.greatest("step", F.lit(0.0))), F.when(F.col("step").isNotNull(), F.greatest(-F.col("step"), F.lit(0.0)))
     ma50, ma200, m21, s20, s60 = R.mean(c, 50), R.mean(c, 200), R.mean(dv, 21), R.deviation(ret, 20), R.deviation(ret, 60)
+    (gains, gain_mean), (losses, loss_mean) = R.smooth(gain, 2, 14, ("gain_sum", "gain_carried")), R.smooth(loss, 2, 14, ("loss_sum", "loss_carried"))
     two = one.withColumns({
         "vol_ratio_10_63": R.ratio(dv, 10, 63, False), "vol_ratio_5_21": R.ratio(dv, 5, 21, False), "vol_ratio_21_126": R.ratio(dv, 21, 126, False),
         "dollar_vol_musd": R.mean(dv, 10) / 1e6, "share_vol_ratio": R.ratio(v, 10, 63, False),
@@ -47,14 +48,15 @@ def library(bars: DataFrame, least: int = MIN_BARS) -> DataFrame:
         "close_in_21d_range": R.divide(c - R.lowest(low, 21), R.highest(h, 21) - R.lowest(low, 21)),
         "volatility_20d_pct": s20 * (252**0.5 * 100), "volatility_60d_pct": s60 * (252**0.5 * 100), "vol_of_vol": R.divide(s20, s60),
         "atr_pct": R.divide(R.mean("true_range", 14), c) * 100, "bollinger_width_pct": s20 * 400,
-        "gains": R.smooth(gain, F.lit(2), 14), "losses": R.smooth(loss, F.lit(2), 14),
+        "gain_sum": gains["gain_sum"], "loss_sum": losses["loss_sum"],
         "pct_up_days_21": R.mean(up.cast("double"), 21) * 100, "max_dd_63d_pct": _percent(c, R.highest(c, 63)),
         "return_skew_63": R.skew(ret, 63), "trend_r2_63": R.fit(F.ln(c), 63),
         "gap_freq_21": R.mean(F.coalesce(F.abs(ret) > 0.05, F.lit(False)).cast("double"), 21) * 100,
     })
     slope = lambda x: F.col(x) - F.lag(x, 21).over(R.ordered())
+    two = two.withColumns({"gain_carried": gains["gain_carried"], "loss_carried": losses["loss_carried"]})
     three = two.withColumns({
         "obv_slope_21": R.divide(slope("obv"), F.col("m21_dv")), "ad_slope_21": R.divide(slope("ad"), F.col("m21_v")),
-        "rsi_14": 100 - R.divide(F.lit(100.0), 1 + R.divide(F.col("gains"), F.col("losses"))),
+        "rsi_14": 100 - R.divide(F.lit(100.0), 1 + R.divide(gain_mean, loss_mean)),
     })
     return three.select("ticker", "session", "rn", "close", "volume", *METRICS)

@@ -11,17 +11,25 @@ from ..functions.labels import health
 
 def stale(log: DataFrame, cap: int = LOG_CAP) -> DataFrame:
     """An ok run dated no later than the entry before it (of any status) is stale; the newest ``cap`` entries stay."""
-    before = F.lag("date").over(Window.orderBy("position"))
-    out = log.withColumn("status", F.when((F.col("status") == "ok") & F.coalesce(F.col("date") <= before, F.lit(False)), "stale").otherwise(F.col("status")))
+    newest = log.orderBy(F.col("position").desc()).limit(cap + 1)
+    before = F.lag("date").over(Window.orderBy("position"))  # over cap + 1 rows at most
+    out = newest.withColumn("status", F.when((F.col("status") == "ok") & F.coalesce(F.col("date") <= before, F.lit(False)), "stale").otherwise(F.col("status")))
     return out.orderBy(F.col("position").desc()).limit(cap)
 
 
-def anchor(log: DataFrame) -> DataFrame:
-    return log.agg(F.max(F.to_date("date")).alias("anchor"))
+def session_date(text: Column, clock: Column | None = None) -> Column:
+    """The session that a run describes: its bar date where that is a date, else the clock."""
+    return F.coalesce(F.try_to_date(text, F.lit("yyyy-MM-dd")), F.current_date() if clock is None else clock)
 
 
-def _window(log: DataFrame, days: int) -> DataFrame:
-    rows = log.crossJoin(F.broadcast(anchor(log)))
+def anchor(log: DataFrame, clock: Column | None = None) -> DataFrame:
+    """The newest date of the log; of an empty log, the clock."""
+    newest = F.max(F.to_date("date"))
+    return log.agg((newest if clock is None else F.coalesce(newest, clock)).alias("anchor"))
+
+
+def _window(log: DataFrame, days: int, clock: Column | None = None) -> DataFrame:
+    rows = log.crossJoin(F.broadcast(anchor(log, clock)))
     return rows.where(F.col("date").between(F.date_sub("anchor", days - 1), F.col("anchor")) & (F.weekday("date") < 5))
 
 
@@ -32,11 +40,11 @@ def missing_sessions(log: DataFrame, days: int = 7) -> DataFrame:
 
 
 def weekly_summary(log: DataFrame, clock: Column, days: int = 7) -> DataFrame:
-    """One row: expected and actual runs, counts by status, lag of the newest bar, health."""
-    rows = _window(log, days)
+    """One row: expected and actual runs, counts by status, lag of the newest bar (against the clock), health."""
+    rows = _window(log, days, clock)
     is_ = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_runs")
     out = rows.agg(F.count_distinct("date").alias("actual_runs"), is_("ok"), is_("error"), is_("stale"))
-    base = anchor(log).select("anchor", F.datediff(clock, "anchor").alias("lag_days"), F.size(F.filter(F.sequence(F.date_sub("anchor", days - 1), F.col("anchor")), lambda d: F.weekday(d) < 5)).alias("expected_runs"))
+    base = anchor(log, clock).select("anchor", F.datediff(clock, "anchor").alias("lag_days"), F.size(F.filter(F.sequence(F.date_sub("anchor", days - 1), F.col("anchor")), lambda d: F.weekday(d) < 5)).alias("expected_runs"))
     out = base.crossJoin(out).withColumn("missing_runs", F.col("expected_runs") - F.col("actual_runs"))
     return out.withColumn("health", health(F.col("error_runs"), F.col("lag_days"), F.col("missing_runs")))
 

@@ -21,7 +21,7 @@ def period_returns(prices: DataFrame, key: str = "asset") -> DataFrame:
 def scores(returns: DataFrame, on: tuple[str, ...], off: tuple[str, ...], key: str = "asset") -> DataFrame:
     """Mean of the risk-on assets less that of the defensive ones; NULL if a side is empty."""
     side = lambda names: F.avg(F.when(F.col(key).isin(*names), F.col("return_pct")))
-    out = returns.groupBy("period").agg(F.round(side(on) - side(off), 6).alias("score"))
+    out = returns.groupBy("period").agg(F.round(side(on) - side(off), 2).alias("score"))
     return out.withColumn("regime", regime_label(F.col("score"))).withColumn("rotation", F.coalesce(F.col("score") < 0, F.lit(False)))
 
 
@@ -32,3 +32,8 @@ def correlations(rows: DataFrame, pairs: list[tuple[str, str]], least: int = 4)
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         cells.append(F.when(F.count_if(both) >= least, F.round(F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))), 6)).alias(f"corr_{a}_{b}"))
     return rows.agg(*cells)
+
+
+def against(scored: DataFrame, constants: DataFrame) -> DataFrame:
+    """Regime rows with a table of constants by period; periods without constants go."""
+    return scored.join(F.broadcast(constants), "period").orderBy("period")

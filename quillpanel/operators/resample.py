@@ -31,19 +31,32 @@ def _summary(means: DataFrame, observed: DataFrame) -> DataFrame:
     return q.crossJoin(observed).withColumn("verdict", labels.interval_verdict(F.col("low"), F.col("high")))
 
 
-def _slotted(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Slots 0..n-1 in order; items are cluster sums or a selected group, small beside the panel."""
-    w = Window.orderBy(*order)
-    return rows.withColumn("slot", (F.row_number().over(w) - 1).cast("bigint")).withColumn("n", F.count("*").over(Window.partitionBy()))
+def _slotted(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Slots 0..n-1 by key and order: places within a key, plus the rows of the keys before it.
+
+    Only one row per key meets in a task, never the rows.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("own"))
+    all_before = F.sum("own").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
+    bases = counts.select(key, all_before.alias("base")).crossJoin(F.broadcast(counts.agg(F.sum("own").alias("n"))))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) if order else F.lit(1)
+    return rows.withColumn("place", place).join(bases, key).withColumn("slot", (F.col("base") + F.col("place") - 1).cast("bigint")).drop("place", "base")
 
 
 def clustered(values: DataFrame, reps: int, x: str = "x", key: str = "ticker") -> DataFrame:
     """Resamples whole tickers, pooling their values."""
-    items = _slotted(values.groupBy(key).agg(F.sum(x).alias("s"), F.count(x).alias("c")), [key])
+    items = _slotted(values.groupBy(key).agg(F.sum(x).alias("s"), F.count(x).alias("c")), key, [])
     return _summary(_replicates(items, reps), values.agg(F.round(F.avg(x), 6).alias("observed"), F.count(x).alias("n")))
 
 
-def naive(values: DataFrame, reps: int, order: list[str], x: str = "x") -> DataFrame:
-    """Resamples single rows."""
-    items = _slotted(values.select(*order, F.col(x).alias("s"), F.lit(1).alias("c")), order)
+def naive(values: DataFrame, reps: int, key: str, order: list[str], x: str = "x") -> DataFrame:
+    """Resamples single rows, numbered by key and order."""
+    items = _slotted(values.select(key, *order, F.col(x).alias("s"), F.lit(1).alias("c")), key, order)
     return _summary(_replicates(items, reps), values.agg(F.round(F.avg(x), 6).alias("observed"), F.count(x).alias("n")))
+
+
+def width_ratio(honest: DataFrame, plain: DataFrame) -> DataFrame:
+    """How many times as wide the clustered interval is as that of single rows."""
+    width = lambda d, name: d.select((F.col("high") - F.col("low")).alias(name))
+    both = width(honest, "clustered").crossJoin(F.broadcast(width(plain, "naive")))
+    return both.select(F.round("clustered", 6).alias("clustered"), F.round("naive", 6).alias("naive"), F.round(F.try_divide("clustered", "naive"), 6).alias("ratio"))

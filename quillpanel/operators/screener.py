@@ -72,3 +72,13 @@ def fresh_or_new(wanted: DataFrame, cache: DataFrame, now: Column, days: int = 7
         "ticker", F.when(fresh, F.col("old_cash")).otherwise(F.col("cash")).alias("cash"), F.when(fresh, F.col("old_cap")).otherwise(F.col("cap_busd")).alias("cap_busd"),
         F.when(fresh, F.col("fetched_at")).otherwise(now).alias("fetched_at"), fresh.alias("reused"),
     )
+
+
+def matches(results: DataFrame) -> DataFrame:
+    """The matching rows, the largest (rounded) volume ratio first."""
+    return results.where("is_match").orderBy(F.col("volume_ratio").desc(), "ticker")
+
+
+def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache after a run: rows of ``fresh`` replace those of their ticker, the others stay."""
+    return fresh.select(*cache.columns).unionByName(cache.join(fresh.select("ticker"), "ticker", "left_anti").select(*cache.columns))

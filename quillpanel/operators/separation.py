@@ -77,14 +77,47 @@ def mirror(section: DataFrame, bar: float = 0.2) -> DataFrame:
     return both.select("metric", F.round("up", 6).alias("up"), F.round("down", 6).alias("down"), F.when(same, "MAGNITUDE").otherwise("direction").alias("kind"))
 
 
-def permutation(section: DataFrame, reps: int, bar: float = BAR) -> DataFrame:
-    """Passing metrics per replicate of shuffled labels: the n1 first tickers in md5 order get the label."""
+def _shuffled(section: DataFrame, reps: int) -> DataFrame:
+    """Separations per replicate of shuffled labels: the n1 first tickers of a period in md5 order get the label."""
     marks = section.select("period", "ticker", F.col("rose").cast("int").alias("r"))
     marks = marks.withColumn("n1", F.sum("r").over(Window.partitionBy("period"))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     order = Window.partitionBy("rep", "period").orderBy(draw(F.col("rep"), F.col("period"), F.col("ticker")), "ticker")
     dealt = marks.select("rep", "period", "ticker", (F.row_number().over(order) <= F.col("n1")).alias("lucky"))
     long = dealt.join(unpivoted(section, "period", "ticker"), ["period", "ticker"])
-    seps = separations(long, "lucky", "rep", "period")
+    return separations(long, "lucky", "rep", "period")
+
+
+def permutation(section: DataFrame, reps: int, bar: float = BAR) -> DataFrame:
+    """Passing metrics per replicate under the rule of ``passes``; a replicate in which a period is too small for a metric drops it."""
+    seps = _shuffled(section, reps)
     per = section.select("period").distinct().count()
     full = passes(seps, "rep", bar=bar).where(F.col("n") == per)
     return full.groupBy("rep").agg(F.count(F.when(F.col("passes"), 1)).alias("hits"))
+
+
+def permutation_by_score(section: DataFrame, reps: int, n_periods: int, bar: float = BAR) -> DataFrame:
+    """Passing metrics per replicate under the rule of ``score``."""
+    seps = _shuffled(section, reps)
+    least = max(2, -(-2 * n_periods // 3))
+    per = seps.groupBy("rep", "metric").agg((F.count_distinct(F.signum("sep")) == 1).alias("same"), F.count(F.when(F.abs("sep") >= bar, 1)).alias("n"))
+    return per.groupBy("rep").agg(F.count(F.when(F.col("same") & (F.col("n") >= least), 1)).alias("hits"))
+
+
+def against_null(null: DataFrame, passing: DataFrame) -> DataFrame:
+    """One row: metrics found, mean and 95th percentile of the null, share of replicates with at least as many."""
+    found = passing.agg(F.count(F.when(F.col("passes"), 1)).alias("observed"))
+    both = null.crossJoin(F.broadcast(found))
+    return both.groupBy("observed").agg(
+        F.count("*").alias("reps"), F.round(F.avg("hits"), 6).alias("null_mean"), F.round(F.percentile("hits", 0.95), 6).alias("null_p95"),
+        F.round(F.avg((F.col("hits") >= F.col("observed")).cast("double")), 6).alias("p_value"),
+    )
+
+
+def survivors(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """The metrics that passed before, and whether they pass now (absent ones do not)."""
+    return earlier.where("passes").select("metric").join(later.select("metric", F.col("passes").alias("survived")), "metric", "left").withColumn("survived", F.coalesce("survived", F.lit(False)))
+
+
+def ranked(scores: DataFrame) -> DataFrame:
+    """Scores in order of passing, number of meaningful periods and worst period."""
+    return scores.orderBy(F.col("passes").desc(), F.col("n_meaningful").desc(), F.col("worst_abs").desc_nulls_last(), "metric")

@@ -62,3 +62,21 @@ def backtest(rows: DataFrame, universe: DataFrame, spec: SignalSpec, horizons: t
 def qualifying_days(rows: DataFrame, spec: SignalSpec, window: int) -> DataFrame:
     """Adds ``days``: qualifying rows among the last ``window`` rows, partial windows included."""
     return rows.withColumn("days", F.sum(fires(spec).cast("bigint")).over(Window.partitionBy("ticker").orderBy("session").rowsBetween(1 - window, 0)))
+
+
+def nearest(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each (ticker, wanted date) the row of the nearest session, of two equally near ones the later.
+
+    Rows and wanted dates of a ticker are sorted together once, and each wanted
+    date looks at its last row before and its first row after.
+    """
+    columns = [c for c in rows.columns if c != "ticker"]
+    marked = rows.select("ticker", F.col("session").alias("day"), F.struct(*columns).alias("row"), F.lit(False).alias("ask"))
+    asked = wanted.select("ticker", F.col("wanted").alias("day"), F.lit(None).cast(marked.schema["row"].dataType).alias("row"), F.lit(True).alias("ask")).distinct()
+    order = Window.partitionBy("ticker").orderBy("day", "ask")
+    both = marked.unionByName(asked).withColumn("before", F.last("row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    back = Window.partitionBy("ticker").orderBy(F.col("day").desc(), F.col("ask").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("after", F.last("row", ignorenulls=True).over(back)).where("ask")
+    gap = lambda c: F.abs(F.datediff(F.col("day"), F.col(c)["session"]))
+    row = F.when(F.col("before").isNull() | (gap("after") <= gap("before")), F.col("after")).otherwise(F.col("before"))
+    return both.select("ticker", F.col("day").alias("wanted"), row.alias("row")).where("row is not null").select("ticker", "wanted", "row.*")

@@ -107,3 +107,20 @@ def universe_bias(trades: DataFrame, h: int = 20, k: int = 8, least: int = 10) -
     return rows.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"), r6(F.avg("x")).alias("mean"), r6(F.median("x")).alias("median"), r6(share(F.col("x") > 0)).alias("beat_pct"), gap.alias("persistent_gap"))
 
 
+
+
+def ranked(table: DataFrame, measure: str, *ties: str, n: int | None = None) -> DataFrame:
+    """A summary table by a measure, largest first, and of it the first n rows."""
+    out = table.orderBy(F.col(measure).desc_nulls_last(), *ties)
+    return out.limit(n) if n else out
+
+
+def estimated_cap(trades: DataFrame, shares: DataFrame) -> DataFrame:
+    """Adds est_cap_busd, price times current shares in billions; zero shares count as missing."""
+    own = shares.select("ticker", F.nullif("shares", F.lit(0)).alias("shares"))
+    return trades.join(own, "ticker", "left").withColumn("est_cap_busd", F.col("price") * F.col("shares") / 1e9).drop("shares")
+
+
+def best_gap(swept: DataFrame) -> DataFrame:
+    """The persistence threshold with the largest gap; ties go to the smaller one."""
+    return swept.orderBy(F.col("gap").desc_nulls_last(), "k").limit(1)

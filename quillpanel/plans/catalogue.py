@@ -13,11 +13,10 @@ from ..functions import labels
 from ..operators import alerts, archive, events, exits, metrics, monitor, regime, resample, screener, separation, signals, study, sweep
 from ..sources import tables as T
 
-#: Replicates of the registered resampling queries.
-REPS, PERMUTATIONS = 500, 20
-#: Draws of the reference's bootstrap.
-FULL_REPS = 10_000
-#: Ratios of small integers can end in an exact half; both engines round it up after this.
+#: Draws of the bootstraps; shuffles over two and over all periods.
+REPS, SHUFFLES_TWO, SHUFFLES_ALL = 10_000, 500, 300
+#: Rounding rule for halves: within this of a half in the seventh decimal a value rounds up, since
+#: engines that add in another order differ in the last bit of it.  Other values round as usual.
 TIE = 3.3e-10
 
 
@@ -152,15 +151,48 @@ def bootstrap_clustered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_naive(spark: SparkSession, d: str) -> DataFrame:
-    return resample.naive(_excess(spark, d), REPS, ["ticker", "rn"])
+    return resample.naive(_excess(spark, d), REPS, "ticker", ["rn"])
 
 
-def bootstrap_clustered_full(spark: SparkSession, d: str) -> DataFrame:
-    return resample.clustered(_excess(spark, d), FULL_REPS)
+def bootstrap_width_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return resample.width_ratio(bootstrap_clustered(spark, d), bootstrap_naive(spark, d))
 
 
-def bootstrap_naive_full(spark: SparkSession, d: str) -> DataFrame:
-    return resample.naive(_excess(spark, d), FULL_REPS, ["ticker", "rn"])
+def bootstrap_persistent(spark: SparkSession, d: str) -> DataFrame:
+    lasting = _lasting(spark, d).where("days >= 3 and excess_20d_pct is not null")
+    return resample.clustered(lasting.select("ticker", F.col("excess_20d_pct").alias("x")), REPS)
+
+
+def best_persistence_gap(spark: SparkSession, d: str) -> DataFrame:
+    return study.best_gap(persistence_sweep(spark, d))
+
+
+def market_cap_estimate(spark: SparkSession, d: str) -> DataFrame:
+    shares = T.universe(spark, d).select("ticker", ((F.col("position") % 5) * 1_000_000).alias("shares"))
+    out = study.estimated_cap(_trades(spark, d), shares)
+    return out.select("ticker", "session", r6("est_cap_busd"), labels.size_bucket(F.col("est_cap_busd") * 100).alias("bucket"))
+
+
+def nearest_session(spark: SparkSession, d: str) -> DataFrame:
+    wanted = _trades(spark, d).select("ticker", F.date_add("session", 45).alias("wanted"))
+    return signals.nearest(T.bars(spark, d).select("ticker", "session", "close"), wanted).select("ticker", "wanted", "session", r6("close"))
+
+
+def screen_matches(spark: SparkSession, d: str) -> DataFrame:
+    cash = screener.trailing_cash(T.statements(spark, d), ["N", "A", "R"])
+    return screener.matches(screener.screen(T.bars(spark, d), T.universe(spark, d), cash, LOOSE, cash_required=False)).select("ticker", "volume_ratio", "price_change_pct")
+
+
+def category_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return study.ranked(category_summary(spark, d), "excess_pct", "category")
+
+
+def threshold_sweep_top(spark: SparkSession, d: str) -> DataFrame:
+    return study.ranked(threshold_sweep(spark, d), "excess_pct", "vol_thr", "price_thr", n=15)
+
+
+def window_sweep_top(spark: SparkSession, d: str) -> DataFrame:
+    return study.ranked(window_sweep(spark, d), "edge", "recent", "base", "trigger", n=12)
 
 
 def exit_trades(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +200,16 @@ def exit_trades(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exit_summary(spark: SparkSession, d: str) -> DataFrame:
-    return exits.summary(exit_trades(spark, d))
+    return exits.summary(exit_trades(spark, d)).orderBy("rule_order")
+
+
+def exit_summary_persistent(spark: SparkSession, d: str) -> DataFrame:
+    rows = signals.qualifying_days(signals.measured(T.bars(spark, d), LOOSE), LOOSE, 14)
+    return exits.summary(exits.trades(rows, LOOSE, 3)).orderBy("rule_order")
+
+
+def best_exit_rules(spark: SparkSession, d: str) -> DataFrame:
+    return exits.best(exit_summary(spark, d))
 
 
 def _section(spark: SparkSession, d: str) -> DataFrame:
@@ -189,11 +230,15 @@ def separations(spark: SparkSession, d: str) -> DataFrame:
 
 def two_period_pass(spark: SparkSession, d: str) -> DataFrame:
     two = _separations(spark, d).where(F.col("period").isin(PERIODS[0][0], PERIODS[2][0]))
-    return separation.passes(two, bar=0.1).select("metric", "n", r6("min_abs"), "passes")
+    return separation.passes(two).select("metric", "n", r6("min_abs"), "passes").orderBy(F.col("min_abs").desc_nulls_last(), "metric")
 
 
 def multi_period_score(spark: SparkSession, d: str) -> DataFrame:
-    return separation.score(_separations(spark, d), len(PERIODS), 0.1)
+    return separation.ranked(separation.score(_separations(spark, d), len(PERIODS)))
+
+
+def metric_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return separation.survivors(two_period_pass(spark, d), multi_period_score(spark, d))
 
 
 def seasonality(spark: SparkSession, d: str) -> DataFrame:
@@ -206,13 +251,29 @@ def mirror_test(spark: SparkSession, d: str) -> DataFrame:
 
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     two = _section(spark, d).where(F.col("period").isin(PERIODS[0][0], PERIODS[2][0]))
-    return separation.permutation(two, PERMUTATIONS, 0.1)
+    return separation.permutation(two, SHUFFLES_TWO)
+
+
+def permutation_null_periods(spark: SparkSession, d: str) -> DataFrame:
+    return separation.permutation_by_score(_section(spark, d), SHUFFLES_ALL, len(PERIODS))
+
+
+def permutation_test(spark: SparkSession, d: str) -> DataFrame:
+    return separation.against_null(permutation_null(spark, d), two_period_pass(spark, d))
+
+
+def permutation_test_periods(spark: SparkSession, d: str) -> DataFrame:
+    return separation.against_null(permutation_null_periods(spark, d), multi_period_score(spark, d))
 
 
 def event_curves(spark: SparkSession, d: str) -> DataFrame:
     return events.curves(events.prepared(T.bars(spark, d)))
 
 
+def event_curves_aligned(spark: SparkSession, d: str) -> DataFrame:
+    return events.aligned(event_curves(spark, d))
+
+
 def event_window_summary(spark: SparkSession, d: str) -> DataFrame:
     return events.windows(event_curves(spark, d))
 
@@ -266,12 +327,11 @@ def regime_correlation(spark: SparkSession, d: str) -> DataFrame:
     return regime.correlations(rows, [("score", "vol_sep"), ("score", "base_rate"), ("base_rate", "vol_sep")])
 
 
-def _sessions(spark: SparkSession, d: str) -> DataFrame:
-    e = T.read(spark, d, "events").where("event_type <> 'error'")
-    return e.select(F.concat(F.lit("U"), (F.col("user_id") % 50).cast("string")).alias("ticker"), F.col("ts").cast("date").alias("session")).distinct()
+def regime_against_screen(spark: SparkSession, d: str) -> DataFrame:
+    return regime.against(regime_scores(spark, d), _base_rates(spark, d))
 
 
-def _user_sessions(spark: SparkSession, d: str) -> DataFrame:
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
     e = T.read(spark, d, "events").where("event_type <> 'error'")
     return e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("ts").cast("date").alias("session")).distinct()
 
@@ -279,11 +339,11 @@ def _user_sessions(spark: SparkSession, d: str) -> DataFrame:
 def alert_state(spark: SparkSession, d: str) -> DataFrame:
     from .. import runtime
 
-    return alerts.fold(_user_sessions(runtime.ship(spark), d))
+    return alerts.fold(_sessions(runtime.ship(spark), d))
 
 
-def _streaks(sessions: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
-    rows = alerts.streaks(sessions(spark, d))
+def streak_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = alerts.streaks(_sessions(spark, d))
     text, level = labels.streak_label(F.col("streak"), F.col("span"), 8)
     return rows.select("ticker", "session", "streak", F.col("span").cast("bigint").alias("span"), level.alias("level"), text.alias("label"))
 
@@ -295,7 +355,7 @@ def runlog_stale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return T.event_runs(spark, d).where("position % 6 <> 4")
+    return T.event_runs(spark, d)
 
 
 def weekly_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -306,12 +366,12 @@ def missing_sessions(spark: SparkSession, d: str) -> DataFrame:
     return monitor.missing_sessions(_log(spark, d), 28)
 
 
-def _match_days(sessions: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
-    return monitor.match_days(_log(spark, d), sessions(spark, d).select("ticker", F.col("session").alias("date")), 28)
+def match_days(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.match_days(_log(spark, d), _sessions(spark, d).select("ticker", F.col("session").alias("date")), 28)
 
 
-def _persistent(sessions: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
-    return monitor.persistent_names(sessions(spark, d))
+def persistent_names(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.persistent_names(_sessions(spark, d))
 
 
 def _archived(spark: SparkSession, d: str) -> DataFrame:
@@ -335,13 +395,12 @@ _PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forward_returns": forward_returns, "signals_raw": partial(_signals, LIVE, False), "signals_raw_legacy": partial(_signals, LEGACY, False), "signals_dedup": partial(_signals, LIVE, True), "signals_dedup_legacy": partial(_signals, LEGACY, True),
     **{f.__name__: f for f in (
         date_matched_baseline, backtest_signals, horizon_summary, category_summary, threshold_sweep, size_summary, persistence_summary, size_x_persistence, top_contributors_excluded,
-        persistence_sweep, universe_bias, bootstrap_clustered, bootstrap_naive, bootstrap_clustered_full, bootstrap_naive_full, exit_trades, exit_summary, period_cross_section, separations, two_period_pass, multi_period_score,
-        seasonality, mirror_test, permutation_null, event_curves, event_window_summary, window_sweep, window_sweep_pivot, window_sweep_best, volume_validation, quarter_stability,
-        asset_period_returns, regime_scores, base_rates, regime_correlation, alert_state, runlog_stale, weekly_summary, missing_sessions,
+        persistence_sweep, universe_bias, bootstrap_clustered, bootstrap_naive, bootstrap_width_ratio, bootstrap_persistent, best_persistence_gap, market_cap_estimate, nearest_session, screen_matches,
+        category_ranking, threshold_sweep_top, window_sweep_top, exit_trades, exit_summary, exit_summary_persistent, best_exit_rules, period_cross_section, separations, two_period_pass, multi_period_score, metric_survivors,
+        seasonality, mirror_test, permutation_null, permutation_null_periods, permutation_test, permutation_test_periods, event_curves, event_curves_aligned, event_window_summary, window_sweep, window_sweep_pivot, window_sweep_best, volume_validation, quarter_stability,
+        asset_period_returns, regime_scores, base_rates, regime_correlation, regime_against_screen, alert_state, streak_counts, match_days, persistent_names, runlog_stale, weekly_summary, missing_sessions,
         archive_increment, archive_coverage, data_quality_guard, modal_session,
     )},
-    # users folded into 50 tickers, as their SQL has them, and every user
-    **{name + tail: partial(q, s) for name, q in (("streak_counts", _streaks), ("match_days", _match_days), ("persistent_names", _persistent)) for tail, s in (("", _sessions), ("_users", _user_sessions))},
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..config import LEGACY, LIVE, LOOSE, PERIODS, PREREGISTERED, PRICE_GRID, TRIGGERS, VOLUME_GRID, WINDOW_GRID, SignalSpec
 from ..operators import metrics, regime
-from .catalogue import FULL_REPS, PERMUTATIONS, REPS, TIE
+from .catalogue import REPS, SHUFFLES_ALL, SHUFFLES_TWO, TIE
 
 BARS = """bars as (select 'S' || lpad(cast(l_suppkey as varchar), 6, '0') as ticker, cast(l_shipdate as date) as session, avg(l_extendedprice) as close,
   max(l_extendedprice) as high, min(l_extendedprice) as low, sum(l_quantity) as volume from lineitem group by 1, 2)"""
@@ -180,17 +180,18 @@ bb as (select id, {base} as base from near group by id having {base} > 0),
 cu as (select kind, day, {r6('avg(dv / base)', 'rel_volume')}, {r6('avg(ratio)', 'ratio')}, count(*) as n from near join bb on bb.id = near.id where day >= -20 group by kind, day)"""
 
 
-def exit_rows() -> str:
+def exit_rows(s: SignalSpec = LIVE, least: int = 0) -> str:
     first = lambda cond: f"coalesce(min(case when {cond} then off end), max(off))"
     rules = {
-        **{f"fixed_{n}": f"least({n}, max(off))" for n in (10, 20, 30, 60)}, "volume_decay": first("vr < 1.0"), "signal_death": first(f"not coalesce(vr >= {LIVE.volume} and pc >= {LIVE.price}, false)"),
+        **{f"fixed_{n}": f"least({n}, max(off))" for n in (10, 20, 30, 60)}, "volume_decay": first("vr < 1.0"), "signal_death": first(f"not coalesce(vr >= {s.volume} and pc >= {s.price}, false)"),
         **{f"trailing_{p}": first(f"c <= peak * (1 - {p} / 100.0::double)") for p in (10, 15, 20)}, "ma20_break": first("c < ma20"),
     }
     offs = ", ".join(f"{v} as {k}" for k, v in rules.items())
     stack = " union all ".join(f"select ticker, at0, entry, c0, '{k}' as rule, {i} as rule_order, {k} as off from offs" for i, k in enumerate(rules))
     w = "over (partition by ticker, at0 order by off rows unbounded preceding)"
-    return f"""with recursive {measured(LIVE)}, {spaced('fire', 'ticker', LIVE.gap)}, mm as (select *, {agg('avg', 'close', 20)} as ma20 from m),
-en as (select m.ticker, m.rn as at0, m.session as entry, m.close as c0 from kept join m on kept.ticker = m.ticker and kept.rn = m.rn),
+    days = f"(select *, sum(case when vr >= {s.volume} and pc >= {s.price} then 1 else 0 end) over (partition by ticker order by session rows between 13 preceding and current row) as days from m)"
+    return f"""with recursive {measured(s)}, {spaced('fire', 'ticker', s.gap)}, mm as (select *, {agg('avg', 'close', 20)} as ma20 from m),
+en as (select m.ticker, m.rn as at0, m.session as entry, m.close as c0 from kept join {days} m on kept.ticker = m.ticker and kept.rn = m.rn where days >= {least}),
 f1 as (select en.*, rn - at0 - 1 as off, mm.session as exit, mm.close as c, vr, pc, ma20 from en join mm on mm.ticker = en.ticker and rn between at0 + 1 and at0 + 90),
 f2 as (select *, max(c) {w} as peak, greatest(max(c) {w}, c0) as high from f1), f3 as (select *, least(min(c / high - 1) {w}, 0) as worst from f2),
 offs as (select ticker, at0, entry, c0, {offs} from f3 group by 1, 2, 3, 4 having count(*) >= 5), ex as ({stack}),
@@ -231,15 +232,15 @@ _brands = ", ".join(f"'{b}'" for b in regime.RISK_ON + regime.RISK_OFF + regime.
 _in = lambda names: ", ".join(f"'{b}'" for b in names)
 ASSETS = f"""px as (select p_brand as asset, cast(l_shipdate as date) as session, avg(l_extendedprice) as close from lineitem join part on l_partkey = p_partkey where p_brand in ({_brands}) group by 1, 2), {PER},
 ar as (select period, asset, round((arg_max(close, session) / arg_min(close, session) - 1) * 100, 2) as return_pct from px join per on session between first and last group by 1, 2 having count(*) >= 20),
-rs as (select period, round(avg(return_pct) filter (where asset in ({_in(regime.RISK_ON)})) - avg(return_pct) filter (where asset in ({_in(regime.RISK_OFF)})), 6) as score from ar group by period),
-rg as (select period, score, case when score is null then '?' when score >= 8 then 'strong risk-on' when score >= 2 then 'risk-on' when score > -2 then 'neutral' when score > -8 then 'risk-off' else 'strong risk-off' end as regime, coalesce(score < 0, false) as rotation from rs)"""
+rs as (select period, round(avg(return_pct) filter (where asset in ({_in(regime.RISK_ON)})) - avg(return_pct) filter (where asset in ({_in(regime.RISK_OFF)})), 2) as score from ar group by period),
+rg as (select period, score, case when score is null then '?' when score >= 8 then 'strong risk-on' when score >= 2 then 'risk-on' when score > -2 then 'mixed' when score > -8 then 'risk-off' else 'strong risk-off' end as regime, coalesce(score < 0, false) as rotation from rs)"""
 LOG = """lg as (select row_number() over (order by day) as position, day as date, case when errors * 5 > n then 'error' else 'ok' end as status from (select cast(ts as date) as day, sum(case when event_type = 'error' then 1 else 0 end) as errors, count(*) as n from events group by 1)),
-lo as (select * from lg where position % 6 <> 4), an as (select max(date) as anchor from lo), wn as (select lo.* from lo, an where date between anchor - 27 and anchor and isodow(date) < 6)"""
-SESSIONS = "se as (select distinct 'U' || cast(user_id % 50 as varchar) as ticker, cast(ts as date) as session from events where event_type <> 'error')"
+lo as (select * from lg), an as (select max(date) as anchor from lo), wn as (select lo.* from lo, an where date between anchor - 27 and anchor and isodow(date) < 6)"""
+SESSIONS = "se as (select distinct 'U' || cast(user_id as varchar) as ticker, cast(ts as date) as session from events where event_type <> 'error')"
 ARCHIVED = f"{panel(41)}, ad as (select session as as_of, ticker from p where rn <= n_bars - 2 or ticker < 'S000003')"
 TWO = f"('{PERIODS[0][0]}', '{PERIODS[2][0]}')"
 H2 = _in(p for p, *_ in PERIODS if p.endswith("H2"))
-_pass = "case when count(distinct sign(sep)) = 1 and count(sep) = count(*) and min(abs(sep)) >= 0.1 then true else false end"
+_pass = "case when count(distinct sign(sep)) = 1 and count(sep) = count(*) and min(abs(sep)) >= 0.3 then true else false end"
 
 _SQL: dict[str, str] = {
     "universe_filter": f"with {UNIVERSE} select ticker, category, exchange from uni where exchange = 'NASDAQ' order by position limit 50",
@@ -279,10 +280,10 @@ _SQL: dict[str, str] = {
     "base_rates": f"with {section()} select period, round(avg(case when rose then 1.0 else 0.0 end) * 100, 6) as base_rate from sec group by period",
     "separations": f"with {long_section()}, {seps('rose', 'sp2')} select period, metric, {r6('sep', 'sep')} from sp2",
     "two_period_pass": f"with {long_section()}, {seps('rose', 'sp2')} select metric, count(*) as n, {r6('min(abs(sep))', 'min_abs')}, {_pass} as passes from sp2 where period in {TWO} group by metric",
-    "multi_period_score": f"with {long_section()}, {seps('rose', 'sp2')}, a as (select metric, count(distinct sign(sep)) = 1 as same_direction, count(*) filter (where abs(sep) >= 0.1) as n_meaningful, {r6('avg(sep)', 'mean_sep')}, {r6('min(abs(sep))', 'worst_abs')} from sp2 group by metric) select *, same_direction and n_meaningful >= 4 as passes from a",
+    "multi_period_score": f"with {long_section()}, {seps('rose', 'sp2')}, a as (select metric, count(distinct sign(sep)) = 1 as same_direction, count(*) filter (where abs(sep) >= 0.3) as n_meaningful, {r6('avg(sep)', 'mean_sep')}, {r6('min(abs(sep))', 'worst_abs')} from sp2 group by metric) select *, same_direction and n_meaningful >= 4 as passes from a",
     "seasonality": f"with {long_section()}, {seps('rose', 'sp2')}, a as (select metric, round(avg(sep) filter (where period in ({H2})), 2) + 0.0::double as chosen, round(avg(sep) filter (where period not in ({H2})), 2) + 0.0::double as other from sp2 group by metric) select *, round(chosen - other, 2) + 0.0::double as gap, coalesce(abs(chosen) >= 0.3 and abs(other) < 0.15, false) as chosen_only from a",
     "mirror_test": f"with {long_section()}, {seps('rose', 'su')}, {seps('fell', 'sd')}, a as (select metric, avg(sep) as up from su group by metric), b2 as (select metric, avg(sep) as down from sd group by metric) select a.metric, {r6('up', 'up')}, {r6('down', 'down')}, case when sign(up) = sign(down) and abs(down) >= 0.2 then 'MAGNITUDE' else 'direction' end as kind from a join b2 on a.metric = b2.metric",
-    "permutation_null": f"""with {long_section()}, mk as (select period, ticker, sum(case when rose then 1 else 0 end) over (partition by period) as n1 from sec where period in {TWO}), rp as (select unnest(range({PERMUTATIONS})) as rep),
+    "permutation_null": f"""with {long_section()}, mk as (select period, ticker, sum(case when rose then 1 else 0 end) over (partition by period) as n1 from sec where period in {TWO}), rp as (select unnest(range({SHUFFLES_TWO})) as rep),
       dl as (select rep, period, ticker, row_number() over (partition by rep, period order by {draw("cast(rep as varchar) || ':' || period || ':' || ticker")}, ticker) <= n1 as lucky from mk, rp), pl as (select dl.rep, sl.period, sl.metric, sl.value, dl.lucky from dl join sl on sl.period = dl.period and sl.ticker = dl.ticker),
       {seps('lucky', 'sq', 'pl', 'rep, period')}, ps as (select rep, metric, {_pass} as passes from sq group by rep, metric having count(*) = 2) select rep::integer as rep, count(*) filter (where passes) as hits from ps group by rep""",
     "event_curves": f"{events()} select * from cu",
@@ -311,16 +312,43 @@ _SQL: dict[str, str] = {
       select ticker, session as as_of, {r6('close', 'close')}, {r6('volume', 'volume')}, session <> newest as backfilled from rc, tk where back <= 5 and session not in (select as_of from dn)""",
     "archive_coverage": f"with {ARCHIVED} select as_of, count(*) as n, count(*) >= 3 * 0.9 as complete from ad group by as_of",
 }
-#: The same with all draws.
-_SQL |= {f"{k}_full": _SQL[k].replace(f"range({REPS})", f"range({FULL_REPS})") for k in ("bootstrap_clustered", "bootstrap_naive")}
-#: The same over every user.
-_SQL |= {f"{k}_users": _SQL[k].replace("user_id % 50", "user_id") for k in ("streak_counts", "match_days", "persistent_names")}
+
+
+def _null_of(sql: str, passing: str) -> str:
+    return f"""with nl as ({sql}), fd as (select count(*) filter (where passes) as observed from ({passing}))
+      select observed, count(*) as reps, round(avg(hits), 6) as null_mean, round(quantile_cont(hits, 0.95), 6) as null_p95, round(avg(case when hits >= observed then 1.0 else 0.0 end), 6) as p_value from nl, fd group by observed"""
+
+
+_many = _SQL["permutation_null"].replace(f" where period in {TWO}", "").replace(f"range({SHUFFLES_TWO})", f"range({SHUFFLES_ALL})")
+_many = _many[: _many.index("ps as (")] + "ps as (select rep, metric, count(distinct sign(sep)) = 1 and count(*) filter (where abs(sep) >= 0.3) >= 4 as passes from sq group by rep, metric) select rep::integer as rep, count(*) filter (where passes) as hits from ps group by rep"
+_SQL |= {
+    "bootstrap_width_ratio": f"select round(a.high - a.low, 6) as clustered, round(b.high - b.low, 6) as naive, round((a.high - a.low) / nullif(b.high - b.low, 0), 6) as ratio from ({_SQL['bootstrap_clustered']}) a, ({_SQL['bootstrap_naive']}) b",
+    "bootstrap_persistent": _SQL["bootstrap_clustered"].replace(trades(LIVE), lasting(14)).replace("e as (select ticker, rn, excess_20d_pct as x from t where excess_20d_pct is not null)", "e as (select ticker, x from l where days >= 3)"),
+    "best_persistence_gap": f"select * from ({_SQL['persistence_sweep']}) order by gap desc nulls last, k limit 1",
+    "market_cap_estimate": f"""with recursive {trades(LIVE)}, ec as (select t.ticker, session, price * nullif(position % 5 * 1000000, 0) / 1e9 as est from t left join uni on uni.ticker = t.ticker)
+      select ticker, session, {r6('est', 'est_cap_busd')}, {SIZE.replace('cap_busd', 'est * 100')} as bucket from ec""",
+    "nearest_session": f"""with recursive {trades(LIVE)}, wq as (select distinct ticker, session + 45 as wanted from t), nr as (select wq.ticker, wanted, b.session, b.close, row_number() over (partition by wq.ticker, wanted order by abs(date_diff('day', b.session, wanted)), b.session desc) as k from wq join bars b on b.ticker = wq.ticker)
+      select ticker, wanted, session, {r6('close', 'close')} from nr where k = 1""",
+    "screen_matches": f"with {SCREEN} select ticker, volume_ratio, price_change_pct from scr where pass_volume and pass_price and pass_cap".replace(f"vr >= {LIVE.volume}", f"vr >= {LOOSE.volume}").replace(f"pc >= {LIVE.price}", f"pc >= {LOOSE.price}"),
+    "category_ranking": _SQL["category_summary"],
+    "threshold_sweep_top": f"select * from ({_SQL['threshold_sweep']}) order by excess_pct desc, vol_thr, price_thr limit 15",
+    "window_sweep_top": f"select * from ({_SQL['window_sweep']}) order by edge desc, recent, base, trigger limit 12",
+    "exit_summary_persistent": _SQL["exit_summary"].replace(exit_rows(), exit_rows(LOOSE, 3)),
+    "best_exit_rules": f"""with es as ({_SQL['exit_summary']}), a as (select rule, excess_pct, mean_hold from es order by excess_pct desc, rule_order limit 1), b as (select rule, median_excess_pct from es order by median_excess_pct desc, rule_order limit 1)
+      select a.rule as best_mean, excess_pct as mean_excess_pct, mean_hold, b.rule as best_median, median_excess_pct, a.rule <> b.rule as disagree from a, b""",
+    "metric_survivors": f"select a.metric, coalesce(b.passes, false) as survived from ({_SQL['two_period_pass']}) a left join ({_SQL['multi_period_score']}) b on a.metric = b.metric where a.passes",
+    "permutation_null_periods": _many,
+    "permutation_test": _null_of(_SQL["permutation_null"], _SQL["two_period_pass"]),
+    "permutation_test_periods": _null_of(_many, _SQL["multi_period_score"]),
+    "event_curves_aligned": f"select day, max(rel_volume) filter (where kind = 'up') as up, max(rel_volume) filter (where kind = 'down') as down, max(rel_volume) filter (where kind = 'random') as random from ({_SQL['event_curves']}) group by day",
+    "regime_against_screen": f"select a.*, b.base_rate from ({_SQL['regime_scores']}) a join ({_SQL['base_rates']}) b on a.period = b.period",
+}
 
 #: Columns that are compared as ISO text.
 DATES = {
-    **dict.fromkeys(("bars_clean", "dollar_volume_ratio_separate", "dollar_volume_ratio_overlapping", "forward_returns", "signals_raw", "signals_raw_legacy", "signals_dedup", "signals_dedup_legacy", "date_matched_baseline", "backtest_signals", "streak_counts", "streak_counts_users"), ("session",)),
+    **dict.fromkeys(("bars_clean", "dollar_volume_ratio_separate", "dollar_volume_ratio_overlapping", "forward_returns", "signals_raw", "signals_raw_legacy", "signals_dedup", "signals_dedup_legacy", "date_matched_baseline", "backtest_signals", "streak_counts", "market_cap_estimate"), ("session",)),
     **{f"metrics_{k}": ("session",) for k in metrics.FAMILIES},
-    "screen_latest": ("bar_date",), "modal_session": ("bar_date",), "fundamentals_cache": ("fetched",), "exit_trades": ("entry", "exit"), "runlog_stale": ("date",), "missing_sessions": ("date",),
+    "nearest_session": ("wanted", "session"), "screen_latest": ("bar_date",), "modal_session": ("bar_date",), "fundamentals_cache": ("fetched",), "exit_trades": ("entry", "exit"), "runlog_stale": ("date",), "missing_sessions": ("date",),
     "weekly_summary": ("anchor",), "archive_increment": ("as_of",), "archive_coverage": ("as_of",),
 }
 ORACLE = {k: f"select * replace ({', '.join(f'cast({c} as varchar) as {c}' for c in DATES[k])}) from ({q}) as dated" if k in DATES else q for k, q in _SQL.items()}
