@@ -19,7 +19,7 @@ def stale(log: DataFrame, cap: int = LOG_CAP) -> DataFrame:
 
 def session_date(text: Column, clock: Column | None = None) -> Column:
     """The session that a run describes: its bar date where that is a date, else the clock."""
-    return F.coalesce(F.try_to_date(text, F.lit("yyyy-MM-dd")), F.current_date() if clock is None else clock)
+    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.current_date() if clock is None else clock)
 
 
 def anchor(log: DataFrame, clock: Column | None = None) -> DataFrame:
