@@ -55,13 +55,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from . import graph, keys, scratch
-from .vectext import LOWER, U64, as_long, chunks, mix, ragged, byte_names, words
+from .vectext import LOWER, U64, as_long, byte_names, chunks, mix, ragged, released, words
 
 #: A token in more prefixes than this is hot, while the list stays within HOT_LIST.
 HOT_DF = 24
 HOT_LIST = 1 << 20
-_SLOTS = 1 << 24
+_SLOTS = 1 << 23
 #: Members that one verification group holds besides its leader.
 GROUP = 64
 #: Percent of similarity from which a set is described by its differences from its leader.
@@ -221,21 +222,21 @@ def adaptive_prefixes(docs: DataFrame, sets: DataFrame, reps: DataFrame, n: int,
 
     def full(sids: DataFrame) -> DataFrame:
         texts = sids.join(reps, "sid").join(docs, "doc").select("sid", "text")
-        return scratch.table(texts.mapInArrow(_emit_full(n, lower), "sid bigint, size int, head array<bigint>"), "full-sets")
+        return scratch.table(texts.mapInArrow(released(_emit_full(n, lower)), "sid bigint, size int, head array<bigint>"), "full-sets")
 
     plain = f"slice(head, 1, cast(size - ({percent} * size + 99) div 100 + 1 as int))"
     one = F.lit(1).cast("bigint").alias("n")
     hot = _hot_table(sets.select(F.explode(F.expr(plain)).alias("token"), one))
     shared = spark.sparkContext.broadcast(hot)
     heads = sets.select("sid", "size", "head")
-    first = scratch.table(heads.mapInArrow(_emit_prefixes(percent, shared), _PREFIX).select("token", "pos", "sid"), "first-prefixes")
+    first = scratch.table(heads.mapInArrow(released(_emit_prefixes(percent, shared)), _PREFIX).select("token", "pos", "sid"), "first-prefixes")
     whole = full(first.where("pos < 0").select("sid").distinct())
-    seen = first.where("pos >= 0").select("token", one).unionAll(whole.select("head").mapInArrow(_tally, "token bigint, n bigint"))
+    seen = first.where("pos >= 0").select("token", one).unionAll(whole.select("head").mapInArrow(released(_tally), "token bigint, n bigint"))
     order = spark.sparkContext.broadcast(_hot_table(seen, hot))
     scratch.drop(first)
-    rows = scratch.table(heads.mapInArrow(_emit_prefixes(percent, order), _PREFIX), "head-prefixes")
+    rows = scratch.table(heads.mapInArrow(released(_emit_prefixes(percent, order)), _PREFIX), "head-prefixes")
     more = full(rows.where("pos < 0").select("sid").distinct().join(whole.select("sid"), "sid", "left_anti"))
-    late = scratch.table(whole.unionByName(more).mapInArrow(_emit_prefixes(percent, order), _PREFIX), "full-prefixes")
+    late = scratch.table(whole.unionByName(more).mapInArrow(released(_emit_prefixes(percent, order)), _PREFIX), "full-prefixes")
     scratch.drop(whole, more)
     shared.destroy()
     return rows.where("pos >= 0").unionByName(late), order
@@ -303,7 +304,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent:
     leads = used.select("a", "part", F.col("a").alias("sid"), F.lit(True).alias("lead"))
     roles = members.unionByName(leads).join(reps, "sid").select("doc", "a", "part", "sid", "lead")
     texts = roles.join(docs, "doc").repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"))
-    out = scratch.table(texts.select("a", "part", "sid", "text").mapInArrow(_verify_rows(n, percent, lower, order, differences), _FOUND), name)
+    out = scratch.table(texts.select("a", "part", "sid", "text").mapInArrow(released(_verify_rows(n, percent, lower, order, differences)), _FOUND), name)
     scratch.drop(members)
     return out
 
@@ -410,7 +411,7 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, percent: int, lower: boo
 
 def _components(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     """docs: doc (unique), text.  Rows doc, size, component_id (a doc)."""
-    heads = scratch.table(docs.mapInArrow(_emit_heads(n, percent, lower), "doc bigint, sid bigint, size int, head array<bigint>"), "heads")
+    heads = scratch.table(docs.mapInArrow(released(_emit_heads(n, percent, lower)), "doc bigint, sid bigint, size int, head array<bigint>"), "heads")
     sets = scratch.table(heads.select("doc", "sid", "size"), "sets")
     links = set_links(docs, heads, n, percent, lower)
     labels = graph.components(links).withColumnRenamed("id", "sid")
@@ -423,6 +424,7 @@ def _components(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame
 
 def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable by links)."""
+    runtime.ship(documents.sparkSession)
     rows, key, plain = keys.keyed(documents, id_col)
     out = _components(rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text")), n, percent, lower)
     if not plain:
@@ -434,6 +436,7 @@ def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85, lowe
 
 def keep_one(documents: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the first of their component, with all their columns."""
+    runtime.ship(documents.sparkSession)
     rows, key, _ = keys.keyed(documents, id_col)
     out = _components(rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text")), n, percent, lower)
     dropped = out.where("doc <> component_id").select(F.col("doc").alias(key))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from . import scratch, wordbpe
-from .vectext import chunks, ragged
+from .vectext import chunks, ragged, released
 
 #: Rows that a task cuts at once.
 ROWS = 512
@@ -70,6 +70,7 @@ def _encode(path: str, end_id: int):
                     [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([part] * (b - a), pa.int32()), pa.array(count, pa.int64()), pa.array(place, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc", "source", "part", "n", "place", "ids"],
                 )
+        coder.clear()
 
     return run
 
@@ -130,7 +131,7 @@ def pack(
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and with keep_ids the piece's ids)."""
     runtime.ship(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    coded = rows.mapInArrow(_encode(tokenizer or wordbpe.default_path(), end_id), "doc bigint, source string, part int, n bigint, place bigint, ids binary")
+    coded = rows.mapInArrow(released(_encode(tokenizer or wordbpe.default_path(), end_id)), "doc bigint, source string, part int, n bigint, place bigint, ids binary")
     coded = scratch.table(coded, "encoded")
     sums = scratch.table(coded.groupBy("source", "part").agg(F.sum("n").alias("n")), "queue-parts")
     quota = quotas(sums.groupBy("source").agg(F.sum("n").alias("tokens")), length, weights, temperature).select(F.col("source").alias("s"), "quota")
@@ -139,14 +140,14 @@ def pack(
     bases = bases.select("s", F.col("part").alias("p"), "base", "quota")
     placed = coded.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("at", F.col("base") + F.col("place"))
     stream = placed.orderBy(F.floor(F.col("at") / F.col("quota")), "source", "at").select("doc", "n", "ids")
-    stream = scratch.table(stream.mapInArrow(_streamed, "doc bigint, n bigint, ids binary, part int, at bigint"), "stream")
+    stream = scratch.table(stream.mapInArrow(released(_streamed), "doc bigint, n bigint, ids binary, part int, at bigint"), "stream")
     scratch.drop(coded, sums)
     total, starts = 0, {}
     for part, n in sorted(map(tuple, stream.groupBy("part").agg(F.sum("n")).collect())):
         starts[part] = total
         total += n
     out = stream.mapInArrow(
-        _cut(starts, length, keep_ids),
+        released(_cut(starts, length, keep_ids)),
         "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * keep_ids,
     )
     return out.withColumnRenamed("doc", id_col)

@@ -14,7 +14,10 @@ vector and matrix per class.  Labels, language, source and ids are never inputs.
 Cases: null and empty texts have the statistics of an empty text and get a
 score; several labels of a document count one by one, null labels not at all;
 without training rows of both classes the score is the prior (0.5 without any);
-repeated rows get equal scores; an empty table gives an empty result.
+repeated rows get equal scores; null and repeated ids are rows of their own (a
+null id is in no fold and has no label); a score that ties with 0.5 is predicted
+1; a very long text is one chunk of its task; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from . import scratch, textstats
-from .vectext import chunks
+from .vectext import chunks, released
 
 #: Names of the statistics, in the order of the vector.
 STATS = (
@@ -137,8 +141,9 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrink
 
 def classify(documents: DataFrame, labels: DataFrame, shrink: float = 0.05, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
+    runtime.ship(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    stats = scratch.table(rows.mapInArrow(_emit, "doc bigint, x array<double>"), "statistics")
+    stats = scratch.table(rows.mapInArrow(released(_emit), "doc bigint, x array<double>"), "statistics")
     model = documents.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col, label_col, shrink))
     out = stats.select("doc", F.coalesce(held_out("doc"), F.lit(False)).alias("held_out"), "x").mapInArrow(_score(model), "doc bigint, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("doc", id_col)

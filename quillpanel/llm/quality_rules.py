@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from . import keys, scratch, textstats
-from .vectext import chunks
+from .vectext import chunks, released
 
 #: rule -> (ratio of the counts, cutoffs from lax to strict)
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -88,7 +88,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_texts(documents: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(stratum_col).cast("string").alias("stratum"))
-    return rows.mapInArrow(_emit, "doc bigint, stratum string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return rows.mapInArrow(released(_emit), "doc bigint, stratum string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
 
 
 def choose(exceed: dict[str, list[int]], good: int, strata: int, risk: float, delta: float) -> dict[str, float]:
@@ -172,4 +172,4 @@ def keep_good(
     s, c = keys.fresh(documents.columns, "_stratum"), keys.fresh(documents.columns, "_cuts")
     cuts = cuts.select(F.col("s").alias(s), F.struct(*(f"cut_{rule}" for rule in RULES)).alias(c))
     rows = documents.join(cuts, F.col(stratum_col).cast("string").eqNullSafe(F.col(s)), "left").select(*documents.columns, c)
-    return rows.mapInArrow(_filter(documents.columns.index(text_col), min_words, repeat_percent), documents.schema)
+    return rows.mapInArrow(released(_filter(documents.columns.index(text_col), min_words, repeat_percent)), documents.schema)

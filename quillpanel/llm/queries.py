@@ -23,7 +23,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.histogram(_read(spark, sf_dir, "documents"), group_col="lang")
+    return token_counts.report(_read(spark, sf_dir, "documents"), group_col="lang")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_gumbel.sample(_read(spark, sf_dir, "documents"), ["doc_id"], k=2, seed=1, with_text=True)
+    return sp_gumbel.sample(_read(spark, sf_dir, "documents"), ["doc_id"], k=2, seed=1)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

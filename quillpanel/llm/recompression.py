@@ -53,8 +53,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import runtime
 from . import keys, scratch
-from .vectext import U64, as_long, chunks, mix, prefix, ragged, spans, byte_names, words
+from .vectext import U64, as_long, byte_names, chunks, mix, prefix, ragged, released, spans, words
 
 #: Rounds of recompression before anchors are taken.
 LEVELS = 3
@@ -308,7 +309,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """
     if not 2 <= width <= 63:
         raise ValueError("a window has 2 to 63 words")
-    every = docs.mapInArrow(_emit_territories(width), "doc bigint, at int, n int, anchor bigint, context bigint")
+    every = docs.mapInArrow(released(_emit_territories(width)), "doc bigint, at int, n int, anchor bigint, context bigint")
     every = scratch.table(every, "territories")
     shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     found = scratch.table(every.join(shared, "anchor"), "shared-territories")
@@ -318,9 +319,9 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor")
     part = F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "anchor", "context", "copies").alias("part")
     parts = contexts.join(kinds, "anchor").select("rep.doc", part).groupBy("doc").agg(F.collect_list("part").alias("parts"))
-    rows = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(parts, "doc").select("doc", "text", "parts")
-    packed = scratch.table(rows.mapInArrow(_unsqueeze(_emit_windows(width)), "anchor bigint, context bigint, copies bigint, names binary"), "packed-windows")
-    window = packed.mapInArrow(_explode, "anchor bigint, context bigint, copies bigint, bit int, window bigint")
+    rows = docs.mapInArrow(released(_squeeze), "doc bigint, text binary").join(parts, "doc").select("doc", "text", "parts")
+    packed = scratch.table(rows.mapInArrow(released(_unsqueeze(_emit_windows(width))), "anchor bigint, context bigint, copies bigint, names binary"), "packed-windows")
+    window = packed.mapInArrow(released(_explode), "anchor bigint, context bigint, copies bigint, bit int, window bigint")
     often = window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
     rims = window.where("copies = 1").join(often, ["anchor", "window"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
     whole = contexts.where("copies > 1").select("anchor", "context", F.expr("-1L").alias("mask"))
@@ -334,22 +335,24 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
 
 def remove_repeats(documents: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per document: its id, n_words, n_removed and kept_text (or, with digest, its SHA-256)."""
+    runtime.ship(documents.sparkSession)
     rows, key, plain = keys.keyed(documents, id_col)
     docs = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    joined = docs.mapInArrow(_squeeze, "doc bigint, text binary").join(repeated_windows(docs, width), "doc", "left").select("doc", "text", "parts")
+    joined = docs.mapInArrow(released(_squeeze), "doc bigint, text binary").join(repeated_windows(docs, width), "doc", "left").select("doc", "text", "parts")
     last = "kept_sha256" if digest else "kept_text"
-    out = joined.mapInArrow(_unsqueeze(_apply(width, digest)), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
+    out = joined.mapInArrow(released(_unsqueeze(_apply(width, digest))), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
     return out.withColumnRenamed("doc", id_col) if plain else keys.named(out, rows, key, id_col)
 
 
 def strip_repeats(documents: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns with repeated passages cut from the texts."""
+    runtime.ship(documents.sparkSession)
     rows, key, _ = keys.keyed(documents, id_col)
     others = [c for c in documents.columns if c != text_col]
     docs = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))
     full = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest"))
     kind = full.schema["rest"].dataType
-    small = full.mapInArrow(_squeeze, T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("rest", kind)]))
+    small = full.mapInArrow(released(_squeeze), T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("rest", kind)]))
     joined = small.join(repeated_windows(docs, width), "doc", "left").select("doc", "text", "parts", "rest")
-    out = joined.mapInArrow(_unsqueeze(_strip(width)), T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", kind)]))
+    out = joined.mapInArrow(released(_unsqueeze(_strip(width))), T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", kind)]))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from .vectext import chunks
+from .vectext import chunks, released
 
 #: Segments that advance together at least; fewer are read one by one.
 LANES = 40
@@ -443,5 +443,5 @@ def scan(documents: DataFrame, base: tuple[Rule, ...] = BASE_RULES, more: tuple[
     shared = runtime.ship(documents.sparkSession).sparkContext.broadcast(scanner(base + more))
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{r.kind} bigint" for r in base)
-    out = rows.mapInArrow(_scan(shared, len(base)), f"doc bigint, {counts}, base_sha256 string, spans string")
+    out = rows.mapInArrow(released(_scan(shared, len(base))), f"doc bigint, {counts}, base_sha256 string, spans string")
     return out.withColumnRenamed("doc", id_col)

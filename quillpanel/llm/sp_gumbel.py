@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from .vectext import U64, byte_names, mix, ragged
+from .vectext import U64, byte_names, mix, ragged, released
 
 OFFSET = 10.0
 #: Characters of text that a worker samples at once (a longer text is one chunk).
@@ -425,6 +425,7 @@ def _sampled(path: str, alpha: float, k: int, seed: int, names: list[str], with_
                     yield rows(keys, texts)
                     keys, texts, held = [], [], 0
             yield rows(keys, texts)
+        m.clear()
 
     return run
 
@@ -439,7 +440,7 @@ def sample(rows: DataFrame, key_cols: list[str], text_col: str = "text", k: int
     inner = rows.select(*(F.col(c).cast("bigint").alias(n) for c, n in zip(key_cols, names)), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"{n} bigint" for n in names) + ", rank int, n_pieces bigint, ids_crc32 bigint, log_prob double, inclusion double, decoded_crc32 bigint, round_trip boolean"
     schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
-    out = inner.mapInArrow(_sampled(path or default_path(), alpha, k, seed, names, with_ids, with_text), schema)
+    out = inner.mapInArrow(released(_sampled(path or default_path(), alpha, k, seed, names, with_ids, with_text)), schema)
     return out.withColumnsRenamed(dict(zip(names, key_cols)))
 
 

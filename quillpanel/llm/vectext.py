@@ -12,7 +12,8 @@ they serve as global names without a dictionary on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -160,6 +161,20 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives its worker's free memory back when it ends; workers outlive tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
+
+
 def row_ids(offsets: np.ndarray) -> np.ndarray:
     """For offsets of rows in a flat array: the row of each flat element."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

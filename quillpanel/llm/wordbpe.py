@@ -17,8 +17,8 @@ import numpy as np
 
 from .vectext import LOWER, ragged, byte_names, words
 
-#: Word types that one worker remembers; beyond, it starts anew.
-REMEMBER = 400_000
+#: Word types that one task remembers; beyond, it starts anew.
+REMEMBER = 200_000
 _coders: dict[str, WordCoder] = {}
 
 
