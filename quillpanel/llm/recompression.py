@@ -276,7 +276,11 @@ def _strip(width: int):
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, for the shuffle by document."""
+    """Texts compressed one by one, for the shuffle by document.
+
+    What reads them is another Python stage, so they are always shuffled: with a
+    broadcast instead, each task would run two Python workers at a time.
+    """
     pack = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
@@ -319,7 +323,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor")
     part = F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "anchor", "context", "copies").alias("part")
     parts = contexts.join(kinds, "anchor").select("rep.doc", part).groupBy("doc").agg(F.collect_list("part").alias("parts"))
-    rows = docs.mapInArrow(released(_squeeze), "doc bigint, text binary").join(parts, "doc").select("doc", "text", "parts")
+    rows = docs.mapInArrow(released(_squeeze), "doc bigint, text binary").join(parts.hint("merge"), "doc").select("doc", "text", "parts")
     packed = scratch.table(rows.mapInArrow(released(_unsqueeze(_emit_windows(width))), "anchor bigint, context bigint, copies bigint, names binary"), "packed-windows")
     window = packed.mapInArrow(released(_explode), "anchor bigint, context bigint, copies bigint, bit int, window bigint")
     often = window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
@@ -338,7 +342,7 @@ def remove_repeats(documents: DataFrame, width: int = 35, id_col: str = "doc_id"
     runtime.ship(documents.sparkSession)
     rows, key, plain = keys.keyed(documents, id_col)
     docs = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    joined = docs.mapInArrow(released(_squeeze), "doc bigint, text binary").join(repeated_windows(docs, width), "doc", "left").select("doc", "text", "parts")
+    joined = docs.mapInArrow(released(_squeeze), "doc bigint, text binary").join(repeated_windows(docs, width).hint("merge"), "doc", "left").select("doc", "text", "parts")
     last = "kept_sha256" if digest else "kept_text"
     out = joined.mapInArrow(released(_unsqueeze(_apply(width, digest))), f"doc bigint, n_words bigint, n_removed bigint, {last} string")
     return out.withColumnRenamed("doc", id_col) if plain else keys.named(out, rows, key, id_col)
@@ -353,6 +357,6 @@ def strip_repeats(documents: DataFrame, width: int = 50, id_col: str = "doc_id",
     full = rows.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest"))
     kind = full.schema["rest"].dataType
     small = full.mapInArrow(released(_squeeze), T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("rest", kind)]))
-    joined = small.join(repeated_windows(docs, width), "doc", "left").select("doc", "text", "parts", "rest")
+    joined = small.join(repeated_windows(docs, width).hint("merge"), "doc", "left").select("doc", "text", "parts", "rest")
     out = joined.mapInArrow(released(_unsqueeze(_strip(width))), T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", kind)]))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns))
