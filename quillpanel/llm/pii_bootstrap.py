@@ -156,8 +156,8 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), _label), ",")
 
 
-def discover(found: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
-    """(doc, s, e, rank) of candidates that high-confidence patterns report."""
+def discover(found: DataFrame, rounds: int, support: int, confidence: float) -> tuple[DataFrame, list[DataFrame]]:
+    """((doc, s, e, rank) of candidates that high-confidence patterns report, the tables to remove once it is written)."""
     again = ~F.col("seed") & (F.col("rank") == 3) & F.length(_digits(F.col("value"))).between(*BOTH)
     pattern = F.explode(F.array_distinct(F.array(F.element_at("words", -1), F.concat(F.lit("2 "), F.array_join("words", " ")))))
     every = found.where("size(words) > 0").select("doc", "s", "e", "rank", "value", "seed", again.alias("again"), pattern.alias("pattern"))
@@ -168,7 +168,7 @@ def discover(found: DataFrame, rounds: int, support: int, confidence: float) ->
     edges = scratch.table(edges.join(able, "pattern"), "pattern-edges")
     totals = edges.groupBy("pattern").agg(F.sum("own").alias("total"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
-    patterns, used = None, []
+    patterns, used = None, [edges]
     for _ in range(rounds):
         mass = scored.groupBy("pattern", "rank").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count_if(F.col("score") >= confidence).alias("backing"))
         patterns = mass.where(F.col("backing") >= support).join(totals, "pattern").select("pattern", "rank", (F.col("mass") / (F.col("total") + 1.0)).alias("trust"))
@@ -180,15 +180,16 @@ def discover(found: DataFrame, rounds: int, support: int, confidence: float) ->
         used += [patterns, scored]
     sure = patterns.where(F.col("trust") >= confidence)
     best = F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank")
-    return every.where("not seed").join(sure, ["pattern", "rank"]).groupBy("doc", "s", "e").agg(best)
+    return every.where("not seed").join(sure, ["pattern", "rank"]).groupBy("doc", "s", "e").agg(best), used
 
 
 def _spans(documents: DataFrame, rounds: int, support: int, confidence: float, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc, s, rank, e, seed), base spans and discovered ones, written."""
     found = occurrences(documents, id_col, text_col)
-    more = discover(found, rounds, support, confidence).select("doc", "s", "rank", "e", F.lit(False).alias("seed"))
+    more, used = discover(found, rounds, support, confidence)
+    more = more.select("doc", "s", "rank", "e", F.lit(False).alias("seed"))
     out = scratch.table(found.where("seed").select("doc", "s", "rank", "e", "seed").unionByName(more), "spans")
-    scratch.drop(found)
+    scratch.drop(found, *used)
     return out
 
 

@@ -34,6 +34,32 @@ def test_base_pii_equals_plain_expressions(spark):
     assert [r for r in got if tuple(r)[1:6] != pii(texts[r[0]], pii_bootstrap.KINDS)] == []
 
 
+def test_many_matches_cost_their_number(spark):
+    import time
+
+    took = {}
+    for n in (500, 64_000):
+        text = "12345678901234 x " * n
+        frame = spark.createDataFrame([(1, text)], SCHEMA)
+        began = time.time()
+        assert pii_bootstrap.redact(frame).first().text == text  # no digits pass the check sum
+        assert pii_bootstrap.extract(frame).first().n_card == 0
+        took[n] = time.time() - began
+    assert took[64_000] < took[500] + 15
+
+
+def test_planted_identifiers_are_found_with_precision_and_recall(spark):
+    rng = random.Random(4)
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"word{i} call her office line +1 {number()} today") for i in range(200)]
+    rows += [(1000 + i, f"word{i} call her office line {number()} today") for i in range(50)]
+    rows += [(2000 + i, f"word{i} the serial number is {number()} here") for i in range(50)]
+    rows += [(3000 + i, f"word{i} parts {number()} and {number()} sold") for i in range(50)]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = [i for i, spans in got.items() if i >= 1000 and spans]
+    assert {i for i in found} == set(range(1000, 1050))
+
+
 def test_contexts_discover_unseen_identifiers_and_redaction_replaces_them(spark):
     rows = [(i, f"please call our desk at +1 (310) 555-{1000 + i} now or mail to u{i}@x.org") for i in range(30)]
     rows += [(100 + i, f"please call our desk at 310-555-{1000 + i} now. mail to v{i}(at)x.org, the count 1234567 of") for i in range(3)]
