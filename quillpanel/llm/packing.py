@@ -55,7 +55,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, places = wordbpe.coder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for a, b, data, offs in chunks(batch.column(1)):
+            for a, b, data, offs in chunks(batch.column(1), wordbpe.CHUNK):
                 flat, at = coder.encode(data, offs)
                 raw, at = memoryview(flat.tobytes()), at.tolist()
                 ids, count, place = [], [], []

@@ -37,7 +37,7 @@ def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = wordbpe.coder(path)
         for batch in batches:
-            for a, b, data, offs in chunks(batch.column(1)):
+            for a, b, data, offs in chunks(batch.column(1), wordbpe.CHUNK):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(coder.count(data, offs).astype(np.int64))], ["grp", "n_tokens"])
         coder.clear()
 

@@ -117,7 +117,7 @@ def byte_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in bytes); a null text is empty."""
     if pa.types.is_large_string(column.type):
         kind = np.int64
@@ -134,7 +134,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         lengths = np.where(np.asarray(column.is_null()), 0, lengths)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
         b = min(b, n)
         if column.null_count and (lengths[a:b] != np.diff(offs[a : b + 1])).any():
             part = np.concatenate([body[offs[i] : offs[i] + lengths[i]] for i in range(a, b)] or [body[:0]])

@@ -18,7 +18,9 @@ import numpy as np
 from .vectext import LOWER, ragged, byte_names, words
 
 #: Word types that one task remembers; beyond, it starts anew.
-REMEMBER = 200_000
+REMEMBER = 400_000
+#: Bytes of text that are encoded at once: each chunk looks up its word types.
+CHUNK = 1 << 22
 _coders: dict[str, WordCoder] = {}
 
 
