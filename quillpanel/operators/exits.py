@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import SignalSpec
 from ..functions import rolling as R
+from ..sources.tables import kept
 from . import signals
 
 MAX_HOLD, MIN_FORWARD = 90, 5
@@ -46,18 +47,20 @@ def trades(rows: DataFrame, spec: SignalSpec, least_days: int = 0) -> DataFrame:
 
     With least_days, only signals with so many qualifying days (column ``days``).
     """
-    panel = rows.withColumn("ma20", R.mean("close", 20))
+    rows = kept(rows.withColumn("ma20", R.mean("close", 20)))
     fired = signals.spaced(rows.where(signals.fires(spec)), spec.gap, ["ticker"])
     entries = (fired.where(F.col("days") >= least_days) if least_days else fired).select("ticker", F.col("rn").alias("at"), F.col("session").alias("entry"), F.col("close").alias("c0"))
-    ahead = panel.select("ticker", "rn", "session", F.col("close").alias("c"), "volume_ratio", "price_change", "ma20")
+    ahead = rows.select("ticker", "rn", "session", F.col("close").alias("c"), "volume_ratio", "price_change", "ma20")
     fwd = entries.join(ahead, "ticker").where(F.col("rn").between(F.col("at") + 1, F.col("at") + MAX_HOLD)).withColumn("off", F.col("rn") - F.col("at") - 1)
     order = Window.partitionBy("ticker", "at").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     fwd = fwd.withColumn("peak", F.max("c").over(order)).withColumn("high", F.greatest("peak", "c0"))
     fwd = fwd.withColumn("worst", F.least(F.min(R.divide(F.col("c"), F.col("high")) - 1).over(order), F.lit(0.0)))
+    fwd = kept(fwd)
     offs = fwd.groupBy("ticker", "at", "entry", "c0").agg(F.count("*").alias("n"), *(rule(spec).alias(name) for name, rule in RULES.items())).where(F.col("n") >= MIN_FORWARD)
     names = ", ".join(f"'{x}', {x}" for x in RULES)
     exits = offs.selectExpr("ticker", "at", "entry", "c0", f"stack({len(RULES)}, {names}) as (rule, off)")
     done = exits.join(fwd.select("ticker", "at", "off", F.col("session").alias("exit"), "c", "worst"), ["ticker", "at", "off"])
+    done = kept(done)
     own = _window_baseline(rows, entries, done.select("entry", "exit").distinct())
     ret = R.divide(F.col("c"), F.col("c0")) - 1
     return done.join(own, ["entry", "exit"], "left").select(

@@ -11,6 +11,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, read from a checkpoint where the session has a folder for them; for what several branches of a plan read."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def ticker(key: str) -> F.Column:
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 6, "0"))
 
