@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MOVE
 from ..functions import rolling as R
-from ..sources.tables import with_history
+from ..sources.tables import kept, with_history
 from . import signals
 from .resample import draw
 
@@ -35,6 +35,7 @@ def events(rows: DataFrame) -> DataFrame:
 
 def curves(rows: DataFrame) -> DataFrame:
     """Mean relative volume and mean rolling ratio per kind and day -20..20."""
+    rows = kept(rows)
     event = ["kind", "ticker", "at", "slot"]
     near = events(rows).join(rows.select("ticker", "rn", "dv", "ratio"), "ticker").where(F.col("rn").between(F.col("at") - BASE_FROM, F.col("at") + AFTER)).withColumn("day", F.col("rn") - F.col("at"))
     # the baseline comes with each row of its event: one exchange, no join of the branch with itself

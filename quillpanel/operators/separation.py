@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import MOVE, PERIODS
+from ..sources.tables import kept
 from .metrics import METRICS
 from .resample import draw
 
@@ -89,15 +90,15 @@ def _shuffled(section: DataFrame, reps: int) -> DataFrame:
 
 def permutation(section: DataFrame, reps: int, bar: float = BAR) -> DataFrame:
     """Passing metrics per replicate under the rule of ``passes``; a replicate in which a period is too small for a metric drops it."""
-    seps = _shuffled(section, reps)
-    per = section.select("period").distinct().count()
-    full = passes(seps, "rep", bar=bar).where(F.col("n") == per)
+    section = kept(section)
+    per = section.agg(F.count_distinct("period").alias("per"))
+    full = passes(_shuffled(section, reps), "rep", bar=bar).crossJoin(F.broadcast(per)).where("n = per")
     return full.groupBy("rep").agg(F.count(F.when(F.col("passes"), 1)).alias("hits"))
 
 
 def permutation_by_score(section: DataFrame, reps: int, n_periods: int, bar: float = BAR) -> DataFrame:
     """Passing metrics per replicate under the rule of ``score``."""
-    seps = _shuffled(section, reps)
+    seps = _shuffled(kept(section), reps)
     least = max(2, -(-2 * n_periods // 3))
     per = seps.groupBy("rep", "metric").agg((F.count_distinct(F.signum("sep")) == 1).alias("same"), F.count(F.when(F.abs("sep") >= bar, 1)).alias("n"))
     return per.groupBy("rep").agg(F.count(F.when(F.col("same") & (F.col("n") >= least), 1)).alias("hits"))
