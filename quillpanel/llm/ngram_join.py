@@ -417,7 +417,8 @@ def _components(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame
     labels = graph.components(links).withColumnRenamed("id", "sid")
     full = sets.where("size > 0").join(labels, "sid", "left").select("doc", "size", F.coalesce("component", "sid").alias("key"))
     full = scratch.table(full, "keyed-sets")
-    least = full.groupBy("key").agg(F.min("doc").alias("component_id"))
+    # written before it is joined, so that the join can split a component with a third of all rows
+    least = scratch.table(full.groupBy("key").agg(F.min("doc").alias("component_id")), "least-ids")
     out = full.join(least, "key").select("doc", "size", "component_id")
     return out.unionByName(sets.where("size = 0").select("doc", "size", F.col("doc").alias("component_id")))
 

@@ -315,22 +315,23 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
         raise ValueError("a window has 2 to 63 words")
     every = docs.mapInArrow(released(_emit_territories(width)), "doc bigint, at int, n int, anchor bigint, context bigint")
     every = scratch.table(every, "territories")
-    shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # counts are written before they are joined: a join that reads two exchanges of its own can split a hot anchor
+    shared = scratch.table(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "shared-anchors")
     found = scratch.table(every.join(shared, "anchor"), "shared-territories")
-    scratch.drop(every)
+    scratch.drop(every, shared)
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "n")).alias("rep"))
     contexts = scratch.table(contexts, "contexts")
-    kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor")
+    kinds = scratch.table(contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor"), "mixed-anchors")
     part = F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "anchor", "context", "copies").alias("part")
     parts = contexts.join(kinds, "anchor").select("rep.doc", part).groupBy("doc").agg(F.collect_list("part").alias("parts"))
     rows = docs.mapInArrow(released(_squeeze), "doc bigint, text binary").join(parts.hint("merge"), "doc").select("doc", "text", "parts")
     packed = scratch.table(rows.mapInArrow(released(_unsqueeze(_emit_windows(width))), "anchor bigint, context bigint, copies bigint, names binary"), "packed-windows")
     window = packed.mapInArrow(released(_explode), "anchor bigint, context bigint, copies bigint, bit int, window bigint")
-    often = window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
+    often = scratch.table(window.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window"), "repeated-windows")
     rims = window.where("copies = 1").join(often, ["anchor", "window"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
     whole = contexts.where("copies > 1").select("anchor", "context", F.expr("-1L").alias("mask"))
     masks = scratch.table(whole.unionByName(rims), "masks")
-    scratch.drop(packed, contexts)
+    scratch.drop(packed, contexts, kinds, often)
     out = found.join(masks, ["anchor", "context"]).select("doc", "at", F.expr("mask & (shiftleft(1L, n) - 1L)").alias("mask"))
     out = scratch.table(out.where("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("at", "mask")).alias("parts")), "repeats")
     scratch.drop(found, masks)
