@@ -58,6 +58,11 @@ def skew(x: Column | str, n: int) -> Column:
     return trailing(F.skewness, x, n) * ((n * (n - 1)) ** 0.5 / (n - 2))
 
 
+def cents(x: Column | str) -> Column:
+    """Two decimals; an exact half rounds up, whatever the last bit of a mean of cents is."""
+    return F.round(col(x) + 1e-7, 2)
+
+
 def fit(x: Column | str, n: int) -> Column:
     """R squared of a straight line through n values; NULL on a flat window."""
     x, w = col(x), span(1 - n)

@@ -39,7 +39,7 @@ def screen(bars: DataFrame, universe: DataFrame, cash: DataFrame, spec: SignalSp
     }
     rows = rows.withColumns(gates)
     return rows.select(
-        "ticker", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("exchange", F.lit("")).alias("exchange"), F.round("close", 2).alias("price"), F.round(F.col("price_change") * 100, 1).alias("price_change_pct"),
+        "ticker", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("exchange", F.lit("")).alias("exchange"), R.cents("close").alias("price"), F.round(F.col("price_change") * 100, 1).alias("price_change_pct"),
         F.round("volume_ratio", 2).alias("volume_ratio"), F.round(F.col("recent_dv") / 1e6, 1).alias("recent_dollar_vol_musd"), F.round(F.col("cash") / 1e6, 1).alias("ttm_cfo_musd"),
         F.round("cap_busd", 2).alias("market_cap_busd"), *gates, F.expr("pass_volume and pass_price and pass_cfo and pass_cap").alias("is_match"), F.col("session").alias("bar_date"),
     )

@@ -52,7 +52,7 @@ def backtest(rows: DataFrame, universe: DataFrame, spec: SignalSpec, horizons: t
     out = events.join(baseline(rows, horizons), "session", "left").join(universe.select("ticker", "category", "in_original", "cap_busd"), "ticker", "left")
     pct = lambda x: F.round(x * 100, 2)
     return out.select(
-        "ticker", F.coalesce("category", F.lit("")).alias("category"), "in_original", "cap_busd", "session", "rn", F.round("close", 2).alias("price"), F.round("volume_ratio", 2).alias("volume_ratio"),
+        "ticker", F.coalesce("category", F.lit("")).alias("category"), "in_original", "cap_busd", "session", "rn", R.cents("close").alias("price"), F.round("volume_ratio", 2).alias("volume_ratio"),
         F.round(F.col("price_change") * 100, 1).alias("price_change_pct"),
         *(c for h in horizons for c in (
             pct(F.col(f"fwd_{h}d")).alias(f"fwd_{h}d_pct"), pct(F.col(f"base_{h}d")).alias(f"base_{h}d_pct"), pct(F.col(f"fwd_{h}d") - F.col(f"base_{h}d")).alias(f"excess_{h}d_pct"))),

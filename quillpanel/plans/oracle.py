@@ -6,7 +6,7 @@ from ..config import LEGACY, LIVE, LOOSE, PERIODS, PREREGISTERED, PRICE_GRID, TR
 from ..operators import metrics, regime
 from .catalogue import REPS, SHUFFLES_ALL, SHUFFLES_TWO, TIE
 
-BARS = """bars as (select 'S' || lpad(cast(l_suppkey as varchar), 6, '0') as ticker, cast(l_shipdate as date) as session, avg(l_extendedprice) as close,
+BARS = """bars as (select 'S' || lpad(cast(l_suppkey as varchar), 6, '0') as ticker, cast(l_shipdate as date) as session, cast(sum(cast(l_extendedprice as decimal(15,2))) as double) / count(*) as close,
   max(l_extendedprice) as high, min(l_extendedprice) as low, sum(l_quantity) as volume from lineitem group by 1, 2)"""
 UNIVERSE = """uni as (select 'S' || lpad(cast(s_suppkey as varchar), 6, '0') as ticker, r_name as category, case when s_suppkey % 2 = 0 then 'NASDAQ' else 'NYSE' end as exchange,
   s_suppkey % 3 = 0 as in_original, case when s_acctbal > 0 then s_acctbal / 100 end as cap_busd, s_suppkey as position
@@ -55,7 +55,7 @@ def spaced(source: str, keys: str, gap: int, name: str = "kept") -> str:
 def trades(s: SignalSpec) -> str:
     cols = ", ".join(f"round(f{h} * 100, 2) as fwd_{h}d_pct, round(b{h} * 100, 2) as base_{h}d_pct, round((f{h} - b{h}) * 100, 2) as excess_{h}d_pct" for h in (5, 10, 20, 30))
     return f"""{measured(s)}, {spaced('fire', 'ticker', s.gap)}, {UNIVERSE},
-t as (select m.ticker, coalesce(category, '') as category, in_original, cap_busd, m.session, m.rn, round(close, 2) as price, round(vr, 2) as volume_ratio, round(pc * 100, 1) as price_change_pct, {cols}
+t as (select m.ticker, coalesce(category, '') as category, in_original, cap_busd, m.session, m.rn, round(close + 1e-7, 2) as price, round(vr, 2) as volume_ratio, round(pc * 100, 1) as price_change_pct, {cols}
   from kept join m on kept.ticker = m.ticker and kept.rn = m.rn left join b on b.session = m.session left join uni on uni.ticker = m.ticker)"""
 
 
@@ -206,7 +206,7 @@ sp as (select ticker, pr, max(n) as n, sum(value) filter (where k <= 4) as v, ro
 SCREEN = f"""{panel(41)}, {UNIVERSE}, {CASH}, n0 as (select *, {agg('avg', 'dv', 10)} as r, {agg('avg', 'dv', 30, shift=10)} as bs, {change('close', 10)} as pc from p),
 n1 as (select n0.*, r / bs as vr, category, exchange, cap_busd, cash from n0 left join uni on uni.ticker = n0.ticker left join cash on cash.ticker = n0.ticker where rn = n_bars and bs > 0),
 n2 as (select *, coalesce(vr >= {LIVE.volume}, false) as pass_volume, coalesce(pc >= {LIVE.price}, false) as pass_price, coalesce(cash > 0, false) as pass_cfo, coalesce(cap_busd, 0) >= 0 as pass_cap from n1),
-scr as (select ticker, coalesce(category, '') as category, coalesce(exchange, '') as exchange, round(close, 2) as price, round(pc * 100, 1) as price_change_pct, round(vr, 2) as volume_ratio, round(r / 1e6, 1) as recent_dollar_vol_musd, round(cash / 1e6, 1) as ttm_cfo_musd,
+scr as (select ticker, coalesce(category, '') as category, coalesce(exchange, '') as exchange, round(close + 1e-7, 2) as price, round(pc * 100, 1) as price_change_pct, round(vr, 2) as volume_ratio, round(r / 1e6, 1) as recent_dollar_vol_musd, round(cash / 1e6, 1) as ttm_cfo_musd,
  round(cap_busd, 2) as market_cap_busd, pass_volume, pass_price, pass_cfo, pass_cap, pass_volume and pass_price and pass_cfo and pass_cap as is_match, session as bar_date from n2)"""
 
 

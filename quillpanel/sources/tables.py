@@ -21,9 +21,13 @@ def ticker(key: str) -> F.Column:
 
 
 def bars_from_lines(lines: DataFrame) -> DataFrame:
-    """Daily bars (ticker, session, close, high, low, volume); incomplete bars are dropped."""
+    """Daily bars (ticker, session, close, high, low, volume); incomplete bars are dropped.
+
+    Prices are added up as decimals, so a mean does not depend on how the lines are dealt out.
+    """
+    cents = F.col("l_extendedprice").try_cast("decimal(15,2)")
     bars = lines.groupBy(ticker("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("session")).agg(
-        F.avg("l_extendedprice").alias("close"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.sum("l_quantity").alias("volume")
+        (F.sum(cents).cast("double") / F.count(cents)).alias("close"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.sum("l_quantity").alias("volume")
     )
     return clean(bars)
 
