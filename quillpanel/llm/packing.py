@@ -137,11 +137,12 @@ def pack(
     quota = quotas(sums.groupBy("source").agg(F.sum("n").alias("tokens")), length, weights, temperature).select(F.col("source").alias("s"), "quota")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(quota, F.col("source").eqNullSafe(F.col("s")))
-    bases = bases.select("s", F.col("part").alias("p"), "base", "quota")
+    # written, so that the plan knows its size before the ids are dealt out for a join
+    bases = scratch.table(bases.select("s", F.col("part").alias("p"), "base", "quota"), "queue-bases")
     placed = coded.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("at", F.col("base") + F.col("place"))
     stream = placed.orderBy(F.floor(F.col("at") / F.col("quota")), "source", "at").select("doc", "n", "ids")
     stream = scratch.table(stream.mapInArrow(released(_streamed), "doc bigint, n bigint, ids binary, part int, at bigint"), "stream")
-    scratch.drop(coded, sums)
+    scratch.drop(coded, sums, bases)
     total, starts = 0, {}
     for part, n in sorted(map(tuple, stream.groupBy("part").agg(F.sum("n")).collect())):
         starts[part] = total
