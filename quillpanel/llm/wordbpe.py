@@ -20,7 +20,7 @@ from .vectext import LOWER, ragged, byte_names, words
 #: Word types that one task remembers; beyond, it starts anew.
 REMEMBER = 400_000
 #: Bytes of text that are encoded at once: each chunk looks up its word types.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 _coders: dict[str, WordCoder] = {}
 
 
@@ -47,60 +47,49 @@ class WordCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint16)
-        self.used = 0
-
-    def _encode_words(self, fresh: list[str]) -> list[list[int]]:
-        """Ids of each word.  Words of letters are one unit each, so many of them are
-        encoded as one text and told apart by the ids that end a unit."""
-        out: list[list[int] | None] = [None] * len(fresh)
-        plain = [i for i, w in enumerate(fresh) if w.isalpha() and w.lower().isalpha()]
+        #: sorted names of the known types and their numbers; by number where its ids start
+        self.names, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16)
+
+    def _encode_words(self, fresh: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(an order of the words, in it the numbers of their ids, their ids).  Words of letters are one unit
+        each, so many of them are encoded as one text and told apart by the ids that end a unit."""
+        plain = [i for i, w in enumerate(fresh) if w.isalpha() and (w.isascii() or w.lower().isalpha())]
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        joined = self.tokenizer.encode_batch_fast([" ".join(fresh[i] for i in g) for g in groups], add_special_tokens=False)
+        joined = self.tokenizer.encode_batch_fast([" ".join([fresh[i] for i in g]) for g in groups], add_special_tokens=False)
+        order, counts, flat = [], [], []
         for g, e in zip(groups, joined):
             ids = np.array(e.ids, np.int64)
             stops = np.flatnonzero(self.closing[ids]) + 1
             if len(stops) == len(g) and (not len(ids) or stops[-1] == len(ids)):
-                at = 0
-                for i, stop in zip(g, stops.tolist()):
-                    out[i] = ids[at:stop].tolist()
-                    at = stop
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
-
-    def _learn(self, fresh: list[bytes], names: list[int]) -> None:
-        ids = self._encode_words([w.decode("utf-8", "replace") for w in fresh])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = len(self.known)
-        while len(self.start) < at + len(ids) + 1:
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        ends = self.used + np.cumsum(lengths)
-        while len(self.ids) < self.used + int(lengths.sum()):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : int(ends[-1])] = np.fromiter((i for x in ids for i in x), np.uint16, int(lengths.sum()))
-        self.start[at + 1 : at + 1 + len(ids)] = ends
-        self.start[at] = self.used
-        self.used = int(ends[-1])
-        self.known.update(zip(names, range(at, at + len(ids))))
+                order += g
+                counts.append(np.diff(stops, prepend=0))
+                flat.append(ids)
+        done = np.zeros(len(fresh), bool)
+        done[order] = True
+        rest = np.flatnonzero(~done).tolist()
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)]
+        counts.append(np.array([len(x) for x in alone], np.int64))
+        flat.append(np.array([i for x in alone for i in x], np.int64))
+        return order + rest, np.concatenate(counts), np.concatenate(flat)
 
     def _types(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """For each word the index of its type."""
-        names = byte_names(data, s, e)
-        kinds, first, inverse = np.unique(names, return_index=True, return_inverse=True)
-        if len(self.known) + len(kinds) > REMEMBER:
+        kinds, first, inverse = np.unique(byte_names(data, s, e), return_index=True, return_inverse=True)
+        if len(self.names) + len(kinds) > REMEMBER:
             self.clear()
-        keys = kinds.tolist()
-        found = [self.known.get(k, -1) for k in keys]
-        new = [i for i, x in enumerate(found) if x < 0]
-        if new:
-            raw = data.tobytes()
-            self._learn([raw[s[first[i]] : e[first[i]]] for i in new], [keys[i] for i in new])
-            found = [self.known[k] for k in keys]
-        return np.array(found, np.int64)[inverse]
+        at = np.searchsorted(self.names, kinds)
+        new = self.names[np.minimum(at, len(self.names) - 1)] != kinds if len(self.names) else np.ones(len(kinds), bool)
+        if new.any():
+            raw, fresh = data.tobytes(), first[new]
+            order, counts, flat = self._encode_words([raw[x:y].decode("utf-8", "replace") for x, y in zip(s[fresh].tolist(), e[fresh].tolist())])
+            number = np.empty(len(fresh), np.int64)
+            number[order] = len(self.names) + np.arange(len(fresh))
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+            self.ids = np.concatenate([self.ids, flat.astype(np.uint16)])
+            self.number, self.names = np.insert(self.number, at[new], number), np.insert(self.names, at[new], kinds[new])
+            at = np.searchsorted(self.names, kinds)
+        return self.number[at][inverse.ravel()]
 
     def _lowered(self, data: np.ndarray) -> np.ndarray:
         """The tokenizer lower-cases; doing so first leaves fewer types.  It looks for special
