@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Seconds between two requests for garbage collection.
+EVERY = 3.0
 _own: dict[str, str] = {}
+_released = 0.0
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,10 +37,14 @@ def _release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that are no longer referenced.
 
     Its cleaner acts when the driver's JVM collects garbage, which a driver with
-    little to do puts off for half an hour while executors' disks fill.
+    little to do puts off for half an hour while executors' disks fill.  Asked
+    for at most once in EVERY seconds, as a large heap takes its time.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    global _released
+    if time.monotonic() - _released > EVERY:
+        gc.collect()
+        spark._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
