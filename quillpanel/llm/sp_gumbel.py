@@ -59,9 +59,11 @@ OFFSET = 10.0
 #: Characters of text that a worker samples at once (a longer text is one chunk).
 CHUNK = 1 << 19
 #: Edges of lattices that a worker remembers; beyond, it starts anew.
-REMEMBER = 3_000_000
+REMEMBER = 4_000_000
+#: Below this share the edges beside the greatest one are summed anew.
+CLOSE = 1e-6
 MARK = "▁"
-_STEP, _PLACE, _DRAW, _NOISE = (U64(int(x, 16)) for x in ("9E3779B97F4A7C15", "C2B2AE3D27D4EB4F", "165667B19E3779F9", "27D4EB2F165667C5"))
+_STEP, _PLACE, _DRAW, _NOISE, _ROOT = (U64(int(x, 16)) for x in ("9E3779B97F4A7C15", "C2B2AE3D27D4EB4F", "165667B19E3779F9", "27D4EB2F165667C5", "85EBCA77C2B2AE63"))
 _models: dict[tuple[str, float], Model] = {}
 
 
@@ -79,11 +81,46 @@ def _uniform(noise: np.ndarray) -> np.ndarray:
     return (mix(noise) >> U64(11)) * 2.0**-53
 
 
-def _below(bound: float, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values of the given log masses, truncated at bound."""
+def _gumbels(log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel values of the given log masses."""
     with np.errstate(divide="ignore"):
-        g = log_mass - np.log(-np.log(np.maximum(u, 1e-300)))
-    return -np.logaddexp(-bound, -g)
+        return log_mass - np.log(-np.log(np.maximum(u, 1e-300)))
+
+
+def _below(bound: float, value: float) -> float:
+    """A Gumbel value truncated at bound; greater values stay greater."""
+    high, low = max(-bound, -value), min(-bound, -value)
+    return -(high + math.log1p(math.exp(low - high)))
+
+
+_MASK = (1 << 20) - 1
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(U64) * _STEP >> U64(44)).astype(np.int64)
+
+
+def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table of non-negative keys (-1: free) and their values."""
+    slots, out = np.full(_MASK + 1, -1, np.int64), np.zeros(_MASK + 1, np.int64)
+    at, left = _slot(keys), np.arange(len(keys))
+    while len(left):
+        free = slots[at[left]] < 0
+        slots[at[left[free]]] = keys[left[free]]  # of several one stays
+        done = slots[at[left]] == keys[left]
+        out[at[left[done]]] = values[left[done]]
+        left = left[~done]
+        at[left] = at[left] + 1 & _MASK
+    return slots, out
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by the last key, then the one before it, and so on."""
+    order = None
+    for k in keys:
+        k = k if k.dtype == bool else k.astype(np.uint16) if k.max(initial=0) < 1 << 16 else k
+        order = np.argsort(k, kind="stable") if order is None else order[np.argsort(k[order], kind="stable")]
+    return order
 
 
 class Draw:
@@ -108,7 +145,7 @@ class Model:
         self.pieces, self.bytes, self.raw = {}, {}, []
         for i in range(self.sp.get_piece_size()):
             p = self.sp.id_to_piece(i)
-            self.raw.append(p.encode())
+            self.raw.append(p.replace(MARK, " ").encode())
             if self.sp.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
                 self.raw[i] = bytes([int(p[3:5], 16)])
@@ -126,17 +163,30 @@ class Model:
                     ends.append(-1)
                     weights.append(0.0)
             ends[node], weights[node] = i, w
-        keys = np.array([n << 21 | c for n, c in child], np.int64)
-        order = np.argsort(keys)
-        self.steps, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.fromiter(child.values(), np.int64, len(child))[order], 0)
+        self.slots, self.to = _table(np.array([n << 21 | c for n, c in child], np.int64), np.fromiter(child.values(), np.int64, len(child)))
         self.ends, self.weights = np.array(ends), np.array(weights)
+        #: by id: its width and start in ``flat``; ids beyond the pieces stand for characters without one
+        self.odd: dict[int, int] = {}
+        self.width, self.start, self.flat = np.ones(len(self.raw), np.int64), np.arange(len(self.raw)), np.arange(len(self.raw))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        #: by type: first node and length; by node: first edge; by edge: start, id, log share, log of the other shares, cumulative share
+        #: sorted names of the known types and their numbers
+        self.names, self.number = np.zeros(0, U64), np.zeros(0, np.int64)
+        #: by type: first node and length; by node: first edge; by edge: its id, and (cumulative share, the other shares, log share, start)
         self.node, self.size, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.frm, self.id, self.lp, self.rest, self.cum = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0)
+        self.used, self.id, self.edge = 0, np.empty(0, np.int32), np.empty((0, 4))
+
+    def _spell(self, cps: np.ndarray) -> np.ndarray:
+        """Ids that stand for the byte pieces of characters."""
+        chars, inverse = np.unique(cps, return_inverse=True)
+        for c in chars.tolist():
+            if c not in self.odd:
+                ids = [self.bytes.get(b, self.unknown) for b in chr(c).encode("utf-8", "replace")]
+                self.odd[c] = len(self.width)
+                self.width, self.start = np.append(self.width, len(ids)), np.append(self.start, len(self.flat))
+                self.flat = np.append(self.flat, ids)
+        return np.array([self.odd[c] for c in chars.tolist()], np.int64)[inverse.ravel()]
 
     def _edges(self, cps: np.ndarray, begin: np.ndarray, size: np.ndarray):
         """(type, start, end, id, weight) of all pieces that lie in the units [begin, begin + size)."""
@@ -147,8 +197,12 @@ class Model:
         depth = 0
         while len(live):
             key = node << 21 | cps[place[live] + depth]
-            i = np.searchsorted(self.steps, key)
-            ok = self.steps[i] == key
+            i = _slot(key)
+            got = self.slots[i]
+            while (on := np.flatnonzero((got != key) & (got >= 0))).size:
+                i[on] = i[on] + 1 & _MASK
+                got[on] = self.slots[i[on]]
+            ok = np.flatnonzero(got == key)
             live, node = live[ok], self.to[i[ok]]
             depth += 1
             hit = self.ends[node] >= 0
@@ -161,13 +215,13 @@ class Model:
         x = np.flatnonzero(~single)
         c = cps[place[x]]
         width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-        out.append((kind[x], start[x], start[x] + 1, -1 - c, self.rare * width))
+        out.append((kind[x], start[x], start[x] + 1, self._spell(c), self.rare * width))
         return (np.concatenate(c) for c in zip(*out))
 
     def _learn(self, cps: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         """Lattices of new unit types."""
         kind, frm, at, ids, weight = self._edges(cps, begin, size)
-        order = np.argsort(at * len(size) + kind)
+        order = _order(kind, at)
         kind, frm, at, ids, weight = (x[order] for x in (kind, frm, at, ids, weight))
         base = np.concatenate([[0], np.cumsum(size + 1)])
         nodes = base[kind] + at
@@ -180,24 +234,31 @@ class Model:
             head = np.flatnonzero(np.diff(nodes[a:b], prepend=-1))
             run = np.repeat(np.arange(len(head)), np.diff(np.append(head, b - a)))
             top = np.maximum.reduceat(score, head)
-            mass = np.exp(score - top[run])
+            over = score - top[run]
+            mass = np.exp(over)
             whole = np.add.reduceat(mass, head)
             total[nodes[a:b][head]] = top + np.log(whole)
-            lp[a:b] = score - (top + np.log(whole))[run]
-            # what the others have: summed without the edge where it is the greatest
-            best = np.zeros(b - a, bool)
-            best[head + _argmax(score, head, run)] = True
-            others = np.where(best, np.add.reduceat(np.where(best, 0.0, mass), head)[run], whole[run] - mass)
-            others /= whole[run]
-            with np.errstate(divide="ignore"):
-                rest[a:b] = np.log(others)
-            x = np.flatnonzero(best) + a
-            lp[x] = np.log1p(-others[best])
-            share[a:b] = mass / whole[run]
-            later[a:b] = ~best
-        order = np.argsort(2 * nodes + later)  # the greatest first, as most draws take it
-        nodes, share = nodes[order], share[order]
+            over -= np.log(whole)[run]
+            mass /= whole[run]
+            others = 1.0 - mass
+            greatest = np.flatnonzero(score == top[run])
+            best = greatest[np.flatnonzero(np.diff(run[greatest], prepend=-1))]  # one of each node
+            close = np.flatnonzero(others[best] < CLOSE)
+            if len(close):  # what the others have is lost beside the greatest: summed without it
+                alone = mass.copy()
+                alone[best] = 0.0
+                others[best[close]] = np.add.reduceat(alone, head)[close]
+                over[best[close]] = np.log1p(-others[best[close]])
+            lp[a:b], rest[a:b] = over, others
+            share[a:b] = mass
+            later[a + best] = False
+        order = _order(at, kind)
+        nodes = nodes[order]
         first = np.searchsorted(nodes, np.arange(base[-1]))
+        # the greatest edge of a node first, as most draws take it
+        head, top = np.flatnonzero(np.diff(nodes, prepend=-1)), np.flatnonzero(~later[order])
+        order[head], order[top] = order[top], order[head]
+        share = share[order]
         cum, place = share.copy(), np.arange(len(nodes)) - first[nodes]
         for r in range(1, int(place.max(initial=0)) + 1):
             x = np.flatnonzero(place == r)
@@ -206,45 +267,62 @@ class Model:
         cum[last] = 2.0
         self.node = np.concatenate([self.node, len(self.first) - 1 + base[:-1]])
         self.size = np.concatenate([self.size, size])
-        self.first = np.concatenate([self.first[:-1], len(self.frm) + first, [len(self.frm) + len(nodes)]])
-        for name, x in (("frm", frm), ("id", ids), ("lp", lp), ("rest", rest)):
-            setattr(self, name, np.concatenate([getattr(self, name), x[order].astype(getattr(self, name).dtype)]))
-        self.cum = np.concatenate([self.cum, cum])
+        old, self.used = self.used, self.used + len(nodes)
+        self.first = np.concatenate([self.first[:-1], old + first, [self.used]])
+        if self.used > len(self.id):  # room for all that is remembered; pages count once they are written
+            room = max(REMEMBER + REMEMBER // 4, self.used * 2)
+            held = self.id[:old], self.edge[:old]
+            self.id, self.edge = np.empty(room, np.int32), np.empty((room, 4))
+            self.id[:old], self.edge[:old] = held
+        self.id[old : self.used] = ids[order]
+        for k, column in enumerate((cum, rest[order], lp[order], frm[order])):
+            self.edge[old : self.used, k] = column
 
     def kinds(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The type of each unit."""
         raw = cps.astype("<u4").view(np.uint8)
         names, first, inverse = np.unique(byte_names(raw, 4 * begin, 4 * end), return_index=True, return_inverse=True)
-        if len(self.frm) > REMEMBER:
+        if self.used > REMEMBER:
             self.clear()
-        keys = names.tolist()
-        found = [self.known.get(k, -1) for k in keys]
-        new = [i for i, x in enumerate(found) if x < 0]
-        if new:
-            at = len(self.known)
-            self._learn(cps, begin[first[new]], (end - begin)[first[new]])
-            for j, i in enumerate(new):
-                found[i] = self.known[keys[i]] = at + j
-        return np.array(found, np.int64)[inverse.ravel()]
+        at = np.searchsorted(self.names, names)
+        if len(self.names):
+            new = self.names[np.minimum(at, len(self.names) - 1)] != names
+        else:
+            new = np.ones(len(names), bool)
+        if new.any():
+            fresh = first[new]
+            self._learn(cps, begin[fresh], (end - begin)[fresh])
+            self.number = np.insert(self.number, at[new], len(self.names) + np.arange(len(fresh)))
+            self.names = np.insert(self.names, at[new], names[new])
+            at = np.searchsorted(self.names, names)
+        return self.number[at][inverse.ravel()]
 
     def draw(self, kinds: np.ndarray, noise: np.ndarray) -> Draw:
         """One segmentation of each unit, from the unit's noise."""
-        base, at = self.node[kinds], self.size[kinds].copy()
-        lp, left, count = np.zeros(len(kinds)), np.full(len(kinds), -np.inf), np.zeros(len(kinds), np.int64)
-        live, steps = np.flatnonzero(at), []
-        while len(live):
-            e = self.first[base[live] + at[live]]
-            u = _uniform(noise[live] + _times(_STEP, len(steps) + 1))
-            todo = np.flatnonzero(u >= self.cum[e])
+        lp, left, count = np.zeros(len(kinds)), np.zeros(len(kinds)), np.zeros(len(kinds), np.int64)
+        # of the units that are not at their start yet: place, first node, characters left, noise, log-probability, what is left aside
+        unit, base, at, noise, p, aside = np.arange(len(kinds)), self.node[kinds], self.size[kinds], noise, lp, left
+        steps = []
+        while len(unit):
+            e = self.first[base + at]
+            row = self.edge[e]
+            u = _uniform(noise + _times(_STEP, len(steps) + 1))
+            todo = np.flatnonzero(u >= row[:, 0])
             while len(todo):
                 e[todo] += 1
-                todo = todo[u[todo] >= self.cum[e[todo]]]
-            left[live] = np.logaddexp(left[live], lp[live] + self.rest[e])
-            lp[live] += self.lp[e]
-            at[live] = self.frm[e]
-            steps.append((live, e))
-            count[live] += 1
-            live = live[at[live] > 0]
+                row[todo] = self.edge[e[todo]]
+                todo = todo[u[todo] >= row[todo, 0]]
+            # what the other edges of this node hold, times what led here
+            aside = aside + np.exp(p) * row[:, 1]
+            p = p + row[:, 2]
+            at = row[:, 3].astype(np.int64)
+            steps.append((unit, e))
+            over = np.flatnonzero(at == 0)
+            lp[unit[over]], left[unit[over]], count[unit[over]] = p[over], aside[over], len(steps)
+            more = np.flatnonzero(at)
+            unit, base, at, noise, p, aside = (x[more] for x in (unit, base, at, noise, p, aside))
+        with np.errstate(divide="ignore"):
+            left = np.log(left)
         offsets = np.concatenate([[0], np.cumsum(count)])
         edges = np.empty(int(offsets[-1]), np.int64)
         for k, (unit, e) in enumerate(steps):
@@ -258,7 +336,7 @@ class Model:
             at, lp, held = todo.pop()
             for e in range(int(self.first[base + at]), int(self.first[base + at + 1])):
                 same = [(p, n - 1) for p, n in held if p[n - 1] == e]
-                frm, mass = int(self.frm[e]), lp + float(self.lp[e])
+                frm, mass = int(self.edge[e, 3]), lp + float(self.edge[e, 2])
                 if not same:
                     out.append((mass, frm, (e, *held[0][0][held[0][1] :])))
                 elif frm:
@@ -273,11 +351,11 @@ class Model:
         head, base = [], int(self.node[kind])
         while at:
             u, e = rng.random(), int(self.first[base + at])
-            while u >= self.cum[e]:
+            while u >= self.edge[e, 0]:
                 e += 1
             head.append(e)
-            lp += float(self.lp[e])
-            at = int(self.frm[e])
+            lp += float(self.edge[e, 2])
+            at = int(self.edge[e, 3])
         return (*reversed(head), *tail), lp
 
     def left(self, kind: int, taken: list[tuple[int, ...]]) -> float:
@@ -286,8 +364,9 @@ class Model:
         top = max(ways, default=-math.inf)
         return top if top == -math.inf else top + math.log(math.fsum(math.exp(w - top) for w in ways))
 
-    def top_k(self, kinds: np.ndarray, draws: list[Draw], seed: int) -> list[tuple[np.ndarray, float, float]]:
-        """Up to len(draws) distinct segmentations (edges, log p, inclusion score) in Gumbel order, from independent draws of the units."""
+    def top_k(self, kinds: np.ndarray, draws: list[Draw], root: float, values: np.ndarray, seed: int) -> list[tuple[np.ndarray, float, float]]:
+        """Up to len(draws) distinct segmentations (edges, log p, inclusion score) in Gumbel order, from independent
+        draws of the units, the value of the first and (not truncated) those of the regions that it leaves open."""
         if not len(kinds):
             return [(np.zeros(0, np.int64), 0.0, 1.0)]
         rng, places = random.Random(seed), np.arange(len(kinds)).astype(U64) * _PLACE
@@ -296,26 +375,25 @@ class Model:
 
         def opened(found: Draw, j: int, taken: list[tuple[int, ...]], value: float) -> None:
             """Push the regions that found leaves open from unit j on."""
-            left = found.left.copy()
-            left[:j] = -np.inf
-            if taken:
-                left[j] = self.left(int(kinds[j]), taken)
-            u = _uniform(places + U64(seed & (1 << 64) - 1) + _times(_NOISE, len(held) + 1))
-            values = _below(value, np.cumsum(found.lp) - found.lp + left, u)
-            held.append((found, taken, j, values))
+            left = found.left[j:].copy()
+            left[0] = self.left(int(kinds[j]), taken)
+            u = _uniform(places[j:] + U64(seed & (1 << 64) - 1) + _times(_NOISE, len(held) + 1))
+            own = found.lp[j:]
+            held.append((found, taken, j, _gumbels(float(found.lp[:j].sum()) + np.cumsum(own) - own + left, u), value))
             best(len(held) - 1)
 
         def best(i: int) -> None:
-            values = held[i][3]
+            first, values, bound = held[i][2:]
             j = int(values.argmax())
-            if values[j] > -np.inf:
-                heapq.heappush(heap, (-float(values[j]), i, j))
+            if values[j] > -np.inf:  # the truncation keeps the order, so only the greatest needs it
+                heapq.heappush(heap, (-_below(bound, float(values[j])), i, first + j))
 
-        opened(draws[0], 0, [], -math.log(-math.log(rng.random() or 1e-300)))
+        held.append((draws[0], [], 0, values.copy(), root))
+        best(0)
         while heap and len(held) < len(draws):
             minus, i, j = heapq.heappop(heap)
-            was, taken, first, values = held[i]
-            values[j] = -np.inf
+            was, taken, first, values, _ = held[i]
+            values[j - first] = -np.inf
             best(i)
             gone = taken if j == first and taken else [tuple(was.part(j, j + 1).edges.tolist())]
             path, lp = self.other(int(kinds[j]), gone, rng)
@@ -334,14 +412,8 @@ class Model:
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges; characters without a piece become byte pieces."""
         out = self.id[edges]
-        odd = np.flatnonzero(out < 0)
-        if len(odd):
-            parts = [[self.bytes.get(b, self.unknown) for b in chr(-1 - x).encode("utf-8", "replace")] for x in out[odd].tolist()]
-            width = np.ones(len(out), np.int64)
-            width[odd] = [len(p) for p in parts]
-            at = np.cumsum(width) - width
-            out = np.repeat(out, width)
-            out[ragged(at[odd], width[odd])] = [i for p in parts for i in p]
+        if len(out) and out.max() >= len(self.raw):
+            return self.flat[ragged(self.start[out], self.width[out])]
         return out
 
     def sample(self, texts: list[str | None], seeds: list[int], k: int) -> Iterator[tuple[str, list[tuple[np.ndarray, float, float]]]]:
@@ -358,18 +430,29 @@ class Model:
         places = ragged(np.zeros(len(texts), np.int64), np.diff(unit)).astype(U64) * _PLACE
         noise = mix(np.repeat(np.array([s & (1 << 64) - 1 for s in seeds], U64), np.diff(unit)) + places)
         draws = [self.draw(kinds, mix(noise + _times(_DRAW, r + 1))) for r in range(k)]
+        # the root's value is a Gumbel variable; the regions beside the first draw lie below it
+        count = np.diff(unit)
+        root = np.array([s & (1 << 64) - 1 for s in seeds], U64)
+        root = -np.log(-np.log(np.maximum(_uniform(mix(root + _ROOT)), 1e-300)))
+        before = np.cumsum(draws[0].lp) - draws[0].lp
+        before -= np.repeat(np.append(before, 0.0)[unit[:-1]], count)
+        values = _gumbels(before + draws[0].left, _uniform(mix(noise + _ROOT)))
+        ids = self.id[draws[0].edges]
+        bounds = np.concatenate([[0], np.cumsum(self.width[ids])])[draws[0].at]
+        ids = self.flat[ragged(self.start[ids], self.width[ids])]
         for i, (a, b) in enumerate(zip(unit[:-1].tolist(), unit[1:].tolist())):
-            found = self.top_k(kinds[a:b], [d.part(a, b) for d in draws], seeds[i])
-            yield plain[i], [(self.ids(edges), lp, score) for edges, lp, score in found]
-
-    def decode(self, ids: list[int]) -> str:
-        return shown(b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace"))
+            found = self.top_k(kinds[a:b], [d.part(a, b) for d in draws], float(root[i]), values[a:b], seeds[i])
+            # the first segmentation is the first draw, whose ids are laid out for the whole chunk
+            own = ids[bounds[a] : bounds[b]]
+            yield plain[i], [(own if rank == 0 else self.ids(edges), lp, score) for rank, (edges, lp, score) in enumerate(found)]
 
+    def bytes_of(self, ids: list[int]) -> bytes:
+        """The text of ids in UTF-8, as its pieces and byte pieces have it."""
+        raw = self.raw
+        return b"".join([raw[i] for i in ids]).removeprefix(b" ")
 
-def _argmax(score: np.ndarray, head: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Place of the first greatest score within each run."""
-    greatest = np.flatnonzero(score == np.maximum.reduceat(score, head)[run])
-    return greatest[np.flatnonzero(np.diff(run[greatest], prepend=-1))] - head
+    def decode(self, ids: list[int]) -> str:
+        return self.bytes_of(ids).decode("utf-8", "replace")
 
 
 def shown(normalised: str) -> str:
@@ -395,11 +478,11 @@ def _sampled(path: str, alpha: float, k: int, seed: int, names: list[str], with_
         def rows(keys: list[tuple], texts: list[str | None]) -> pa.RecordBatch:
             out = []
             for key, (plain, found) in zip(keys, m.sample(texts, [row_seed(seed, *key) for key in keys], k)):
-                want = shown(plain)
+                want = shown(plain).encode("utf-8", "replace")
                 for rank, (ids, lp, score) in enumerate(found, 1):
                     data = ids.astype("<u4")
-                    back = m.decode(ids.tolist())
-                    out.append((*key, rank, len(ids), zlib.crc32(data.tobytes()), lp, score, zlib.crc32(back.encode("utf-8", "replace")), back == want, data.astype("<i4"), back))
+                    back = m.bytes_of(ids.tolist())
+                    out.append((*key, rank, len(ids), zlib.crc32(data), lp, score, zlib.crc32(back), back == want, data, back.decode("utf-8", "replace") if with_text else None))
             columns = list(zip(*out)) or [()] * (len(names) + 9)
             n = len(names)
             kinds = [pa.int64()] * n + [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
@@ -407,7 +490,7 @@ def _sampled(path: str, alpha: float, k: int, seed: int, names: list[str], with_
             labels = [*names, "rank", "n_pieces", "ids_crc32", "log_prob", "inclusion", "decoded_crc32", "round_trip"]
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in columns[n + 7]])]).astype(np.int32)
-                flat = np.concatenate(columns[n + 7]) if out else np.zeros(0, np.int32)
+                flat = np.concatenate(columns[n + 7]).astype(np.int32) if out else np.zeros(0, np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
                 labels.append("ids")
             if with_text:
