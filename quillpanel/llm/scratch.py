@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 #: Seconds between two requests for garbage collection.
-EVERY = 3.0
+EVERY = 1.0
 _own: dict[str, str] = {}
 _released = 0.0
 
