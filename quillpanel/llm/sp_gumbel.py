@@ -58,8 +58,11 @@ from .vectext import U64, byte_names, mix, ragged, released
 OFFSET = 10.0
 #: Characters of text that a worker samples at once (a longer text is one chunk).
 CHUNK = 1 << 19
-#: Edges of lattices that a worker remembers; beyond, it starts anew.
+#: Edges of lattices that a worker remembers; beyond, those of the types met in most chunks stay, with KEEP edges at most.
 REMEMBER = 4_000_000
+KEEP = REMEMBER // 2
+#: Edges that a worker keeps between tasks.
+IDLE = 500_000
 #: Below this share the edges beside the greatest one are summed anew.
 CLOSE = 1e-6
 MARK = "▁"
@@ -118,7 +121,8 @@ def _order(*keys: np.ndarray) -> np.ndarray:
     """The order by the last key, then the one before it, and so on."""
     order = None
     for k in keys:
-        k = k if k.dtype == bool else k.astype(np.uint16) if k.max(initial=0) < 1 << 16 else k
+        top = 0 if k.dtype == bool else k.max(initial=0)
+        k = k if k.dtype == bool or top >= 1 << 16 else k.astype(np.uint8 if top < 1 << 8 else np.uint16)
         order = np.argsort(k, kind="stable") if order is None else order[np.argsort(k[order], kind="stable")]
     return order
 
@@ -151,6 +155,8 @@ class Model:
                 self.raw[i] = bytes([int(p[3:5], 16)])
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 self.pieces[p] = (i, -alpha * math.log(OFFSET - self.sp.get_score(i)))
+        #: the bytes of pieces as an array, from which many are taken at once
+        self.spelled = np.array(self.raw, object)
         self.rare = -alpha * math.log(OFFSET + len(self.raw))
         self.unknown = self.sp.unk_id()
         child: dict[tuple[int, int], int] = {}
@@ -176,6 +182,23 @@ class Model:
         #: by type: first node and length; by node: first edge; by edge: its id, and (cumulative share, the other shares, log share, start)
         self.node, self.size, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.used, self.id, self.edge = 0, np.empty(0, np.int32), np.empty((0, 4))
+        #: by type: chunks that held it, and the edges of its lattice
+        self.met, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Forget lattices until at most so many edges are left: types met in the fewest chunks go first, of these the long ones."""
+        order = np.lexsort((self.count, -self.met))
+        keep = order[np.cumsum(self.count[order]) <= most]  # what most draws read stands together
+        number = np.full(len(self.size), -1)
+        number[keep] = np.arange(len(keep))
+        now = number[self.number]
+        self.names, self.number = self.names[now >= 0], now[now >= 0]
+        nodes = ragged(self.node[keep], self.size[keep] + 1)
+        edges = ragged(self.first[self.node[keep]], self.count[keep])
+        self.first = np.concatenate([[0], np.cumsum(self.first[nodes + 1] - self.first[nodes])])
+        self.size, self.count, self.met = self.size[keep], self.count[keep], self.met[keep] // 2
+        self.node = np.cumsum(self.size + 1) - self.size - 1
+        self.used, self.id, self.edge = len(edges), self.id.take(edges), self.edge.take(edges, axis=0)
 
     def _spell(self, cps: np.ndarray) -> np.ndarray:
         """Ids that stand for the byte pieces of characters."""
@@ -194,24 +217,28 @@ class Model:
         place, stop = begin[kind] + start, size[kind]
         out, single = [], np.zeros(len(kind), bool)
         live, node = np.arange(len(kind)), np.zeros(len(kind), np.int64)
+        here, room = place, stop - start  # the next character and how many there are
         depth = 0
         while len(live):
-            key = node << 21 | cps[place[live] + depth]
+            key = node << 21 | cps.take(here)
             i = _slot(key)
-            got = self.slots[i]
+            got = self.slots.take(i)
             while (on := np.flatnonzero((got != key) & (got >= 0))).size:
-                i[on] = i[on] + 1 & _MASK
-                got[on] = self.slots[i[on]]
+                at = i.take(on) + 1 & _MASK
+                i[on] = at
+                got[on] = self.slots.take(at)
             ok = np.flatnonzero(got == key)
-            live, node = live[ok], self.to[i[ok]]
             depth += 1
-            hit = self.ends[node] >= 0
+            live, node, here, room = live.take(ok), self.to.take(i.take(ok)), here.take(ok) + 1, room.take(ok)
+            ends = self.ends.take(node)
+            hit = np.flatnonzero(ends >= 0)
+            x = live.take(hit)
             if depth == 1:
-                single[live[hit]] = True
-            x = live[hit]
-            out.append((kind[x], start[x], start[x] + depth, self.ends[node[hit]], self.weights[node[hit]]))
-            more = start[live] + depth < stop[live]
-            live, node = live[more], node[more]
+                single[x] = True
+            frm = start.take(x)
+            out.append((kind.take(x), frm, frm + depth, ends.take(hit), self.weights.take(node.take(hit))))
+            more = np.flatnonzero(room > depth)
+            live, node, here, room = (c.take(more) for c in (live, node, here, room))
         x = np.flatnonzero(~single)
         c = cps[place[x]]
         width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
@@ -222,68 +249,90 @@ class Model:
         """Lattices of new unit types."""
         kind, frm, at, ids, weight = self._edges(cps, begin, size)
         order = _order(kind, at)
-        kind, frm, at, ids, weight = (x[order] for x in (kind, frm, at, ids, weight))
+        kind, frm, at, ids, weight = (x.take(order) for x in (kind, frm, at, ids, weight))
         base = np.concatenate([[0], np.cumsum(size + 1)])
-        nodes = base[kind] + at
-        source = base[kind] + frm
+        nodes = base.take(kind)
+        source = nodes + frm
+        nodes += at
         total = np.zeros(base[-1])
-        lp, rest, share, later = np.zeros(len(kind)), np.zeros(len(kind)), np.zeros(len(kind)), np.ones(len(kind), bool)
-        bounds = np.searchsorted(at, np.arange(1, int(size.max(initial=0)) + 2))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            score = total[source[a:b]] + weight[a:b]
-            head = np.flatnonzero(np.diff(nodes[a:b], prepend=-1))
-            run = np.repeat(np.arange(len(head)), np.diff(np.append(head, b - a)))
+        made = np.empty((len(kind), 4))  # (share, the other shares, log share, start)
+        heads = np.flatnonzero(np.diff(nodes, prepend=-1))
+        ends, sizes = nodes.take(heads), np.diff(heads, append=len(nodes))
+        run, tops = np.repeat(np.arange(len(heads)), sizes), np.empty(len(heads), np.int64)
+        for a, b in self._levels(at, size):
+            x, y = np.searchsorted(heads, (a, b)).tolist()
+            score = total.take(source[a:b]) + weight[a:b]
+            head, mine = heads[x:y] - a, run[a:b] - x
             top = np.maximum.reduceat(score, head)
-            over = score - top[run]
+            over = score - top.take(mine)
+            greatest = np.flatnonzero(over == 0.0)
+            best = greatest[np.flatnonzero(np.diff(mine.take(greatest), prepend=-1))]  # one of each node
             mass = np.exp(over)
             whole = np.add.reduceat(mass, head)
-            total[nodes[a:b][head]] = top + np.log(whole)
-            over -= np.log(whole)[run]
-            mass /= whole[run]
+            log = np.log(whole)
+            total[ends[x:y]] = top + log
+            over -= log.take(mine)
+            mass /= whole.take(mine)
             others = 1.0 - mass
-            greatest = np.flatnonzero(score == top[run])
-            best = greatest[np.flatnonzero(np.diff(run[greatest], prepend=-1))]  # one of each node
-            close = np.flatnonzero(others[best] < CLOSE)
+            close = np.flatnonzero((others.take(best) < CLOSE) & (sizes[x:y] > 1))
             if len(close):  # what the others have is lost beside the greatest: summed without it
                 alone = mass.copy()
                 alone[best] = 0.0
                 others[best[close]] = np.add.reduceat(alone, head)[close]
                 over[best[close]] = np.log1p(-others[best[close]])
-            lp[a:b], rest[a:b] = over, others
-            share[a:b] = mass
-            later[a + best] = False
-        order = _order(at, kind)
-        nodes = nodes[order]
-        first = np.searchsorted(nodes, np.arange(base[-1]))
-        # the greatest edge of a node first, as most draws take it
-        head, top = np.flatnonzero(np.diff(nodes, prepend=-1)), np.flatnonzero(~later[order])
-        order[head], order[top] = order[top], order[head]
-        share = share[order]
-        cum, place = share.copy(), np.arange(len(nodes)) - first[nodes]
-        for r in range(1, int(place.max(initial=0)) + 1):
-            x = np.flatnonzero(place == r)
+            made[a:b, 0], made[a:b, 1], made[a:b, 2], made[a:b, 3] = mass, others, over, frm[a:b]
+            tops[x:y] = best + a
+        # by type and node; the greatest edge of a node first, as most draws take it
+        count = np.zeros(base[-1], np.int64)
+        count[ends] = sizes
+        first = np.cumsum(count) - count
+        place = np.arange(len(nodes)) + (first.take(ends) - heads).take(run)
+        place[heads], place[tops] = place[tops], place[heads]
+        order = np.empty(len(nodes), np.int64)
+        order[place] = np.arange(len(nodes))
+        made, cum = made.take(order, axis=0), made[:, 0].take(order)
+        x = first.take(np.flatnonzero(count))
+        last = x + count[count > 0] - 1
+        more = np.flatnonzero(last > x)
+        x, till = x[more], last[more]
+        while len(x):
+            x = x + 1
             cum[x] += cum[x - 1]
-        last = np.append(nodes[1:] != nodes[:-1], True) if len(nodes) else np.zeros(0, bool)
+            more = np.flatnonzero(till > x)
+            x, till = x[more], till[more]
         cum[last] = 2.0
+        made[:, 0] = cum
         self.node = np.concatenate([self.node, len(self.first) - 1 + base[:-1]])
         self.size = np.concatenate([self.size, size])
         old, self.used = self.used, self.used + len(nodes)
         self.first = np.concatenate([self.first[:-1], old + first, [self.used]])
+        self.count = np.concatenate([self.count, np.add.reduceat(count, base[:-1])])
+        self.met = np.concatenate([self.met, np.zeros_like(size)])
         if self.used > len(self.id):  # room for all that is remembered; pages count once they are written
             room = max(REMEMBER + REMEMBER // 4, self.used * 2)
             held = self.id[:old], self.edge[:old]
             self.id, self.edge = np.empty(room, np.int32), np.empty((room, 4))
             self.id[:old], self.edge[:old] = held
         self.id[old : self.used] = ids[order]
-        for k, column in enumerate((cum, rest[order], lp[order], frm[order])):
-            self.edge[old : self.used, k] = column
+        self.edge[old : self.used] = made
+
+    @staticmethod
+    def _levels(at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where edges sorted by their end have one end each."""
+        bounds = np.searchsorted(at, np.arange(1, int(size.max(initial=0)) + 2)).tolist()
+        return zip(bounds[:-1], bounds[1:])
 
     def kinds(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The type of each unit."""
         raw = cps.astype("<u4").view(np.uint8)
-        names, first, inverse = np.unique(byte_names(raw, 4 * begin, 4 * end), return_index=True, return_inverse=True)
+        names = byte_names(raw, 4 * begin, 4 * end)
+        order = np.argsort(names)  # any unit of a type stands for it, so the order of equals does not matter
+        names = names.take(order)
+        head = np.append(True, names[1:] != names[:-1])[: len(names)]
+        names, first, inverse = names[head], order[head], np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(head) - 1
         if self.used > REMEMBER:
-            self.clear()
+            self.shrink(KEEP)
         at = np.searchsorted(self.names, names)
         if len(self.names):
             new = self.names[np.minimum(at, len(self.names) - 1)] != names
@@ -295,7 +344,9 @@ class Model:
             self.number = np.insert(self.number, at[new], len(self.names) + np.arange(len(fresh)))
             self.names = np.insert(self.names, at[new], names[new])
             at = np.searchsorted(self.names, names)
-        return self.number[at][inverse.ravel()]
+        found = self.number[at]
+        self.met[found] += 1
+        return found.take(inverse)
 
     def draw(self, kinds: np.ndarray, noise: np.ndarray) -> Draw:
         """One segmentation of each unit, from the unit's noise."""
@@ -304,14 +355,16 @@ class Model:
         unit, base, at, noise, p, aside = np.arange(len(kinds)), self.node[kinds], self.size[kinds], noise, lp, left
         steps = []
         while len(unit):
-            e = self.first[base + at]
-            row = self.edge[e]
+            e = self.first.take(base + at)
+            row = self.edge.take(e, axis=0)  # several times as fast as an index of rows
             u = _uniform(noise + _times(_STEP, len(steps) + 1))
             todo = np.flatnonzero(u >= row[:, 0])
             while len(todo):
-                e[todo] += 1
-                row[todo] = self.edge[e[todo]]
-                todo = todo[u[todo] >= row[todo, 0]]
+                on = e[todo] + 1
+                e[todo] = on
+                on = self.edge.take(on, axis=0)
+                row[todo] = on
+                todo = todo[u[todo] >= on[:, 0]]
             # what the other edges of this node hold, times what led here
             aside = aside + np.exp(p) * row[:, 1]
             p = p + row[:, 2]
@@ -320,7 +373,7 @@ class Model:
             over = np.flatnonzero(at == 0)
             lp[unit[over]], left[unit[over]], count[unit[over]] = p[over], aside[over], len(steps)
             more = np.flatnonzero(at)
-            unit, base, at, noise, p, aside = (x[more] for x in (unit, base, at, noise, p, aside))
+            unit, base, at, noise, p, aside = (x.take(more) for x in (unit, base, at, noise, p, aside))
         with np.errstate(divide="ignore"):
             left = np.log(left)
         offsets = np.concatenate([[0], np.cumsum(count)])
@@ -409,12 +462,14 @@ class Model:
             out.append((found.edges, lp, 1.0 if limit is None else -math.expm1(-math.exp(min(lp - limit, 700.0)))))
         return out
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of edges; characters without a piece become byte pieces."""
-        out = self.id[edges]
-        if len(out) and out.max() >= len(self.raw):
-            return self.flat[ragged(self.start[out], self.width[out])]
-        return out
+    def ids(self, edges: list[np.ndarray]) -> list[np.ndarray]:
+        """Piece ids of rows of edges; characters without a piece become byte pieces."""
+        out = self.id.take(np.concatenate([*edges, np.zeros(0, np.int64)]))
+        bounds = np.cumsum([0, *map(len, edges)])
+        if out.max(initial=0) >= len(self.raw):
+            bounds = np.concatenate([[0], np.cumsum(self.width.take(out))]).take(bounds)
+            out = self.flat.take(ragged(self.start.take(out), self.width.take(out)))
+        return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def sample(self, texts: list[str | None], seeds: list[int], k: int) -> Iterator[tuple[str, list[tuple[np.ndarray, float, float]]]]:
         """Per text: its normalised form and up to k segmentations (ids, log p, inclusion score)."""
@@ -437,19 +492,14 @@ class Model:
         before = np.cumsum(draws[0].lp) - draws[0].lp
         before -= np.repeat(np.append(before, 0.0)[unit[:-1]], count)
         values = _gumbels(before + draws[0].left, _uniform(mix(noise + _ROOT)))
-        ids = self.id[draws[0].edges]
-        bounds = np.concatenate([[0], np.cumsum(self.width[ids])])[draws[0].at]
-        ids = self.flat[ragged(self.start[ids], self.width[ids])]
-        for i, (a, b) in enumerate(zip(unit[:-1].tolist(), unit[1:].tolist())):
-            found = self.top_k(kinds[a:b], [d.part(a, b) for d in draws], float(root[i]), values[a:b], seeds[i])
-            # the first segmentation is the first draw, whose ids are laid out for the whole chunk
-            own = ids[bounds[a] : bounds[b]]
-            yield plain[i], [(own if rank == 0 else self.ids(edges), lp, score) for rank, (edges, lp, score) in enumerate(found)]
-
-    def bytes_of(self, ids: list[int]) -> bytes:
+        found = [self.top_k(kinds[a:b], [d.part(a, b) for d in draws], float(root[i]), values[a:b], seeds[i]) for i, (a, b) in enumerate(zip(unit[:-1].tolist(), unit[1:].tolist()))]
+        ids = iter(self.ids([edges for f in found for edges, *_ in f]))  # laid out for the whole chunk
+        for text, f in zip(plain, found):
+            yield text, [(next(ids), lp, score) for _, lp, score in f]
+
+    def bytes_of(self, ids: np.ndarray | list[int]) -> bytes:
         """The text of ids in UTF-8, as its pieces and byte pieces have it."""
-        raw = self.raw
-        return b"".join([raw[i] for i in ids]).removeprefix(b" ")
+        return b"".join(self.spelled.take(np.asarray(ids, np.int64)).tolist()).removeprefix(b" ")
 
     def decode(self, ids: list[int]) -> str:
         return self.bytes_of(ids).decode("utf-8", "replace")
@@ -481,7 +531,7 @@ def _sampled(path: str, alpha: float, k: int, seed: int, names: list[str], with_
                 want = shown(plain).encode("utf-8", "replace")
                 for rank, (ids, lp, score) in enumerate(found, 1):
                     data = ids.astype("<u4")
-                    back = m.bytes_of(ids.tolist())
+                    back = m.bytes_of(ids)
                     out.append((*key, rank, len(ids), zlib.crc32(data), lp, score, zlib.crc32(back), back == want, data, back.decode("utf-8", "replace") if with_text else None))
             columns = list(zip(*out)) or [()] * (len(names) + 9)
             n = len(names)
@@ -508,7 +558,7 @@ def _sampled(path: str, alpha: float, k: int, seed: int, names: list[str], with_
                     yield rows(keys, texts)
                     keys, texts, held = [], [], 0
             yield rows(keys, texts)
-        m.clear()
+        m.shrink(IDLE)
 
     return run
 

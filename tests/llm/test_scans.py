@@ -302,6 +302,25 @@ def test_draws_follow_p_and_inclusion_scores_are_unbiased():
                 assert pairs[a, b] / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.02)
 
 
+def test_full_memory_keeps_the_lattices_met_most_and_the_draws(monkeypatch):
+    texts = [f"some words here {'ab' * (i % 7)}q{i}x{i * i}" for i in range(300)]
+    seeds = [sp_gumbel.row_seed(1, i) for i in range(len(texts))]
+    learned = []
+    got = {}
+    for most in (sp_gumbel.REMEMBER, 400):
+        monkeypatch.setattr(sp_gumbel, "REMEMBER", most)
+        monkeypatch.setattr(sp_gumbel, "KEEP", most // 2, raising=False)
+        m = sp_gumbel.Model(sp_gumbel.default_path(), 1.0)
+        learn = m._learn
+        m._learn = lambda cps, begin, size, learn=learn: (learned.extend("".join(map(chr, cps[b : b + n])) for b, n in zip(begin, size)), learn(cps, begin, size))
+        learned.clear()
+        got[most] = [[(ids.tolist(), lp, s) for ids, lp, s in found] for i in range(0, len(texts), 5) for _, found in m.sample(texts[i : i + 5], seeds[i : i + 5], 2)]
+        assert all(learned.count(sp_gumbel.MARK + w) == 1 for w in ("some", "words", "here"))
+        assert m.used < most + 5 * 400
+    first, second = got.values()
+    assert first == second
+
+
 def test_sampling_rows_is_seeded_by_key(spark):
     rows = spark.createDataFrame([(1, 0, "some words here"), (2, None, "some words here"), (3, 1, None)], "conv_id bigint, turn bigint, text string")
     run = lambda: sorted(map(tuple, sp_gumbel.sample(rows, ["conv_id", "turn"], k=2, with_ids=False).collect()), key=str)
