@@ -155,7 +155,8 @@ def bootstrap_naive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_width_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return resample.width_ratio(bootstrap_clustered(spark, d), bootstrap_naive(spark, d))
+    x = T.kept(_excess(spark, d))
+    return resample.width_ratio(resample.clustered(x, REPS), resample.naive(x, REPS, "ticker", ["rn"]))
 
 
 def bootstrap_persistent(spark: SparkSession, d: str) -> DataFrame:
