@@ -1,12 +1,12 @@
-"""The library of 31 rolling metrics: three layers of windows over one exchange and one sort."""
+"""The library of 31 rolling metrics, worked out on arrays of whole histories, for all rows or for chosen ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from ..functions import rolling as R
-from ..sources.tables import with_history
+from . import histories
+from .histories import Panel, divide
 
 METRICS = (
     "vol_ratio_10_63", "vol_ratio_5_21", "vol_ratio_21_126", "dollar_vol_musd", "share_vol_ratio", "up_volume_share", "obv_slope_21", "ad_slope_21",
@@ -18,45 +18,66 @@ FAMILIES = {"volume": METRICS[:8], "returns": METRICS[8:14], "levels": METRICS[1
 MIN_BARS = 260
 
 
-def _percent(a: Column, b: Column) -> Column:
-    return (R.divide(a, b) - 1) * 100
-
-
-def library(bars: DataFrame, least: int = MIN_BARS) -> DataFrame:
-    """ticker, session, rn, close, volume and the metrics, for tickers with enough bars."""
-    c, v, h, low = (F.col(x) for x in ("close", "volume", "high", "low"))
-    before = F.lag(c, 1).over(R.ordered())
-    one = with_history(bars, least).withColumns({
-        "dv": c * v, "ret": R.divide(c, before) - 1, "step": c - before,
-        "true_range": F.greatest(h - low, F.abs(h - before), F.abs(low - before)),
-        "flow": F.coalesce(R.divide((c - low) - (h - c), h - low), F.lit(0.0)) * v,
-    })
-    ret, dv = F.col("ret"), F.col("dv")
-    up = F.coalesce(ret > 0, F.lit(False))
-    gain, loss = F.when(F.col("step").isNotNull(), F.greatest("step", F.lit(0.0))), F.when(F.col("step").isNotNull(), F.greatest(-F.col("step"), F.lit(0.0)))
-    ma50, ma200, m21, s20, s60 = R.mean(c, 50), R.mean(c, 200), R.mean(dv, 21), R.deviation(ret, 20), R.deviation(ret, 60)
-    (gains, gain_mean), (losses, loss_mean) = R.smooth(gain, 2, 14, ("gain_sum", "gain_carried")), R.smooth(loss, 2, 14, ("loss_sum", "loss_carried"))
-    two = one.withColumns({
-        "vol_ratio_10_63": R.ratio(dv, 10, 63, False), "vol_ratio_5_21": R.ratio(dv, 5, 21, False), "vol_ratio_21_126": R.ratio(dv, 21, 126, False),
-        "dollar_vol_musd": R.mean(dv, 10) / 1e6, "share_vol_ratio": R.ratio(v, 10, 63, False),
-        "up_volume_share": R.divide(R.total(F.when(up, dv).otherwise(0.0), 21), R.total(dv, 21)),
-        "obv": R.running(F.coalesce(F.signum(ret) * v, F.lit(0.0))), "ad": R.running("flow"), "m21_dv": m21, "m21_v": R.mean(v, 21),
-        **{f"return_{n}d_pct": R.change(c, n) * 100 for n in (5, 10, 21, 63, 126)},
-        "momentum_accel": (R.change(c, 10) - R.change(c, 21)) * 100,
-        "pct_off_52w_high": _percent(c, R.highest(c, 252, 60)), "pct_above_52w_low": _percent(c, R.lowest(c, 252, 60)),
-        "pct_vs_ma50": _percent(c, ma50), "pct_vs_ma200": _percent(c, ma200), "ma50_vs_ma200": _percent(ma50, ma200),
-        "close_in_21d_range": R.divide(c - R.lowest(low, 21), R.highest(h, 21) - R.lowest(low, 21)),
-        "volatility_20d_pct": s20 * (252**0.5 * 100), "volatility_60d_pct": s60 * (252**0.5 * 100), "vol_of_vol": R.divide(s20, s60),
-        "atr_pct": R.divide(R.mean("true_range", 14), c) * 100, "bollinger_width_pct": s20 * 400,
-        "gain_sum": gains["gain_sum"], "loss_sum": losses["loss_sum"],
-        "pct_up_days_21": R.mean(up.cast("double"), 21) * 100, "max_dd_63d_pct": _percent(c, R.highest(c, 63)),
-        "return_skew_63": R.skew(ret, 63), "trend_r2_63": R.fit(F.ln(c), 63),
-        "gap_freq_21": R.mean(F.coalesce(F.abs(ret) > 0.05, F.lit(False)).cast("double"), 21) * 100,
-    })
-    slope = lambda x: F.col(x) - F.lag(x, 21).over(R.ordered())
-    two = two.withColumns({"gain_carried": gains["gain_carried"], "loss_carried": losses["loss_carried"]})
-    three = two.withColumns({
-        "obv_slope_21": R.divide(slope("obv"), F.col("m21_dv")), "ad_slope_21": R.divide(slope("ad"), F.col("m21_v")),
-        "rsi_14": 100 - R.divide(F.lit(100.0), 1 + R.divide(gain_mean, loss_mean)),
-    })
-    return three.select("ticker", "session", "rn", "close", "volume", *METRICS)
+BARS = ["close", "high", "low", "volume"]
+
+
+def _percent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (divide(a, b) - 1) * 100
+
+
+def values(p: Panel, names: tuple[str, ...], rows: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The named metrics of all rows or of the chosen ones."""
+    c, h, low, v = (p[x] for x in BARS)
+    at = (lambda x: x) if rows is None else (lambda x: x[rows])
+    dv = p.once("dv", lambda: c * v)
+    before = p.once("before", lambda: p.shift(c, 1))
+    ret = p.once("ret", lambda: divide(c, before) - 1)
+    up = p.once("up", lambda: (ret > 0).astype(float))
+    mean = lambda x, n: p.mean(x, n, rows)
+    change = lambda n: p.change(c, n, rows)
+    s20, s60 = (lambda: p.deviation(ret, 20, rows)), (lambda: p.deviation(ret, 60, rows))
+    low21 = lambda: p.lowest(low, 21, rows)
+
+    def true_range():
+        return np.fmax(np.fmax(h - low, np.abs(h - before)), np.abs(low - before))
+
+    def slope(flow):
+        return np.where(at(p.rn) > 21, p.total(flow, 21, rows), np.nan)
+
+    def obv():
+        return np.nan_to_num(np.sign(ret) * v, nan=0.0)
+
+    def flow():
+        return np.nan_to_num(divide((c - low) - (h - c), h - low), nan=0.0) * v
+
+    def rsi():
+        step = c - before
+        return at(100 - divide(100.0, 1 + divide(p.smooth(np.maximum(step, 0.0), 14), p.smooth(np.maximum(-step, 0.0), 14))))
+
+    make = {
+        "vol_ratio_10_63": lambda: p.ratio(dv, 10, 63, False, rows), "vol_ratio_5_21": lambda: p.ratio(dv, 5, 21, False, rows), "vol_ratio_21_126": lambda: p.ratio(dv, 21, 126, False, rows),
+        "dollar_vol_musd": lambda: mean(dv, 10) / 1e6, "share_vol_ratio": lambda: p.ratio(v, 10, 63, False, rows),
+        "up_volume_share": lambda: divide(p.total(np.where(up > 0, dv, 0.0), 21, rows), p.total(dv, 21, rows)),
+        "obv_slope_21": lambda: divide(slope(obv()), mean(dv, 21)), "ad_slope_21": lambda: divide(slope(flow()), mean(v, 21)),
+        **{f"return_{n}d_pct": lambda n=n: change(n) * 100 for n in (5, 10, 21, 63, 126)},
+        "momentum_accel": lambda: (change(10) - change(21)) * 100,
+        "pct_off_52w_high": lambda: _percent(at(c), p.extreme(c, 252, 60, np.maximum, rows)), "pct_above_52w_low": lambda: _percent(at(c), p.extreme(c, 252, 60, np.minimum, rows)),
+        "pct_vs_ma50": lambda: _percent(at(c), mean(c, 50)), "pct_vs_ma200": lambda: _percent(at(c), mean(c, 200)), "ma50_vs_ma200": lambda: _percent(mean(c, 50), mean(c, 200)),
+        "close_in_21d_range": lambda: divide(at(c) - low21(), p.highest(h, 21, rows) - low21()),
+        "volatility_20d_pct": lambda: s20() * (252**0.5 * 100), "volatility_60d_pct": lambda: s60() * (252**0.5 * 100), "vol_of_vol": lambda: divide(s20(), s60()),
+        "atr_pct": lambda: divide(mean(true_range(), 14), at(c)) * 100, "bollinger_width_pct": lambda: s20() * 400,
+        "rsi_14": rsi, "pct_up_days_21": lambda: mean(up, 21) * 100, "max_dd_63d_pct": lambda: _percent(at(c), p.highest(c, 63, rows)),
+        "return_skew_63": lambda: p.windows(ret, 63, histories.skew, rows), "trend_r2_63": lambda: p.windows(np.where(c > 0, np.log(c), np.nan), 63, histories.fit, rows),
+        "gap_freq_21": lambda: mean((np.abs(ret) > 0.05).astype(float), 21) * 100,
+    }
+    return {m: make[m]() for m in names}
+
+
+def library(bars: DataFrame, names: tuple[str, ...] = METRICS, least: int = MIN_BARS) -> DataFrame:
+    """ticker, session, rn, close, volume and the named metrics, for tickers with enough bars."""
+
+    def kernel(p: Panel) -> dict:
+        return {"ticker": p.table["ticker"], "session": p.table["session"], "rn": p.rn.astype(np.int64), "close": p["close"], "volume": p["volume"], **values(p, names)}
+
+    schema = "ticker string, session date, rn bigint, close double, volume double" + "".join(f", {m} double" for m in names)
+    return histories.apply(bars, BARS, kernel, schema, least)

@@ -74,7 +74,7 @@ def fundamentals_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(names: tuple[str, ...], spark: SparkSession, d: str) -> DataFrame:
-    return metrics.library(T.bars(spark, d)).select("ticker", "session", *(r6(m, F.col(m) + TIE) for m in names))
+    return metrics.library(T.bars(spark, d), names).select("ticker", "session", *(r6(m, F.col(m) + TIE) for m in names))
 
 
 def forward_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -213,33 +213,46 @@ def best_exit_rules(spark: SparkSession, d: str) -> DataFrame:
     return exits.best(exit_summary(spark, d))
 
 
-def _section(spark: SparkSession, d: str) -> DataFrame:
-    return separation.cross_section(metrics.library(T.bars(spark, d)))
+def _section(spark: SparkSession, d: str, names: tuple[str, ...] = metrics.METRICS) -> DataFrame:
+    return separation.cross_section(T.bars(spark, d), names)
 
 
 def period_cross_section(spark: SparkSession, d: str) -> DataFrame:
     return _section(spark, d).select("period", "ticker", "period_return_pct", "rose", "fell", *(r6(m) for m in metrics.METRICS))
 
 
-def _separations(spark: SparkSession, d: str, label: str = "rose") -> DataFrame:
-    return separation.separations(separation.unpivoted(_section(spark, d), "period", "ticker", label), label, "period")
+def _separated(section: DataFrame, label: str = "rose") -> DataFrame:
+    return separation.separations(separation.unpivoted(section, "period", "ticker", label), label, "period")
+
+
+def _separations(spark: SparkSession, d: str) -> DataFrame:
+    return _separated(_section(spark, d))
 
 
 def separations(spark: SparkSession, d: str) -> DataFrame:
     return _separations(spark, d).select("period", "metric", r6("sep"))
 
 
-def two_period_pass(spark: SparkSession, d: str) -> DataFrame:
-    two = _separations(spark, d).where(F.col("period").isin(PERIODS[0][0], PERIODS[2][0]))
+def _two_passed(seps: DataFrame) -> DataFrame:
+    two = seps.where(F.col("period").isin(PERIODS[0][0], PERIODS[2][0]))
     return separation.passes(two).select("metric", "n", r6("min_abs"), "passes").orderBy(F.col("min_abs").desc_nulls_last(), "metric")
 
 
+def two_period_pass(spark: SparkSession, d: str) -> DataFrame:
+    return _two_passed(_separations(spark, d))
+
+
+def _scored(seps: DataFrame) -> DataFrame:
+    return separation.ranked(separation.score(seps, len(PERIODS)))
+
+
 def multi_period_score(spark: SparkSession, d: str) -> DataFrame:
-    return separation.ranked(separation.score(_separations(spark, d), len(PERIODS)))
+    return _scored(_separations(spark, d))
 
 
 def metric_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return separation.survivors(two_period_pass(spark, d), multi_period_score(spark, d))
+    seps = T.kept(_separations(spark, d))
+    return separation.survivors(_two_passed(seps), _scored(seps))
 
 
 def seasonality(spark: SparkSession, d: str) -> DataFrame:
@@ -250,9 +263,12 @@ def mirror_test(spark: SparkSession, d: str) -> DataFrame:
     return separation.mirror(_section(spark, d))
 
 
+def _null(section: DataFrame) -> DataFrame:
+    return separation.permutation(section.where(F.col("period").isin(PERIODS[0][0], PERIODS[2][0])), SHUFFLES_TWO)
+
+
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
-    two = _section(spark, d).where(F.col("period").isin(PERIODS[0][0], PERIODS[2][0]))
-    return separation.permutation(two, SHUFFLES_TWO)
+    return _null(_section(spark, d))
 
 
 def permutation_null_periods(spark: SparkSession, d: str) -> DataFrame:
@@ -260,11 +276,13 @@ def permutation_null_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def permutation_test(spark: SparkSession, d: str) -> DataFrame:
-    return separation.against_null(permutation_null(spark, d), two_period_pass(spark, d))
+    section = T.kept(_section(spark, d))
+    return separation.against_null(_null(section), _two_passed(_separated(section)))
 
 
 def permutation_test_periods(spark: SparkSession, d: str) -> DataFrame:
-    return separation.against_null(permutation_null_periods(spark, d), multi_period_score(spark, d))
+    section = T.kept(_section(spark, d))
+    return separation.against_null(separation.permutation_by_score(section, SHUFFLES_ALL, len(PERIODS)), _scored(_separated(section)))
 
 
 def event_curves(spark: SparkSession, d: str) -> DataFrame:
@@ -314,22 +332,23 @@ def regime_scores(spark: SparkSession, d: str) -> DataFrame:
     return regime.scores(asset_period_returns(spark, d), regime.RISK_ON, regime.RISK_OFF)
 
 
-def _base_rates(spark: SparkSession, d: str) -> DataFrame:
-    return _section(spark, d).groupBy("period").agg(F.round(F.avg(F.col("rose").cast("double")) * 100, 6).alias("base_rate"))
+def _base_rates(section: DataFrame) -> DataFrame:
+    return section.groupBy("period").agg(F.round(F.avg(F.col("rose").cast("double")) * 100, 6).alias("base_rate"))
 
 
 def base_rates(spark: SparkSession, d: str) -> DataFrame:
-    return _base_rates(spark, d)
+    return _base_rates(_section(spark, d, ()))
 
 
 def regime_correlation(spark: SparkSession, d: str) -> DataFrame:
-    sep = _separations(spark, d).where("metric = 'vol_ratio_10_63'").select("period", F.round("sep", 6).alias("vol_sep"))
-    rows = regime_scores(spark, d).join(_base_rates(spark, d), "period").join(sep, "period", "left")
+    section = T.kept(_section(spark, d, ("vol_ratio_10_63",)))
+    sep = _separated(section).select("period", F.round("sep", 6).alias("vol_sep"))
+    rows = regime_scores(spark, d).join(_base_rates(section), "period").join(sep, "period", "left")
     return regime.correlations(rows, [("score", "vol_sep"), ("score", "base_rate"), ("base_rate", "vol_sep")])
 
 
 def regime_against_screen(spark: SparkSession, d: str) -> DataFrame:
-    return regime.against(regime_scores(spark, d), _base_rates(spark, d))
+    return regime.against(regime_scores(spark, d), _base_rates(_section(spark, d, ())))
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:

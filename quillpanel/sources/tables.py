@@ -26,7 +26,9 @@ def bars_from_lines(lines: DataFrame) -> DataFrame:
     Prices are added up as decimals, so a mean does not depend on how the lines are dealt out.
     """
     cents = F.col("l_extendedprice").try_cast("decimal(15,2)")
-    bars = lines.groupBy(ticker("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("session")).agg(
+    # dealt out by ticker once: bars and all windows of a ticker come of this exchange
+    dealt = lines.select(ticker("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("session"), "l_extendedprice", "l_quantity").repartition("ticker")
+    bars = dealt.groupBy("ticker", "session").agg(
         (F.sum(cents).cast("double") / F.count(cents)).alias("close"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.sum("l_quantity").alias("volume")
     )
     return clean(bars)

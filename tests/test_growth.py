@@ -5,11 +5,15 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import io
+import random
+import statistics
+from datetime import date, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillpanel.operators import md5, resample
+from quillpanel.operators import histories, md5, metrics, resample, separation
+from quillpanel.sources import tables
 
 
 def plan(frame) -> str:
@@ -28,7 +32,7 @@ def test_md5_of_many_texts_equals_hashlib():
 def test_replicates_are_added_up_without_rows_for_draws(spark):
     n, reps = 3000, 30
     values = np.arange(n) % 17 - 8.25
-    items = spark.createDataFrame([(i, float(v) if i % 10 else None, 1 + i % 3, n) for i, v in enumerate(values)], "slot bigint, s double, c bigint, n bigint")
+    items = spark.createDataFrame([(i, float(v) if i % 10 else None, 1 + i % 3, n) for i, v in enumerate(values)], "slot bigint, s double, c bigint, n bigint").repartition(7)
     s, c = np.where(np.arange(n) % 10 > 0, values, 0), 1 + np.arange(n) % 3
     for block in (1024, resample.BLOCK):
         means = resample._replicates(items, reps, block)
@@ -44,3 +48,61 @@ def test_draws_of_both_engines_are_one(spark):
     rows = spark.createDataFrame([(3, "a"), (12, "bb")], "rep int, name string")
     got = [r[0] for r in rows.select(resample.draw(F.col("rep"), F.col("name"))).collect()]
     assert got == [int(md5.Tails(np.array([t])).draws(h)[0]) for h, t in ((b"3:", b"a"), (b"12:", b"bb"))]
+
+
+BARS = "ticker string, session date, close double, high double, low double, volume double"
+
+
+def bars(spark, tickers=3, days=300, start=date(1998, 1, 1)):
+    draw = random.Random(7)
+    rows = [(f"T{k}", start + timedelta(days=i), draw.uniform(5, 9), draw.uniform(9, 10), draw.uniform(4, 5), float(draw.randrange(1, 99))) for k in range(tickers) for i in range(days)]
+    return spark.createDataFrame(rows, BARS)
+
+
+def test_bars_and_metrics_take_one_exchange_and_no_sliding_windows(spark):
+    lines = spark.createDataFrame([(1, date(2024, 1, 1), 5.0, 2.0)], "l_suppkey bigint, l_shipdate date, l_extendedprice double, l_quantity double")
+    text = plan(metrics.library(tables.bars_from_lines(lines)))
+    assert text.count("Exchange hashpartitioning") == 1 and "specifiedwindowframe(RowFrame, -62" not in text
+
+
+def test_metrics_of_chosen_rows_are_those_of_all_rows(spark):
+    panel = bars(spark)
+    whole = {(r.ticker, r.session): r for r in metrics.library(panel).collect()}
+    got = separation.cross_section(panel).collect()
+    assert sorted((r.period, r.ticker) for r in got) == [("1998H2", f"T{k}") for k in range(3)]
+    for r in got:
+        first = min(s for t, s in whole if t == r.ticker and s >= date(1998, 7, 1))
+        for m in metrics.METRICS:
+            a, b = r[m], whole[r.ticker, first][m]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9 * max(1, abs(b))), m
+
+
+def test_histories_are_whole_where_rows_are_handed_on_in_parts(spark):
+    panel, old = bars(spark, 7, 40), histories.ROWS
+    try:
+        histories.ROWS = 90
+        kernel = lambda p: {"ticker": p.table["ticker"], "n": np.repeat(p.counts, p.counts).astype(float), "mean": p.mean(p["close"], 40)}
+        got = histories.apply(panel.repartition(1), ["close"], kernel, "ticker string, n double, mean double").collect()
+    finally:
+        histories.ROWS = old
+    assert len(got) == 280 and {r.n for r in got} == {40.0} and sum(r["mean"] is not None for r in got) == 7
+
+
+def test_shuffled_labels_equal_a_plain_count(spark):
+    draw, names = random.Random(3), ("vol_ratio_10_63", "gap_freq_21", "rsi_14")
+    rows = [(p, f"S{k:03d}", k % 3 == 0, draw.gauss(k % 5, 2), 0.1, draw.gauss(0, 1) if k % 4 else None) for p, n in (("1998H2", 40), ("1999H2", 57), ("2000H1", 20)) for k in range(n)]
+    section = spark.createDataFrame(rows, "period string, ticker string, rose boolean, " + ", ".join(f"{m} double" for m in names)).repartition(3)
+    shuffled = separation._shuffled(section, 60)
+    assert "Generate" not in plan(shuffled)
+    got = {(r.rep, r.period, r.metric): r.sep for r in shuffled.collect()}
+    want = {}
+    for rep in range(60):
+        for p in ("1998H2", "1999H2"):
+            here = sorted((r for r in rows if r[0] == p), key=lambda r: (int(hashlib.md5(f"{rep}:{p}:{r[1]}".encode()).hexdigest()[:7], 16), r[1]))
+            n1 = sum(r[2] for r in here)
+            for j, m in enumerate(names):
+                a, b = ([r[3 + j] for r in part if r[3 + j] is not None] for part in (here[:n1], here[n1:]))
+                pooled = ((statistics.variance(a) + statistics.variance(b)) / 2) ** 0.5 if min(len(a), len(b)) >= 8 else None
+                want[rep, p, m] = None if pooled is None else (statistics.mean(a) - statistics.mean(b)) / pooled if pooled else 0.0
+    assert got.keys() == want.keys()
+    assert not [(k, got[k], v) for k, v in want.items() if (got[k] is None) != (v is None) or v is not None and abs(got[k] - v) > 1e-9]
