@@ -116,6 +116,17 @@ class Panel:
         rn = self.rn[rows]
         return np.where(rn >= n, out, np.where(rn >= least, young[rows], np.nan))
 
+    def spaced(self, hits: np.ndarray, gap: int) -> np.ndarray:
+        """Rows of the first hit of each ticker and then of each hit at least ``gap`` rows after the last one taken."""
+        n = len(self)
+        following = np.append(np.where(hits, np.arange(n), n), n)
+        following = np.minimum.accumulate(following[::-1])[::-1].tolist()
+        end, out, i = np.repeat(self.starts + self.counts, self.counts).tolist(), [], following[0]
+        while i < n:
+            out.append(i)
+            i = following[min(i + gap, end[i])]
+        return np.array(out, np.int64)
+
     def smooth(self, x: np.ndarray, n: int) -> np.ndarray:
         """An exponential mean with weight 1/n started at row 2, in closed form restarted every 100 * n rows."""
         q, stretch = 1 - 1 / n, 100 * n
@@ -155,31 +166,31 @@ def fit(w: np.ndarray) -> np.ndarray:
     return divide((d @ t) ** 2, m2 * (t @ t))
 
 
-def apply(rows: DataFrame, columns: list[str], kernel: Callable[[Panel], dict | None], schema: str, least: int = 1) -> DataFrame:
+def apply(rows: DataFrame, columns: list[str], kernel: Callable[[Panel], dict | None], schema: str, least: int = 1, rows_at_once: int | None = None) -> DataFrame:
     """ticker, session and further columns through a kernel, by tickers with at least ``least`` rows.
 
     The window of the row numbers deals the rows out by ticker, unless they are so already, and sorts them.
     """
     runtime.ship(rows.sparkSession)
     numbered = rows.select("ticker", "session", *columns).withColumn("rn", F.row_number().over(ordered()))
-    return numbered.mapInArrow(_task(kernel, least), schema)
+    return numbered.mapInArrow(_task(kernel, least, rows_at_once or ROWS), schema)
 
 
-def _task(kernel: Callable[[Panel], dict | None], least: int):
+def _task(kernel: Callable[[Panel], dict | None], least: int, at_once: int):
     def out(held: list[pa.RecordBatch] | pa.Table) -> Iterator[pa.RecordBatch]:
         panel = Panel(held, least)
         with np.errstate(all="ignore"):
             columns = kernel(panel) if len(panel) else None
         if columns is not None:
             arrays = [pa.array(v, from_pandas=True) if isinstance(v, np.ndarray) else v for v in columns.values()]
-            yield from pa.table(arrays, names=list(columns)).combine_chunks().to_batches(max_chunksize=10_000)
+            yield from pa.table(arrays, names=list(columns)).combine_chunks().to_batches(max_chunksize=2_000)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= ROWS:
+            if size >= at_once:
                 table = pa.Table.from_batches(held).combine_chunks()
                 cut = int(np.flatnonzero(table["rn"].to_numpy() == 1)[-1])
                 if cut:

@@ -12,7 +12,8 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillpanel.operators import histories, md5, metrics, resample, separation
+from quillpanel.config import LIVE
+from quillpanel.operators import exits, histories, md5, metrics, resample, separation, signals
 from quillpanel.sources import tables
 
 
@@ -106,3 +107,31 @@ def test_shuffled_labels_equal_a_plain_count(spark):
                 want[rep, p, m] = None if pooled is None else (statistics.mean(a) - statistics.mean(b)) / pooled if pooled else 0.0
     assert got.keys() == want.keys()
     assert not [(k, got[k], v) for k, v in want.items() if (got[k] is None) != (v is None) or v is not None and abs(got[k] - v) > 1e-9]
+
+
+def test_spacing_in_arrays_is_that_of_rows(spark):
+    draw = random.Random(5)
+    rows = [(f"T{k}", date(2024, 1, 1) + timedelta(days=i), i + 1, float(draw.random() < 0.3)) for k in range(9) for i in range(60)]
+    frame = spark.createDataFrame(rows, "ticker string, session date, rn bigint, hit double")
+    kernel = lambda p: (lambda at: {"ticker": p.table["ticker"].take(at), "rn": p.rn[at].astype(np.int64)})(p.spaced(p["hit"] > 0, 10))
+    ours = histories.apply(frame, ["hit"], kernel, "ticker string, rn bigint").collect()
+    assert sorted(map(tuple, ours)) == sorted((r.ticker, r.rn) for r in signals.spaced(frame.where("hit > 0"), 10, ["ticker"]).collect())
+
+
+def test_baselines_of_exits_are_summed_by_span_without_rows_for_tickers(spark):
+    draw = random.Random(11)
+    rows = []
+    for k in range(7):
+        days = sorted(draw.sample(range(400), 150))
+        closes = [draw.uniform(5, 9) for _ in days]
+        rows += [(f"T{k}", date(2024, 1, 1) + timedelta(days=d), c, c, c, draw.choice([1.0, 1.0, 9.0]) * (k < 6)) for d, c in zip(days, closes)]
+    measured = signals.measured(spark.createDataFrame(rows, BARS), LIVE)
+    done = exits.trades(measured, LIVE)
+    assert plan(done).count("Join") <= 2 and "CartesianProduct" not in plan(done)
+    got = done.collect()
+    close = {(r[0], r[1]): r[2] for r in rows}
+    with_signals = {r.ticker for r in signals.spaced(measured.where(signals.fires(LIVE)), LIVE.gap, ["ticker"]).collect()}
+    assert got and "T6" not in with_signals
+    for r in got:
+        moves = [close[t, r.exit] / close[t, r.entry] - 1 for t in with_signals if (t, r.entry) in close and (t, r.exit) in close]
+        assert abs(r.baseline_pct - 100 * statistics.fmean(moves)) < 1e-5 and abs(r.excess_pct - r.return_pct + r.baseline_pct) < 1e-5
