@@ -2,46 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MOVE
-from ..functions import rolling as R
-from ..sources.tables import kept, with_history
-from . import signals
-from .resample import draw
+from . import histories, md5
+from .histories import Panel
 
 GAP, BEFORE, AFTER, BASE_FROM, BASE_TO, MIN_BARS = 30, 20, 20, 40, 22, 200
 
 
-def prepared(bars: DataFrame) -> DataFrame:
-    rows = with_history(bars, MIN_BARS).withColumn("dv", F.col("close") * F.col("volume"))
-    return rows.withColumns({"ratio": R.ratio("dv", 10, 63, False), "fwd": R.ahead("close", 10)})
-
-
-def events(rows: DataFrame) -> DataFrame:
-    """kind (up, down, random), ticker, at, slot; edges are cut after the spacing, and random draws of one ticker may coincide."""
-    inside = (F.col("rn") > BASE_FROM) & (F.col("rn") - 1 + AFTER + 10 < F.col("n_bars"))
-
-    def moves(kind: str, cond: Column) -> DataFrame:
-        kept = signals.spaced(rows.where(F.coalesce(cond, F.lit(False))), GAP, ["ticker"]).where(inside)
-        return kept.select(F.lit(kind).alias("kind"), "ticker", F.col("rn").alias("at"), F.lit(0).alias("slot"))
-
-    sizes = rows.select("ticker", "n_bars").distinct().where(F.col("n_bars") > BASE_FROM + AFTER + 10)
-    slots = sizes.withColumn("slot", F.explode(F.array(*map(F.lit, range(3)))))
-    random = slots.select(F.lit("random").alias("kind"), "ticker", (1 + BASE_FROM + draw(F.col("ticker"), F.col("slot")) % (F.col("n_bars") - BASE_FROM - AFTER - 10)).alias("at"), "slot")
-    return moves("up", F.col("fwd") >= MOVE).unionByName(moves("down", F.col("fwd") <= -MOVE)).unionByName(random)
-
-
-def curves(rows: DataFrame) -> DataFrame:
-    """Mean relative volume and mean rolling ratio per kind and day -20..20."""
-    rows = kept(rows)
-    event = ["kind", "ticker", "at", "slot"]
-    near = events(rows).join(rows.select("ticker", "rn", "dv", "ratio"), "ticker").where(F.col("rn").between(F.col("at") - BASE_FROM, F.col("at") + AFTER)).withColumn("day", F.col("rn") - F.col("at"))
-    # the baseline comes with each row of its event: one exchange, no join of the branch with itself
-    own = F.avg(F.when(F.col("day").between(-BASE_FROM, -BASE_TO), F.col("dv"))).over(Window.partitionBy(*event))
-    shown = near.withColumn("base", own).where((F.col("base") > 0) & (F.col("day") >= -BEFORE)).withColumn("rel", R.divide(F.col("dv"), F.col("base")))
-    return shown.groupBy("kind", "day").agg(F.round(F.avg("rel"), 6).alias("rel_volume"), F.round(F.avg("ratio"), 6).alias("ratio"), F.count("*").alias("n"))
+def curves(bars: DataFrame) -> DataFrame:
+    """Mean relative volume and mean rolling ratio per kind (up, down, random) and day -20..20.
+
+    Edges are cut after the spacing, and random draws of one ticker may coincide.  Each part
+    of the panel adds up its own events, so the rows around an event are never spelled out.
+    """
+    days = np.arange(-BASE_FROM, AFTER + 1)
+    shown, base = days >= -BEFORE, (days >= -BASE_FROM) & (days <= -BASE_TO)
+
+    def kernel(p: Panel) -> dict:
+        dv, fwd, n = p["close"] * p["volume"], p.ahead(p["close"], 10), p.counts.repeat(p.counts)
+        ratio = p.ratio(dv, 10, 63, False)
+        names = [x.encode() for x in p.table["ticker"].take(pa.array(p.starts)).to_pylist()]
+        room = p.counts - BASE_FROM - AFTER - 10
+        lots = [p.starts + BASE_FROM + md5.Tails(np.array([b"%b:%d" % (t, slot) for t in names])).draws(b"") % np.maximum(room, 1) for slot in range(3)]
+        at = {"up": p.spaced(fwd >= MOVE, GAP), "down": p.spaced(fwd <= -MOVE, GAP)}
+        at = {k: x[(p.rn[x] > BASE_FROM) & (p.rn[x] - 1 + AFTER + 10 < n[x])] for k, x in at.items()} | {"random": np.concatenate([x[room > 0] for x in lots])}
+        out = []
+        for kind, x in at.items():
+            cells = x[:, None] + days
+            own = dv[cells[:, base]].mean(1) if len(x) else np.empty(0)
+            cells, own = cells[own > 0][:, shown], own[own > 0]
+            if len(cells):
+                rel, r = dv[cells] / own[:, None], ratio[cells]
+                there = ~np.isnan(r)
+                out.append((np.full(shown.sum(), kind), days[shown], rel.sum(0), np.full(shown.sum(), len(cells)), np.where(there, r, 0.0).sum(0), there.sum(0)))
+        return dict(zip(("kind", "day", "rel", "n", "ratio", "n_ratio"), (np.concatenate(x) for x in zip(*out)))) if out else None
+
+    parts = histories.apply(bars, ["close", "volume"], kernel, "kind string, day bigint, rel double, n bigint, ratio double, n_ratio bigint", MIN_BARS)
+    mean = lambda x, n, name: F.round(F.try_divide(F.sum(x), F.sum(n)), 6).alias(name)
+    return parts.groupBy("kind", "day").agg(mean("rel", "n", "rel_volume"), mean("ratio", "n_ratio", "ratio"), F.sum("n").alias("n"))
 
 
 def windows(curve: DataFrame) -> DataFrame:

@@ -28,9 +28,14 @@ def periods(spark: SparkSession) -> DataFrame:
     return F.broadcast(rows.select("period", F.to_date("first").alias("first"), F.to_date("last").alias("last")))
 
 
+def days_of_periods() -> list[tuple[str, int, int]]:
+    """Periods with their first and last day since 1970."""
+    return [(name, *((date.fromisoformat(x) - date(1970, 1, 1)).days for x in ends)) for name, *ends in PERIODS]
+
+
 def cross_section(bars: DataFrame, names: tuple[str, ...] = METRICS) -> DataFrame:
     """Metrics of the first session of each period with the period's return, rose, fell."""
-    spans = [(name, *((date.fromisoformat(x) - date(1970, 1, 1)).days for x in ends)) for name, *ends in PERIODS]
+    spans = days_of_periods()
 
     def kernel(p: Panel) -> dict:
         day, parts = p["session"], []

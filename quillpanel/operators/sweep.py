@@ -2,40 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MOVE, PREREGISTERED, TRIGGERS, WINDOW_GRID
-from ..functions import rolling as R
-from ..functions.labels import outcome
-from ..sources.tables import with_history
-from .separation import periods
-
-MIN_BARS = 150
-
-
-def ratios(bars: DataFrame, combos: list[tuple[int, int, bool]]) -> DataFrame:
-    """period, recent, base, separate, ratio, outcome for every combination of windows."""
-    rows = with_history(bars, MIN_BARS).withColumn("dv", F.col("close") * F.col("volume")).withColumn("move", R.ahead("close", 10))
-    rows = rows.withColumns({f"c{i}": R.ratio("dv", r, b, sep) for i, (r, b, sep) in enumerate(combos)})
-    rows = rows.where("move is not null").join(periods(bars.sparkSession), F.col("session").between(F.col("first"), F.col("last")))
-    parts = ", ".join(f"{r}, {b}, {str(sep).lower()}, c{i}" for i, (r, b, sep) in enumerate(combos))
-    long = rows.withColumn("outcome", outcome(F.col("move"), MOVE)).selectExpr("period", "outcome", f"stack({len(combos)}, {parts}) as (recent, base, separate, ratio)")
-    return long.where("ratio is not null")
-
-
-def counts(long: DataFrame, *keys: str) -> DataFrame:
-    n = lambda *conds: F.count_if(_all(conds))
-    fired = F.col("ratio") >= F.col("trigger")
-    is_ = {k: F.col("outcome") == k for k in ("rise", "fall", "flat")}
-    return long.groupBy(*keys).agg(*(n(c).alias(f"n_{k}") for k, c in is_.items()), *(n(fired, c).alias(f"fired_{k}") for k, c in is_.items()))
-
-
-def _all(conds) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
+from . import histories
+from .histories import Panel
+from .separation import days_of_periods
+
+MIN_BARS, OUTCOMES = 150, ("rise", "fall", "flat")
+
+
+def counts(bars: DataFrame, cells: list[tuple[int, int, bool, float]], *keys: str) -> DataFrame:
+    """Rows by outcome, and those that fire, of each cell (recent, base, separate, trigger), by some of these and the period.
+
+    Each part of the panel counts for itself, so a row is not spelled out once for each cell.
+    """
+    spans = days_of_periods()
+
+    def kernel(p: Panel) -> dict:
+        dv, day, move = p["close"] * p["volume"], p["session"], p.ahead(p["close"], 10)
+        rows = np.flatnonzero(~np.isnan(move))
+        # 0 rise, 1 fall, 2 flat
+        kind, out = np.where(move >= MOVE, 0, np.where(move <= -MOVE, 1, 2))[rows], []
+        known = {(r, b, sep): p.ratio(dv, r, b, sep)[rows] for r, b, sep, _ in dict.fromkeys(cells)}
+        for name, first, last in spans:
+            here = (day[rows] >= first) & (day[rows] <= last)
+            for r, b, sep, trigger in cells:
+                ratio = known[r, b, sep]
+                some = here & ~np.isnan(ratio)
+                n, fired = np.bincount(kind[some], minlength=3), np.bincount(kind[some & (ratio >= trigger)], minlength=3)
+                if n.any():
+                    out.append((name, r, b, sep, trigger, *n.tolist(), *fired.tolist()))
+        return dict(zip(schema.names, (pa.array(x, f.type) for x, f in zip(zip(*out) if out else [()] * len(schema), schema))))
+
+    schema = pa.schema([("period", pa.string()), ("recent", pa.int32()), ("base", pa.int32()), ("separate", pa.bool_()), ("trigger", pa.float64()), *((f"{a}_{k}", pa.int64()) for a in ("n", "fired") for k in OUTCOMES)])
+    text = "period string, recent int, base int, separate boolean, trigger double, " + ", ".join(f"{a}_{k} bigint" for a in ("n", "fired") for k in OUTCOMES)
+    parts = histories.apply(bars, ["close", "volume"], kernel, text, MIN_BARS)
+    return parts.groupBy(*keys).agg(*(F.sum(f"{a}_{k}").alias(f"{a}_{k}") for a in ("n", "fired") for k in OUTCOMES))
 
 
 def _pct(a: Column, b: Column) -> Column:
@@ -52,8 +58,7 @@ def _fired() -> Column:
 
 def window_sweep(bars: DataFrame, grid=WINDOW_GRID, triggers=TRIGGERS) -> DataFrame:
     """Fire rates by outcome, precision, base rate and edge for each window pair and trigger."""
-    cells = F.broadcast(bars.sparkSession.createDataFrame([(float(t),) for t in triggers], "trigger double"))
-    c = counts(ratios(bars, [(r, b, True) for r, b in grid]).join(cells), "recent", "base", "trigger").where("n_rise > 0 and n_fall > 0")
+    c = counts(bars, [(r, b, True, float(t)) for r, b in grid for t in triggers], "recent", "base", "trigger").where("n_rise > 0 and n_fall > 0")
     r = lambda x, n: F.round(x, 6).alias(n)
     precision, base = _pct(F.col("fired_rise"), _fired()), _pct(F.col("n_rise"), _total())
     return c.select("recent", "base", "trigger", _fired().alias("n_fired"), *(r(_pct(F.col(f"fired_{k}"), F.col(f"n_{k}")), f"rate_{k}") for k in ("rise", "fall", "flat")), r(_pct(_fired(), _total()), "fire_rate"), r(precision, "precision"), r(base, "base_rate"), r(precision - base, "edge"))
@@ -80,22 +85,20 @@ def both_sided(c: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _configured(bars: DataFrame, separate: list[bool]) -> DataFrame:
-    combos = sorted({(r, b, s) for r, b, _ in PREREGISTERED for s in separate})
-    cells = bars.sparkSession.createDataFrame([list(p) for p in PREREGISTERED], "recent int, base int, trigger double")
-    return ratios(bars, combos).join(F.broadcast(cells), ["recent", "base"])
+def _configured(separate: list[bool]) -> list[tuple[int, int, bool, float]]:
+    return [(r, b, s, float(t)) for r, b, t in PREREGISTERED for s in separate]
 
 
 def validation(bars: DataFrame) -> DataFrame:
     """Overlapping against separate baselines for the registered configurations."""
     keys = ("recent", "base", "trigger", "separate")
-    out = both_sided(counts(_configured(bars, [False, True]), *keys), *keys)
+    out = both_sided(counts(bars, _configured([False, True]), *keys), *keys)
     return out.withColumn("ceiling", F.when(~F.col("separate"), F.round(F.col("base") / F.col("recent"), 6)))
 
 
 def stability(bars: DataFrame, least: int = 5) -> DataFrame:
     """Registered configurations pass with enough positive periods and no negative one."""
     keys = ("recent", "base", "trigger", "period")
-    per = both_sided(counts(_configured(bars, [True]), *keys), *keys)
+    per = both_sided(counts(bars, _configured([True]), *keys), *keys)
     out = per.groupBy("recent", "base", "trigger").agg(F.count_if(F.col("rise_edge_pp") > 0).alias("positive"), F.count("rise_edge_pp").alias("n"), F.min("rise_edge_pp").alias("worst"))
     return out.withColumn("passes", (F.col("positive") >= least) & (F.col("worst") > 0))

@@ -286,7 +286,7 @@ def permutation_test_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_curves(spark: SparkSession, d: str) -> DataFrame:
-    return events.curves(events.prepared(T.bars(spark, d)))
+    return events.curves(T.bars(spark, d))
 
 
 def event_curves_aligned(spark: SparkSession, d: str) -> DataFrame:

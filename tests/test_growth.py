@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillpanel.config import LIVE
-from quillpanel.operators import exits, histories, md5, metrics, resample, separation, signals
+from quillpanel.operators import events, exits, histories, md5, metrics, resample, separation, signals, sweep
 from quillpanel.sources import tables
 
 
@@ -135,3 +135,15 @@ def test_baselines_of_exits_are_summed_by_span_without_rows_for_tickers(spark):
     for r in got:
         moves = [close[t, r.exit] / close[t, r.entry] - 1 for t in with_signals if (t, r.entry) in close and (t, r.exit) in close]
         assert abs(r.baseline_pct - 100 * statistics.fmean(moves)) < 1e-5 and abs(r.excess_pct - r.return_pct + r.baseline_pct) < 1e-5
+
+
+def test_sweeps_and_curves_are_counted_within_the_panel(spark):
+    panel = bars(spark, 4, 320, date(1998, 6, 1))
+    for frame in (sweep.window_sweep(panel), sweep.validation(panel), sweep.stability(panel), events.curves(panel)):
+        text = plan(frame)
+        assert "Generate" not in text and "Join" not in text and text.count("Exchange") <= 3
+    n = {r["sum(n_rise)"] + r["sum(n_fall)"] + r["sum(n_flat)"] for r in sweep.counts(panel, [(10, 30, True, 1.2)], "recent").groupBy().sum().collect()}
+    # rows with ten more after them, in the periods, and with 40 before
+    assert n == {4 * sum(date(1998, 7, 10) <= date(1998, 6, 1) + timedelta(days=i) for i in range(310))}
+    got = {(r.kind, r.day): r.n for r in events.curves(panel).collect()}
+    assert got["random", 0] == 12 and len({n for (kind, _), n in got.items() if kind == "up"}) == 1
