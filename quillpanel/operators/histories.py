@@ -22,6 +22,8 @@ from ..functions.rolling import ordered
 
 #: Rows handed to a kernel at a time unless one ticker has more, and cells of windows held at a time.
 ROWS, CELLS = 60_000, 2**20
+#: The day of a missing session, which sorts first.
+MISSING = -(2**31)
 
 
 def divide(a, b) -> np.ndarray:
@@ -48,7 +50,7 @@ class Panel:
         if name not in self.known:
             kind = self.table.schema.field(name).type
             values = self.table[name]
-            values = values.cast(pa.int32()).fill_null(-(2**31)) if pa.types.is_date(kind) else values.cast(pa.float64()).fill_null(np.nan)
+            values = values.cast(pa.int32()).fill_null(MISSING) if pa.types.is_date(kind) else values.cast(pa.float64()).fill_null(np.nan)
             self.known[name] = values.to_numpy()
         return self.known[name]
 

@@ -93,7 +93,7 @@ def date_matched_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, d: str, spec=LIVE) -> DataFrame:
-    return signals.backtest(signals.measured(T.bars(spark, d), spec), T.universe(spark, d), spec)
+    return signals.backtest(T.bars(spark, d), T.universe(spark, d), spec)
 
 
 def backtest_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -117,9 +117,7 @@ def size_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lasting(spark: SparkSession, d: str, window: int = 14) -> DataFrame:
-    rows = signals.measured(T.bars(spark, d), LOOSE)
-    days = signals.qualifying_days(rows, LOOSE, window).select("ticker", "session", "days")
-    return signals.backtest(rows, T.universe(spark, d), LOOSE).join(days, ["ticker", "session"])
+    return signals.backtest(T.bars(spark, d), T.universe(spark, d), LOOSE, window=window)
 
 
 def persistence_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +195,7 @@ def window_sweep_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exit_trades(spark: SparkSession, d: str) -> DataFrame:
-    return exits.trades(signals.measured(T.bars(spark, d), LIVE), LIVE)
+    return exits.trades(T.bars(spark, d), LIVE)
 
 
 def exit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -205,8 +203,7 @@ def exit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exit_summary_persistent(spark: SparkSession, d: str) -> DataFrame:
-    rows = signals.qualifying_days(signals.measured(T.bars(spark, d), LOOSE), LOOSE, 14)
-    return exits.summary(exits.trades(rows, LOOSE, 3)).orderBy("rule_order")
+    return exits.summary(exits.trades(T.bars(spark, d), LOOSE, 3)).orderBy("rule_order")
 
 
 def best_exit_rules(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillpanel.config import LIVE
+from quillpanel.config import LIVE, LOOSE
 from quillpanel.operators import events, exits, histories, md5, metrics, resample, separation, signals, sweep
 from quillpanel.sources import tables
 
@@ -147,3 +147,20 @@ def test_sweeps_and_curves_are_counted_within_the_panel(spark):
     assert n == {4 * sum(date(1998, 7, 10) <= date(1998, 6, 1) + timedelta(days=i) for i in range(310))}
     got = {(r.kind, r.day): r.n for r in events.curves(panel).collect()}
     assert got["random", 0] == 12 and len({n for (kind, _), n in got.items() if kind == "up"}) == 1
+
+
+def test_backtest_takes_one_pass_over_the_bars(spark):
+    panel = bars(spark, 12, 200).withColumn("volume", F.pow("volume", 2))
+    universe = spark.createDataFrame([("T1", "x", True, 3.0)], "ticker string, category string, in_original boolean, cap_busd double")
+    got = {(r.ticker, r.rn): r for r in signals.backtest(panel, universe, LOOSE, window=14).collect()}
+    text = plan(signals._events_and_sums(panel, LOOSE, (5, 20), 14))
+    assert text.count("Exchange") == 1 and "Join" not in text and text.count("RowNumber") + text.count("row_number") <= 2
+    rows = signals.qualifying_days(signals.measured(panel, LOOSE), LOOSE, 14)
+    base = {r.session: r.base_20d for r in signals.baseline(rows, (20,)).collect()}
+    want = {(r.ticker, r.rn): r for r in signals.spaced(rows.where(signals.fires(LOOSE)), LOOSE.gap, ["ticker"]).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    for k, r in got.items():
+        assert r.days == want[k].days and r.session == want[k].session
+        excess = None if want[k].fwd_20d is None else 100 * (want[k].fwd_20d - base[r.session])
+        assert (r.excess_20d_pct is None) == (excess is None) and (excess is None or abs(r.excess_20d_pct - excess) < 0.00501)
+    assert {r.category for k, r in got.items() if k[0] == "T1"} == {"x"}
